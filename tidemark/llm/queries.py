@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontam
+from tidemark.llm import bpe, decontam, langid, quality, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.query,
+    "op3_language_id": langid.query,
+    "op4_toxicity": toxicity.query,
+    "op5_quality_classifier": quality.query,
+    "op8_byte_bpe": bpe.query,
 }
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontam.SQL,
