@@ -1,7 +1,7 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
-A text has two blocks of hashed features, each the square root of relative frequencies: 4-grams of character shapes
-(upper case, lower case, digit, white space, each mark by itself) and words. All grades share one weight vector w;
+A text has hashed features, each the square root of relative frequencies: 4-grams of character shapes (upper case,
+lower case, digit, white space, each mark by itself), words, and words that repeat the one before. All grades share one weight vector w;
 ordered thresholds t_1 < t_2 < ... part them: P(grade <= j) = sigmoid(t_j - w x). From these follow the expected
 grade and, for selection, the tail probability P(grade >= j).
 
@@ -27,7 +27,7 @@ from tidemark.llm.sampling import fold, labelled_sample
 from tidemark.llm.textkit import MULTIPLIER, Words, scan, words_of
 
 SHAPE_BITS, WORD_BITS = 9, 10
-WIDTH = (1 << SHAPE_BITS) + (1 << WORD_BITS)
+WIDTH = (1 << SHAPE_BITS) + (1 << WORD_BITS) + 1
 FIELDS = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.ArrayType(T.DoubleType()))]
 
 SHAPE = np.arange(256, dtype=np.uint8)
@@ -36,7 +36,7 @@ SHAPE[[0x09, 0x0B, 0x0C, 0x0D]] = ord(" ")
 
 
 def features(words: Words) -> np.ndarray:
-    """rows x WIDTH, both blocks of unit length."""
+    """rows x WIDTH, the blocks of shapes and words of unit length."""
     rows, shape = words.rows, SHAPE[words.data].astype(np.uint64)
     out = np.zeros((rows, WIDTH), np.float32)
     if len(shape) >= 4:
@@ -47,7 +47,10 @@ def features(words: Words) -> np.ndarray:
         counts = np.bincount((row[:-3] << SHAPE_BITS | bucket)[inside], minlength=rows << SHAPE_BITS).reshape(rows, -1)
         out[:, : 1 << SHAPE_BITS] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
     counts = np.bincount(words.row << WORD_BITS | (words.hash >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=rows << WORD_BITS).reshape(rows, -1)
-    out[:, 1 << SHAPE_BITS :] = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1))
+    total = np.maximum(counts.sum(1), 1)
+    out[:, 1 << SHAPE_BITS : -1] = np.sqrt(counts / total[:, None])
+    again = (words.hash[1:] == words.hash[:-1]) & (words.row[1:] == words.row[:-1])
+    out[:, -1] = np.sqrt(np.bincount(words.row[1:][again], minlength=rows) / total)
     return out
 
 
