@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, langid, quality, toxicity
+from tidemark.llm import bpe, decontam, langid, quality, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.query,
+    "op2_warc": warc.query,
     "op3_language_id": langid.query,
     "op4_toxicity": toxicity.query,
     "op5_quality_classifier": quality.query,
@@ -13,4 +14,5 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontam.SQL,
+    "op2_warc": warc.SQL,
 }
