@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html, langid, quality, toxicity, warc
+from tidemark.llm import bpe, decontam, html, langid, neardup, quality, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.query,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_quality_classifier": quality.query,
     "op8_byte_bpe": bpe.query,
+    "op9_minhash_near_dedup": neardup.query,
     "op10_html_extraction": html.query,
 }
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontam.SQL,
     "op2_warc": warc.SQL,
+    "op9_minhash_near_dedup": neardup.SQL,
 }
