@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, html, langid, neardup, quality, toxicity, warc
+from tidemark.llm import bpe, decontam, fingerprint, html, langid, neardup, quality, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_language_id": langid.query,
     "op4_toxicity": toxicity.query,
     "op5_quality_classifier": quality.query,
+    "op6_fingerprints": fingerprint.query,
     "op8_byte_bpe": bpe.query,
     "op9_minhash_near_dedup": neardup.query,
     "op10_html_extraction": html.query,
