@@ -262,8 +262,8 @@ def decode(encoded: DataFrame, path: str, *, ids: str = "ids", to: str = "text")
 DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep with digests of the ids and of the bytes decoded from them, without the ids themselves leaving the scan."""
+def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """keep with the number of ids, digests of the ids and of the bytes decoded from them, and the ids themselves if wanted."""
     ranks = _words(docs.sparkSession, path)
 
     def make() -> Callable:
@@ -271,17 +271,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
         names = [str(k) for k in range(len(codec.merges.words))]
 
         def work(column: pa.Array) -> list[pa.Array]:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for part in _together(column):
                 for ids in codec.encode(part):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                    if with_ids:
+                        all_ids.append(np.array(ids, np.int32))
+            made = [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            return [*made, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else made
 
         return work
 
-    return scan(docs, text, make, DIGEST, docs.columns if keep is None else keep)
+    return scan(docs, text, make, DIGEST + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else []), docs.columns if keep is None else keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

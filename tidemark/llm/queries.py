@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontam, fingerprint, html, langid, neardup, quality, toxicity, warc
+from tidemark.llm import bpe, decontam, fingerprint, html, langid, licenses, neardup, quality, toxicity, warc
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.query,
     "op5_quality_classifier": quality.query,
     "op6_fingerprints": fingerprint.query,
+    "op7_license_scan": licenses.query,
     "op8_byte_bpe": bpe.query,
     "op9_minhash_near_dedup": neardup.query,
     "op10_html_extraction": html.query,
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_benchmark_decontamination": decontam.SQL,
     "op2_warc": warc.SQL,
+    "op7_license_scan": licenses.SQL,
     "op9_minhash_near_dedup": neardup.SQL,
 }
