@@ -9,9 +9,10 @@ shingle, all of them. Two documents are linked if the Jaccard index of their set
 2. Documents with equal sets are one class, which its smallest id stands for; so groups of copies count once.
 3. In each bucket (classes with equal band keys) every class is paired with one leader only, the one that shares most buckets with others. Pairs that pass
    the comparison of lengths and signatures are confirmed on the full sets; components follow by large-star and small-star.
-4. A bucket whose classes are then all of one component is settled. In others, classes of different components
-   are compared, signatures against signatures, by blocks of about `BLOCK` classes dealt over the cluster, so that
-   no link is lost and no group meets in one task; pairs that pass are confirmed and the components completed.
+4. A bucket whose classes are then all of one component is settled. In others, classes outside the leader's component are
+   compared with all others by blocks of about `BLOCK` classes, dealt over the cluster, so that no link is lost and no group
+   meets in one task. A pair is compared in the first bucket it shares, confirmed there, and only links that join
+   components leave the task; the components are then completed.
 
 Only keys, signatures and the texts of candidate pairs are shuffled; nothing of the corpus reaches the driver.
 
@@ -35,7 +36,9 @@ from tidemark.llm.graph import components
 from tidemark.llm.textkit import GRAPHIC, mix, scan, words_of
 from tidemark.shared import cut, fresh
 
-ROWS, MISS, BLOCK = 5, 1e-6, 512
+ROWS, MISS = 5, 1e-6
+#: Members of a block, and the shingles they may have together.
+BLOCK, WEIGHT = 512, 1 << 18
 #: Up to so many ids are broadcast, so that only the texts of candidates are shuffled; of more ids, both sides are.
 BROADCAST_IDS = 1_000_000
 FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
@@ -143,34 +146,78 @@ def _alike(least: float):
     return run
 
 
-def _across(least: float, percent: int):
-    """(first, second, members) to the pairs (u, v) of different components that may be linked; members: id, component, size, whether in the first block, signature."""
+def _across(n: int, least: float, percent: int):
+    """(bucket, members) to the links that join components: of each left and right member of different components that pass.
+
+    A pair is compared in the first bucket that its two share only. Pairs are confirmed from the most alike on, on the hashes of all
+    shingles; those of components that meanwhile are one are not looked at, so that each task yields fewer links than it has members.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            lists, same = batch.column(1), batch.column(0).to_pylist()
+            lists, buckets = batch.column(1), batch.column(0).to_pylist()
             for k in range(batch.num_rows):
                 members = lists[k].values
-                ids, comp, size = (members.field(c).to_numpy() for c in ("id", "comp", "size"))
-                first = np.array(members.field("first").to_pylist(), bool)
+                ids, comp, size, left = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "size", "left"))
                 sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-                left, right = (np.arange(len(ids)),) * 2 if same[k] else (np.flatnonzero(first), np.flatnonzero(~first))
-                for part in np.array_split(left, max(1, len(left) * len(right) // 65_536 + 1)):
-                    ok = comp[part][:, None] != comp[right][None, :]
-                    ok &= 100 * np.minimum(size[part][:, None], size[right][None, :]) >= percent * np.maximum(size[part][:, None], size[right][None, :])
+                bands = members.field("bands").flatten().to_numpy().reshape(len(ids), -1)
+                one, two = np.flatnonzero(left), np.flatnonzero(~left)
+                found = []
+                for part in np.array_split(one, max(1, len(one) * len(two) // 65_536 + 1)):
+                    ok = comp[part][:, None] != comp[two][None, :]
+                    ok &= 100 * np.minimum(size[part][:, None], size[two][None, :]) >= percent * np.maximum(size[part][:, None], size[two][None, :])
                     i, j = np.nonzero(ok)
                     for at in np.array_split(np.arange(len(i)), len(i) // 65_536 + 1):
-                        near = (sig[part[i[at]]] == sig[right[j[at]]]).mean(1) >= least
-                        us.append(ids[part[i[at][near]]])
-                        vs.append(ids[right[j[at][near]]])
-            u = np.concatenate(us) if us else np.zeros(0, np.int64)
-            v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+                        u, v = part[i[at]], two[j[at]]
+                        alike = (sig[u] == sig[v]).mean(1)
+                        near = np.flatnonzero(alike >= least)
+                        u, v, alike = u[near], v[near], alike[near]
+                        first = (bands[u] == bands[v]).argmax(1) if len(u) else np.zeros(0, np.int64)
+                        here = bands[u, first] == buckets[k]
+                        found.append(np.stack([u[here], v[here], np.round(alike[here] * 1e6).astype(np.int64)]))
+                pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+                if not pairs.shape[1]:
+                    continue
+                needed = np.unique(pairs[:2])
+                sets = dict(zip(needed.tolist(), _hashed(members.field("text").take(pa.array(needed)), n)))
+                root = {c: c for c in comp.tolist()}
+
+                def find(x: int) -> int:
+                    while root[x] != x:
+                        root[x] = root[root[x]]
+                        x = root[x]
+                    return x
+
+                for at in np.argsort(-pairs[2], kind="stable").tolist():
+                    u, v = int(pairs[0, at]), int(pairs[1, at])
+                    a, b = find(int(comp[u])), find(int(comp[v]))
+                    if a == b:
+                        continue
+                    common = len(sets[u] & sets[v])
+                    if 100 * common >= percent * (len(sets[u]) + len(sets[v]) - common):
+                        root[max(a, b)] = min(a, b)
+                        us.append(int(ids[u]))
+                        vs.append(int(ids[v]))
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
 
+def _hashed(texts: pa.Array, n: int) -> list[set]:
+    """The sets of texts that have words, by 64-bit hashes of their shingles."""
+    out = []
+    for _, _, words in words_of(texts, GRAPHIC):
+        grams, whole, counts = words.grams(n), words.whole(n), words.counts()
+        for row in range(words.rows):
+            at, to = int(words.first[row]), int(words.first[row + 1])
+            if counts[row] < n:
+                out.append({int(x) for x in words.grams(int(counts[row]))[at : at + 1]} if counts[row] else set())
+            else:
+                out.append(set(grams[at : to - n + 1][whole[at : to - n + 1]].tolist()))
+    return out
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (u, v) that are confirmed on the full sets; texts has the text of every id."""
     ids = cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
@@ -207,14 +254,25 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     first_links = cut(_linked(cut(near), source, n, percent).distinct())
     first = components(first_links)
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components: members outside the leader's component against all.
     placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    dealt = placed.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")))
-    spread_out = dealt.select("bucket", "id", "comp", "size", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    ready = spread_out.join(sig, "id").select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.struct("id", "comp", "size", (F.col("block") <= F.col("other")).alias("first"), "sig").alias("member"))
+    by_comp = placed.join(leaders.select("bucket", "leader"), "bucket").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.max(F.col("id") == F.col("leader")).alias("main"))
+    blocks = lambda n, weight: F.ceil(F.greatest(n / F.lit(BLOCK), weight / F.lit(WEIGHT)))
+    rest = ~F.col("main")
+    mixed = by_comp.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("comps"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main_comp"), blocks(F.sum("n"), F.sum("weight")).alias("wide"),
+        blocks(F.sum(F.when(rest, F.col("n"))), F.sum(F.when(rest, F.col("weight")))).alias("high"),
+    ).where("comps > 1")
+    dealt = cut(placed.join(mixed, "bucket"))
+    block = lambda salt, count: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    lefts = dealt.where("comp <> main_comp").select("bucket", "id", "comp", "size", F.lit(True).alias("left"), block(7, "high").alias("i"), every("wide").alias("j"))
+    rights = dealt.select("bucket", "id", "comp", "size", F.lit(False).alias("left"), every("high").alias("i"), block(8, "wide").alias("j"))
+    ids = cut(dealt.select("id").distinct())
+    body = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").join(reps.select("id", "bands", "sig"), "id")
+    ready = lefts.unionByName(rights).join(body, "id").select("bucket", "i", "j", F.struct("id", "comp", "size", "left", "sig", "bands", "text").alias("member"))
     groups = ready.groupBy("bucket", "i", "j").agg(F.collect_list("member").alias("members"))
-    across = groups.select((F.col("i") == F.col("j")).alias("same"), "members").mapInArrow(_across(least, percent), "u long, v long").where("u <> v").distinct()
+    across = groups.select("bucket", "members").mapInArrow(_across(n, least, percent), "u long, v long").where("u <> v").distinct()
     more_links = cut(_linked(cut(across), source, n, percent))
     merged = first_links.union(more_links) if not more_links.isEmpty() else None
     final = first if merged is None else components(merged)
