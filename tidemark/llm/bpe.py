@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.textkit import scan
+from tidemark.llm.textkit import held, scan
 
 MATRIX = 256
 #: Pieces kept between batches, and bytes of text taken together.
-KNOWN, TOGETHER = 200_000, 1 << 22
+KNOWN, TOGETHER = 100_000, 1 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -51,7 +51,6 @@ class Merges:
                     right.append(b)
                     made.append(rank)
         key = np.array(left, np.uint64) << np.uint64(32) | np.array(right, np.uint64)
-        self.pairs = dict(zip(key.tolist(), made))
         self.bits = max(4, int(len(key) * 4).bit_length())
         self.keys = np.full(1 << self.bits, 2**64 - 1, np.uint64)
         self.made = np.full(1 << self.bits, NONE, np.int32)
@@ -128,8 +127,16 @@ class Merges:
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same merges of one long piece, by a heap of (rank, place)."""
         n = len(ids)
+        met: dict[tuple[int, int], int | None] = {}
+
+        def pair(a: int, b: int) -> int | None:
+            if (a, b) not in met:
+                r = int(self.rank(np.array([a], np.int32), np.array([b], np.int32))[0])
+                met[a, b] = None if r == NONE else r
+            return met[a, b]
+
         after, before, version = list(range(1, n + 1)), list(range(-1, n - 1)), [0] * n
-        ask = lambda i: self.pairs.get(ids[i] << 32 | ids[after[i]]) if after[i] < n else None
+        ask = lambda i: pair(ids[i], ids[after[i]]) if after[i] < n else None
         heap = [(r, i, 0) for i in range(n) if (r := ask(i)) is not None]
         heapq.heapify(heap)
         alive = [True] * n
@@ -191,28 +198,16 @@ class Codec:
         return b"".join(map(self.merges.words.__getitem__, ids))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
-def _codec(shared, pattern: str) -> Codec:
-    key = (shared.id, pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(Merges(shared.value), pattern)
-    return _codecs[key]
-
-
-class _Ranks:
-    """A broadcast rank file (its size is that of the vocabulary) and a name for it."""
+class _Shared:
+    """The merges of a rank file, broadcast (their size is that of the vocabulary), and a name for them."""
 
     def __init__(self, spark, path: str):
         ranks = read_ranks(path)
         self.id = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
-        self.shared = spark.sparkContext.broadcast(ranks)
+        self.merges = spark.sparkContext.broadcast(Merges(ranks))
 
-    @property
-    def value(self) -> dict[bytes, int]:
-        return self.shared.value
+    def codec(self, pattern: str) -> Codec:
+        return held(("bpe", self.id, pattern), lambda: Codec(self.merges.value, pattern))
 
 
 def _together(column: pa.Array):
@@ -227,16 +222,12 @@ def _together(column: pa.Array):
         yield part
 
 
-def _words(spark, path: str) -> _Ranks:
-    return _Ranks(spark, path)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """keep (all columns unless given) with ids."""
-    ranks = _words(docs.sparkSession, path)
+    shared = _Shared(docs.sparkSession, path)
 
     def make() -> Callable:
-        codec = _codec(ranks, pattern)
+        codec = shared.codec(pattern)
         return lambda column: [pa.array([ids for part in _together(column) for ids in codec.encode(part)], pa.list_(pa.int32()))]
 
     return scan(docs, text, make, [T.StructField("ids", T.ArrayType(T.IntegerType()))], docs.columns if keep is None else keep)
@@ -244,14 +235,14 @@ def encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids", to: str = "text") -> DataFrame:
     """The column ids replaced by the decoded text (bytes that are not UTF-8 become U+FFFD)."""
-    ranks = _words(encoded.sparkSession, path)
+    shared = _Shared(encoded.sparkSession, path)
     keep = [c for c in encoded.columns if c != ids]
     own = encoded.select(*(F.col("`" + c + "`") for c in keep), F.col(ids).alias("__ids"))
     schema = T.StructType([own.schema[c] for c in keep if c != to] + [T.StructField(to, T.StringType())])
     own = own.select(*(F.col("`" + c + "`") for c in keep if c != to), "__ids")
 
     def run(batches):
-        codec = _codec(ranks, "")
+        codec = shared.codec("")
         for batch in batches:
             texts = [codec.decode(x.as_py() or []).decode("utf-8", "replace") for x in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=schema.names)
@@ -264,10 +255,10 @@ DIGEST = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T
 
 def round_trip(docs: DataFrame, path: str, pattern: str, *, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
     """keep with the number of ids, digests of the ids and of the bytes decoded from them, and the ids themselves if wanted."""
-    ranks = _words(docs.sparkSession, path)
+    shared = _Shared(docs.sparkSession, path)
 
     def make() -> Callable:
-        codec = _codec(ranks, pattern)
+        codec = shared.codec(pattern)
         names = [str(k) for k in range(len(codec.merges.words))]
 
         def work(column: pa.Array) -> list[pa.Array]:

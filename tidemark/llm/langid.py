@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.sampling import fold
-from tidemark.llm.textkit import arrow_limits, buffers, scan, slices
+from tidemark.llm.textkit import arrow_limits, buffers, held, scan, slices
 from tidemark.shipping import ship
 
 PAD = 0x0A
@@ -83,7 +83,7 @@ class Model:
         base = np.cumsum([0, *map(len, rows)])
         table = np.empty((base[-1], 256, size), np.float32)
         for lang, (code, n) in enumerate(self.counts):
-            parent = np.full((1, 256), 8.0)
+            parent = np.full((1, 256), 8.0, np.float32)
             for order, contexts_ in enumerate(rows):
                 mask = (1 << 8 * order) - 1
                 here, where = np.unique(code & (mask << 8 | 0xFF), return_inverse=True)
@@ -99,7 +99,7 @@ class Model:
                     shorter = contexts_ & (mask >> 8)
                     up = parent[np.searchsorted(rows[order - 1], shorter)]
                 seen = total > 0
-                cost = up + np.where(seen, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)[:, None]
+                cost = up + np.where(seen, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0).astype(np.float32)[:, None]
                 cost[keep, sym] = np.log2((total + kinds)[keep] / count)
                 table[base[order] : base[order + 1], :, lang] = cost
                 parent = cost
@@ -123,10 +123,7 @@ class Model:
         return out
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None, key: str = "doc_id", max_bytes: int = 6_000_000, max_contexts: int = 12_000) -> Model | None:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None, key: str = "doc_id", max_bytes: int = 6_000_000, max_contexts: int = 8_000) -> Model | None:
     """The model of the rows with text and language (and where holds); None if there are none."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -151,17 +148,15 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
 def _worker(shared) -> Callable:
     def make() -> Callable:
         model = shared.value
-        if model is not None and model.id not in _tables:
-            _tables.clear()
-            _tables[model.id] = model.tables()
+        tables = held(("langid", model.id), model.tables) if model is not None else None
 
         def work(column: pa.Array) -> list[pa.Array]:
             data, offs = buffers(column)
             n = len(offs) - 1
             pred, score, rate = np.full(n, "und", object), np.zeros(n), np.full(n, np.nan)
-            for i, j in slices(offs) if model is not None else ():
+            for i, j in slices(offs, 1 << 19) if model is not None else ():
                 part, own = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
-                bits = model.bits(part, own, _tables[model.id])
+                bits = model.bits(part, own, tables)
                 best = bits.argmin(1)
                 low = bits[np.arange(j - i), best]
                 pred[i:j] = np.array(model.langs, object)[best]

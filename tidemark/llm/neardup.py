@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.graph import components
+from tidemark.operators.components import components
 from tidemark.llm.textkit import GRAPHIC, mix, scan, words_of
 from tidemark.shared import cut, fresh
 

@@ -6,6 +6,7 @@ number of bytes, so that memory follows the slice (or the one longest text), not
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -142,9 +143,29 @@ def words_of(column: pa.Array, table: np.ndarray = ALNUM, limit: int = SLICE_BYT
         yield i, j, Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], table, hashes)
 
 
+_held: dict = {}
+
+
+def held(key, build: Callable):
+    """What build() makes, kept between the tasks of a Python worker until something else is wanted: one thing at a time, so that a worker that serves many stages stays small."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
+def release() -> None:
+    """Hand memory that a task has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, unless the session says otherwise."""
-    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(16 << 20))):
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, str(8 << 20))):
         try:
             if usual is None or spark.conf.get(key) == usual:
                 spark.conf.set(key, value)
@@ -173,5 +194,7 @@ def scan(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Array], list[
             work = work or make()
             made = work(batch.column(n), *(batch.column(k) for k in range(n + 1, n + 1 + len(more))))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), *made], names=[f.name for f in schema])
+            del batch, made
+        release()
 
     return source.mapInArrow(run, schema)
