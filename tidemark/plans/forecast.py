@@ -1 +1,259 @@
-"""Queries."""
+"""Queries: the stack, movement, discovery, adoption, forecasts, and statistics of small samples."""
+
+from __future__ import annotations
+
+import itertools
+import statistics
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark import constants as C
+from tidemark.functions import dates, stats
+from tidemark.io import events, orders, table
+from tidemark.operators import discovery, panel, stack
+from tidemark.operators import series as S
+from tidemark.plans.growth import G12, SIGNAL, signal_rows
+from tidemark.plans.registry import query
+from tidemark.plans.series import SCORES, injected
+from tidemark.shipping import ship
+
+TYPES = {"STANDARD": "t1", "ECONOMY": "t2", "PROMO": "t3", "LARGE": "t4"}
+TIER = "case p_type when 'STANDARD' then 't1' when 'ECONOMY' then 't2' when 'PROMO' then 't3' when 'LARGE' then 't4' else 't0' end"
+
+
+def tier_rows(spark, sf_dir):
+    named = F.coalesce(F.create_map(*(F.lit(x) for p in TYPES.items() for x in p))[F.col("p_type")], F.lit("t0"))
+    return signal_rows(spark, sf_dir).select(named.alias("tier"), F.col("p_brand").alias("niche"), "latest", "prior", "g12")
+
+
+def _fires(t: str) -> str:
+    if t == "t1":
+        return "coalesce(t1 >= 10, false)"
+    return f"coalesce(not coalesce(b_{t} < 10, false) and {t} >= case when b_{t} is null or b_{t} <= 0 then 10.0 else greatest(10.0, 100 / sqrt(b_{t})) end, false)"
+
+
+STACK = f"""s as ({SIGNAL}), g as (select {TIER} as tier, p_brand as niche, latest, {G12} as g12 from s), b as (select *, case when 1 + g12 / 100 <> 0 and latest / (1 + g12 / 100) >= 0 then latest / (1 + g12 / 100) end as base from g),
+p as (select tier, niche, case when sum(base) > 0 then (sum(case when base is not null then latest end) / sum(base) - 1) * 100 end as pooled, round(sum(base)) as base from b group by 1, 2),
+w as (select niche, {", ".join(f"max(case when tier = '{t}' then pooled end) as {t}, max(case when tier = '{t}' then base end) as b_{t}" for t in ("t0", *C.TIERS))} from p group by 1),
+f as (select *, {", ".join(f"{_fires(t)} as f_{t}" for t in ("t0", *C.TIERS))} from w),
+d as (select *, case when greatest(case when f_t0 then t0 end, case when f_t1 then t1 end) >= 40 then 'booming' when f_t0 or f_t1 then 'growing' when coalesce(t1, t0) is null then 'unknown' when coalesce(t1, t0) <= -10 then 'falling' else 'flat' end as demand from f),
+q as (select *, case when demand = 'falling' and not (f_t1 or f_t2) then 'cooling' when not (f_t1 or f_t2 or f_t3 or f_t4) then case when t1 is not null or t2 is not null or t3 is not null then 'quiet' else 'nodata' end
+ when f_t4 then case when f_t1 or f_t2 then 'mainstream' else 'cooling' end when f_t3 then case when f_t1 or f_t2 then 'building' else 'cooling' end when f_t2 then 'emerging' else 'early' end as stage from d)"""
+
+
+@query(f"with {STACK} select niche, round(t1, 6) as t1, round(t2, 6) as t2, round(t3, 6) as t3, round(t4, 6) as t4, demand, stage from q")
+def stack_stages(spark, sf_dir):
+    built = stack.build(tier_rows(spark, sf_dir)).orderBy(*stack.order())
+    return built.select("niche", *(F.round(t, 6).alias(t) for t in C.TIERS), "demand", "stage")
+
+
+SNAP = f"""s as ({SIGNAL}), g as (select {TIER} as tier, p_brand as niche, latest, prior, {G12} as g12 from s)"""
+
+
+@query(f"""with {SNAP}, n as (select tier || '/' || niche as key, sum(greatest(latest, 1) * g12) / sum(greatest(latest, 1)) as now, cast(sum(greatest(latest, 1)) as double) as weight from g where g12 is not null and niche <> 'Brand#7' group by 1),
+p as (select tier || '/' || niche as key, 12.5 - (latest % 7) as was from g where niche <> 'Brand#9' and tier <> 't0'),
+j as (select coalesce(n.key, p.key) as key, was, now, coalesce(weight, 0) < 60 as thin from n full join p on n.key = p.key)
+select key, was, round(now, 6) as now, case when now is null then case when was >= 10 then 'dropped out' end when was is null then case when now < 10 then null when thin then 'new but thin' when now < 12 then 'new in noise band' else 'new' end
+ when (was >= 10) = (now >= 10) then null when thin then 'crossed but thin' when abs(now - 10) < 2 or abs(was - 10) < 2 then 'wobble' when now >= 10 then 'up' else 'down' end as move from j""".replace("select tier || '/' || niche as key, 12.5 - (latest % 7) as was from g", "select tier || '/' || niche as key, max(12.5 - (latest % 7)) as was from g").replace("tier <> 't0')", "tier <> 't0' group by 1)"))
+def crossings(spark, sf_dir):
+    rows = tier_rows(spark, sf_dir).withColumn("key", F.concat_ws("/", "tier", "niche"))
+    weight = F.greatest(F.col("latest"), F.lit(1))
+    now = rows.where("g12 is not null and niche <> 'Brand#7'").groupBy("key").agg((F.sum(weight * F.col("g12")) / F.sum(weight)).alias("now"), F.sum(weight).cast("double").alias("weight"))
+    prev = rows.where("niche <> 'Brand#9' and tier <> 't0'").groupBy("key").agg(F.max(12.5 - F.col("latest") % 7).alias("was"))
+    return stack.crossings(now, prev, 60.0).select("key", F.col("was").cast("double").alias("was"), F.round("now", 6).alias("now"), "move")
+
+
+@query(f"""with {SNAP}, w as (select niche, {", ".join(f"sum(case when tier = '{t}' then greatest(latest, 1) * g12 end) / sum(case when tier = '{t}' and g12 is not null then greatest(latest, 1) end) as {t}" for t in ("t1", "t2", "t3"))},
+ cast(sum(case when tier = 't1' then greatest(latest, 1) end) as double) as w1, cast(sum(case when tier = 't2' then greatest(latest, 1) end) as double) as w2 from g group by 1)
+select niche, cast((coalesce(t1 >= 10, false) and coalesce(w1, 0) >= 15)::int + (coalesce(t2 >= 10, false) and coalesce(w2, 0) >= 8)::int as int) as lit, round(t1, 6) as t1, round(t2, 6) as t2, round(t3, 6) as t3, t3 is null as t3_absent from w
+where ((coalesce(t1 >= 10, false) and coalesce(w1, 0) >= 15) or (coalesce(t2 >= 10, false) and coalesce(w2, 0) >= 8)) and not coalesce(t3 >= 10, false)""")
+def watchlist(spark, sf_dir):
+    rows = tier_rows(spark, sf_dir)
+    weight = F.greatest(F.col("latest"), F.lit(1))
+    of = lambda t: F.col("tier") == t
+    means = [(F.sum(F.when(of(t), weight * F.col("g12"))) / F.sum(F.when(of(t) & F.col("g12").isNotNull(), weight))).alias(t) for t in ("t1", "t2", "t3")]
+    wide = rows.groupBy("niche").agg(*means, F.sum(F.when(of("t1"), weight)).cast("double").alias("w1"), F.sum(F.when(of("t2"), weight)).cast("double").alias("w2"))
+    return stack.watchlist(wide).withColumns({t: F.round(t, 6) for t in ("t1", "t2", "t3")})
+
+
+@query("""with d as (select cast(ts as date) as day, event_type as niche, round(avg(value), 9) as g from events group by 1, 2), now as (select max(day) as day from d), b as (select d.niche, arg_max(g, d.day) as was, max(d.day) as base_day from d, now where d.day <= now.day - 7 group by 1)
+select d.niche, round(g, 6) as now, round(was, 6) as was, cast(base_day as varchar) as base_day from d join now on d.day = now.day left join b on b.niche = d.niche""")
+def whats_moved(spark, sf_dir):
+    """The newest snapshot against the newest one at least a week older."""
+    daily = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), F.col("event_type").alias("niche")).agg(F.round(F.avg("value"), 9).alias("g"))
+    both = daily.crossJoin(F.broadcast(daily.agg(F.max("day").alias("newest"))))
+    old = F.col("day") <= F.date_sub("newest", 7)
+    out = both.groupBy("niche").agg(F.max(F.when(F.col("day") == F.col("newest"), F.col("g"))).alias("now"), F.max(F.when(old, F.struct("day", "g"))).alias("b"))
+    return out.where("now is not null").select("niche", F.round("now", 6).alias("now"), F.round("b.g", 6).alias("was"), F.col("b.day").cast("string").alias("base_day"))
+
+
+@query("""with a as (select max(cast(l_shipdate as date)) as a from lineitem), m as (select l_suppkey as op, s_nationkey as region, l_returnflag = 'R' as context, (year(a) * 12 + month(a)) - (year(l_shipdate) * 12 + month(l_shipdate)) as k, unnest([p_name, split_part(p_name, ' ', 1)]) as phrase from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey, a where l_quantity > 44),
+b as (select *, case when k < 4 then 'p3' when k < 8 then 'p2' when k < 12 then 'p1' when k < 24 then 'prior12' else 'pre24' end as bucket from m),
+p as (select phrase, count(distinct op) filter (where bucket = 'p1') as p1, count(distinct op) filter (where bucket = 'p2') as p2, count(distinct op) filter (where bucket = 'p3') as p3, count(distinct op) filter (where bucket = 'prior12') as prior12, count(distinct op) filter (where bucket = 'pre24') as pre24,
+ count(distinct op) filter (where k < 12) as operators, count(*) filter (where k < 12) as mentions_12m, count(distinct region) filter (where k < 12) as regions, case when count(*) filter (where k < 12) > 0 then 100.0 * count(*) filter (where k < 12 and context) / count(*) filter (where k < 12) end as clinical_pct from b group by 1 having count(*) >= 4),
+v as (select *, (p3 + 0.5) / (p1 + 0.5) as lift, (p3 > p2 and p2 > p1) or (p3 > p2 and p2 = 0 and p1 = 0) as monotone, case when p3 + p1 > 0 then (p3 - p1) / sqrt(p3 + p1) end as z_shape, (operators + 0.5) / (prior12 + 0.5) as yoy_ratio, case when operators + prior12 > 0 then (operators - prior12) / sqrt(operators + prior12) end as z_yoy,
+ case when pre24 = 0 and prior12 = 0 then 'unseen_before' when pre24 = 0 then 'recent' else 'established' end as age from p)
+select phrase, operators, mentions_12m, age, round(ln(1 + operators) * greatest(0.45 * least(lift, 8.0) + 0.35 * least(yoy_ratio, 8.0) + (case when monotone then 0.6 else 0 end) + (case when list_has_any(string_split(phrase, ' '), ['widget', 'ring']) then 0.3 else 0 end) + 1.5 * (case age when 'unseen_before' then 2.0 when 'recent' then 1.0 else 0.0 end), 0.0) * (1 + 0.15 * coalesce(clinical_pct, 0.0) / 100), 6) as score,
+ case when contains(phrase, 'red') then 'already tracked' when mentions_12m < 4 then 'too few mentions' when operators < 6 then 'too few operators' when mentions_12m / operators > 3 then 'a chain' when regions > 0 and regions < 3 then 'one place' when not coalesce(greatest(z_yoy, z_shape) >= 2.4, false) then 'not rising' end as dropped from v""")
+def discovery_ladder(spark, sf_dir):
+    """Every phrase with its score and the first reason to drop it."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 44").withColumn("day", F.to_date("l_shipdate"))
+    named = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    anchor = table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("anchor"))
+    words = F.array("p_name", F.split("p_name", " ")[0])
+    mentions = named.crossJoin(F.broadcast(anchor)).select(F.explode(words).alias("phrase"), dates.bucket(F.col("day"), F.col("anchor")).alias("bucket"), F.col("l_suppkey").alias("op"), F.col("s_nationkey").alias("region"), (F.col("l_returnflag") == "R").alias("context"))
+    found = discovery.velocity(discovery.accumulate(mentions))
+    return found.select("phrase", "operators", "mentions_12m", "age", F.round(discovery.score(["widget", "ring"]), 6).alias("score"), discovery.judge(F.col("phrase").contains("red")).alias("dropped"))
+
+
+SEEN = "select o_custkey % 150 as domain, o_orderpriority || '/' || o_orderstatus as term, cast(date_trunc('month', o_orderdate) as date) as month from orders"
+
+
+def seen(spark, sf_dir):
+    return orders(spark, sf_dir).select((F.col("o_custkey") % 150).alias("domain"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("term"), F.trunc("day", "MM").alias("month"))
+
+
+@query(f"""with s as ({SEEN}), d as (select domain, min(month) as start from s group by 1), f as (select domain, term, min(month) as first from s group by 1, 2), o as (select f.*, first <= start + interval 3 month as censored from f join d using (domain)), a as (select date '1996-06-01' as a),
+c as (select term, count(*) as now, count(*) filter (where censored or first <= a - interval 12 month) as prior, count(*) filter (where censored or first <= a - interval 24 month) as base2, count(*) filter (where censored) as censored, min(first) filter (where not censored) as first_seen from o, a group by 1)
+select term, now, prior, censored, cast(first_seen as varchar) as first_seen, now - prior as new_12m, prior - base2 as new_prev_12m, (now - prior) - (prior - base2) as accel, case when prior > 0 then (now - prior) / cast(prior as double) else cast(now - prior as double) end as growth from c""")
+def adoption_panel(spark, sf_dir):
+    out = panel.adoption(panel.observations(seen(spark, sf_dir)), F.lit("1996-06-01").cast("date"))
+    return out.select("term", "now", "prior", "censored", F.col("first_seen").cast("string").alias("first_seen"), "new_12m", "new_prev_12m", "accel", "growth")
+
+
+@query(f"""with s as ({SEEN}), f as (select term, domain, cast(year(min(month)) as int) as y from s group by 1, 2) select term, cast(yr as int) as year, count(distinct domain) as adopters from f, (select unnest(range(1995, 2002)) as yr) where yr >= y group by 1, 2""")
+def cumulative_adopters(spark, sf_dir):
+    first = seen(spark, sf_dir).groupBy("term", "domain").agg(F.year(F.min("month")).alias("y"))
+    return first.select("term", "domain", F.explode(F.sequence("y", F.lit(2001))).alias("year")).groupBy("term", "year").agg(F.countDistinct("domain").alias("adopters"))
+
+
+@query("""with t as (select event_type, count(*) filter (where user_id < 3 and value > 60) as a, count(*) filter (where user_id < 3 and value <= 60) as b, count(*) filter (where user_id between 3 and 6 and value > 60) as c, count(*) filter (where user_id between 3 and 6 and value <= 60) as d from events where event_id < 6000 group by 1)
+select event_type, cast(a as bigint) as a, cast(b as bigint) as b, cast(c as bigint) as c, cast(d as bigint) as d,
+ round(list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda i: exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1)))), 6) as p from t""")
+def fisher_exact(spark, sf_dir):
+    rows = events(spark, sf_dir).where("event_id < 6000")
+    cell = lambda who, high: F.count_if(who & ((F.col("value") > 60) if high else (F.col("value") <= 60)))
+    one, two = F.col("user_id") < 3, F.col("user_id").between(3, 6)
+    cells = rows.groupBy("event_type").agg(cell(one, True).alias("a"), cell(one, False).alias("b"), cell(two, True).alias("c"), cell(two, False).alias("d"))
+    return cells.withColumn("p", F.round(stats.fisher_one_sided("a", "b", "c", "d"), 6))
+
+
+@query("""with n as (select cast(unnest(range(1, 15)) as int) as n) select n, round(power(0.5, n), 6) as sweep_p, power(0.5, n) <= 0.05 / 3 as passes, round(case when n = 1 then 1.0 else (n + 1) * power(0.5, n) end, 6) as one_inversion_p, 6 as needed from n""")
+def sweep_power(spark, sf_dir):
+    """What a perfect sweep of n signs is worth, and one with a single inversion."""
+    rows = spark.range(1, 15).select(F.col("id").cast("int").alias("n"))
+    return rows.select("n", F.round(stats.sweep_p("n"), 6).alias("sweep_p"), (stats.sweep_p("n") <= 0.05 / 3).alias("passes"), F.round(stats.binomial_tail(F.col("n") - 1, F.col("n")), 6).alias("one_inversion_p"), F.lit(stats.sweep_needed()).alias("needed"))
+
+
+@query("""with v as (select event_type, list_sort(list(value)) as xs from (select *, row_number() over (partition by event_type order by event_id) as rn from events) where rn <= 9 group by 1) select event_type, xs[1] as low, xs[9] as high, 0.9961 as coverage from v""")
+def median_interval(spark, sf_dir):
+    """The distribution-free interval of the median of nine values: the widest order statistics that cover it."""
+    rn = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    xs = events(spark, sf_dir).withColumn("rn", rn).where("rn <= 9").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("xs"))
+    return xs.withColumn("ci", stats.median_ci(F.col("xs"))).select("event_type", "ci.low", "ci.high", "ci.coverage")
+
+
+def permutation(xs: list[float], ys: list[float], most: int = 200_000) -> float | None:
+    """P that a random split of the pool gives a difference of medians at least as large; exact, null if there are too few values or too many splits."""
+    if len(xs) < 2 or len(ys) < 2:
+        return None
+    pool, k = xs + ys, len(xs)
+    seen_, hits, splits = statistics.median(xs) - statistics.median(ys), 0, 0
+    for chosen in itertools.combinations(range(len(pool)), k):
+        if splits > most:
+            return None
+        rest = set(range(len(pool))).difference(chosen)
+        splits += 1
+        hits += statistics.median([pool[i] for i in chosen]) - statistics.median([pool[i] for i in rest]) >= seen_ - 1e-12
+    return hits / splits
+
+
+@query(None)
+def permutation_test(spark, sf_dir):
+    """Exact permutation test of two groups of values, for each key."""
+    ship(spark)
+    rows = events(spark, sf_dir).where("event_id < 60 and event_type in ('click', 'error', 'view')").select("event_type", (F.col("user_id") < 75).alias("positive"), "value")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        xs, ys = pdf[pdf.positive].value.tolist()[:7], pdf[~pdf.positive].value.tolist()[:7]
+        return pd.DataFrame({"event_type": [pdf.event_type.iloc[0]], "p": [permutation(xs, ys)]})
+
+    return rows.groupBy("event_type").applyInPandas(test, "event_type string, p double")
+
+
+STATE = f"""with {SCORES}, h as (select *, coalesce(g >= ln(1.5) and gt >= ln(1.3) and z >= 3.0 and r >= 12 and count(z) over w = 3 and min(z) over w >= 1.5, false) as hit from z window w as (partition by series order by t rows between 1 following and 3 following)),
+k as (select series, min(t) filter (where hit) as onset_t, min(t) filter (where z is not null) as first_t, max(r) as peak, sum(v) as total from h group by 1), y as (select k.*, (select r from h where h.series = k.series and h.t = k.first_t) / nullif((select r from h where h.series = k.series and h.t = k.first_t - 12), 0) as ratio from k)
+select series, case when series = '5-LOW' then 'OUT_OF_SCOPE' when total = 0 then 'NO_DATA' when peak < 450 then 'BELOW_FLOOR' when onset_t is not null then 'FIRED' when ratio >= 1.5 then 'ALREADY_BOOMING' else 'NO_ONSET' end as state, onset_t from y"""
+
+
+@query(STATE.replace("as v from ax", "* (case when row_number() over (partition by ax.series order by ax.month) - 1 >= 56 and ax.series in ('1-URGENT', '2-HIGH') then 4 else 1 end) as v from ax"))
+def tier_states(spark, sf_dir):
+    """Fired, rejected or abstained: out of scope, below the floor and already booming leave the denominator."""
+    rows = injected(spark, sf_dir)
+    scored = S.growth_scores(rows)
+    found = S.onsets(rows, min_level=C.FLOORS["T2"]).select("series", "onset_t", "total")
+    yoy = F.col("r") / F.lag("r", 12).over(S.line())
+    first = scored.withColumn("yoy", yoy).groupBy("series").agg(F.max("r").alias("peak"), F.min(F.when(F.col("z").isNotNull(), F.struct("t", "yoy"))).alias("f"))
+    state = F.when(F.col("series") == "5-LOW", "OUT_OF_SCOPE").when(F.col("total") == 0, "NO_DATA").when(F.col("peak") < 450, "BELOW_FLOOR").when(F.col("onset_t").isNotNull(), "FIRED").when(F.col("f.yoy") >= C.GROWTH_X, "ALREADY_BOOMING").otherwise("NO_ONSET")
+    return found.join(first, "series").select("series", state.alias("state"), "onset_t")
+
+
+def null_series(spark, reps: int = 200, months: int = 120, boom: int = 84):
+    """Poisson series of two tiers that boom in the same month, made where they are used; the seed is the series' number."""
+    spec = spark.range(reps * 2).select(F.col("id"), (F.col("id") % 2).alias("tier"), F.floor(F.col("id") / 2).alias("rep"))
+
+    def make(batches):
+        import numpy as np
+
+        for pdf in batches:
+            for row in pdf.itertuples():
+                rng = np.random.default_rng(1_000 + row.id)
+                t = np.arange(months)
+                level = (8.0 if row.tier == 0 else 20.0) * np.where(t < boom, 1.0, np.minimum(1 + (t - boom) * 0.25, 5.0))
+                yield pd.DataFrame({"series": f"{row.rep}/{row.tier}", "t": t.astype("int32"), "v": rng.poisson(level).astype(float)})
+
+    return spec.mapInPandas(make, "series string, t int, v double").withColumn("month", F.add_months(F.lit("2010-01-01").cast("date"), F.col("t")))
+
+
+@query(None)
+def null_calibration(spark, sf_dir):
+    """The apparent lead between two tiers whose true lead is zero: every onset of all repetitions in one query."""
+    found = S.onsets(null_series(spark, reps=60)).select(F.split("series", "/")[0].alias("rep"), F.split("series", "/")[1].alias("tier"), "onset_t")
+    pairs = found.groupBy("rep").agg(F.max(F.when(F.col("tier") == "0", F.col("onset_t"))).alias("a"), F.max(F.when(F.col("tier") == "1", F.col("onset_t"))).alias("b"))
+    return pairs.agg(F.count(F.lit(1)).alias("reps"), F.count("a").alias("fired_a"), F.count("b").alias("fired_b"), F.median(F.col("b") - F.col("a")).alias("median_gap"), F.avg((F.col("b") > F.col("a")).cast("int")).alias("in_order"))
+
+
+@query("""with c as (select o_orderkey as call, o_custkey as k, cast(o_orderdate as date) as d, case when o_orderkey % 4 = 0 then 'control' else 'pick' end as role from orders where o_orderstatus = 'O' and o_orderdate < timestamp '1999-01-01'),
+s as (select o_custkey as k, cast(o_orderdate as date) as d, max(o_totalprice) as v from orders where o_orderstatus <> 'O' group by 1, 2),
+n as (select c.call, s.v, row_number() over (partition by c.call order by abs(s.d - (c.d + 365)), s.d) as rn from c join s on c.k = s.k and abs(s.d - (c.d + 365)) <= 45), g as (select role, case when v is null then 'ungradeable' when v >= 250000 then 'hit' else 'miss' end as outcome from c left join n on c.call = n.call and rn = 1)
+select role, count(*) as calls, count(*) filter (where outcome = 'hit') as hits, count(*) filter (where outcome = 'ungradeable') as ungradeable from g group by 1""")
+def forecast_grades(spark, sf_dir):
+    """Calls graded by the snapshot nearest to their maturity; without one they abstain."""
+    from tidemark.operators import joins
+
+    rows = orders(spark, sf_dir)
+    calls = rows.where("o_orderstatus = 'O' and day < '1999-01-01'").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("k"), F.date_add("day", C.HORIZON_DAYS).alias("d"), F.when(F.col("o_orderkey") % 4 == 0, "control").otherwise("pick").alias("role"))
+    shots = rows.where("o_orderstatus <> 'O'").select(F.col("o_custkey").alias("k"), F.col("day").alias("d"), "o_totalprice")
+    near = joins.nearest(calls, shots, ["k"], "d", "o_totalprice", F.lit(C.MATURITY_WINDOW_DAYS))
+    outcome = F.when(F.col("near_value").isNull(), "ungradeable").when(F.col("near_value") >= 250_000, "hit").otherwise("miss")
+    return near.withColumn("o", outcome).groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("o") == "hit").alias("hits"), F.count_if(F.col("o") == "ungradeable").alias("ungradeable"))
+
+
+@query("""with q as (select event_type || '/' || user_id as query, event_type as seed, count(*) as sightings, min(ts) as first_ts, max(ts) as last_ts, max(value) as top from events group by 1, 2), l as (select seed, max(last_ts) - interval 3 day as polled from q group by 1)
+select query, seed, sightings, epoch_us(first_ts) as first_us, top, last_ts >= polled as current from q join l using (seed) where regexp_matches(query, '[1-9]')""")
+def rising_queries(spark, sf_dir):
+    """Polled-query memory: a row is current if its last sighting is of its seed's last poll."""
+    rows = events(spark, sf_dir).select(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("query"), F.col("event_type").alias("seed"), "ts", "value")
+    memory = rows.groupBy("query", "seed").agg(F.count(F.lit(1)).alias("sightings"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.max("value").alias("top"))
+    polled = memory.groupBy("seed").agg((F.max("last") - F.expr("interval 3 days")).alias("polled"))
+    return memory.join(polled, "seed").where(F.col("query").rlike("[1-9]")).select("query", "seed", "sightings", F.unix_micros("first").alias("first_us"), "top", (F.col("last") >= F.col("polled")).alias("current"))
+
+
+@query(f"""with s as ({SIGNAL}), g as (select *, {G12} as g12 from s) select p_brand, p_type, case when g12 is null then 'n/a' when g12 >= 0 then '+' || cast(round(g12) as bigint) || '%' else cast(round(g12) as bigint) || '%' end as shown, latest || ' now against ' || prior || ' a year ago' as why from g""")
+def digest_lines(spark, sf_dir):
+    """Signed percentages and the sentence that gives them their base."""
+    rounded = F.round("g12").cast("long")
+    shown = F.when(F.col("g12").isNull(), "n/a").when(F.col("g12") >= 0, F.format_string("+%d%%", rounded)).otherwise(F.format_string("%d%%", rounded))
+    return signal_rows(spark, sf_dir).select("p_brand", "p_type", shown.alias("shown"), F.format_string("%d now against %d a year ago", "latest", "prior").alias("why"))
