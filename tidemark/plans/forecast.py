@@ -56,7 +56,7 @@ SNAP = f"""s as ({SIGNAL}), g as (select {TIER} as tier, p_brand as niche, lates
 p as (select tier || '/' || niche as key, 12.5 - (latest % 7) as was from g where niche <> 'Brand#9' and tier <> 't0'),
 j as (select coalesce(n.key, p.key) as key, was, now, coalesce(weight, 0) < 60 as thin from n full join p on n.key = p.key)
 select key, was, round(now, 6) as now, case when now is null then case when was >= 10 then 'dropped out' end when was is null then case when now < 10 then null when thin then 'new but thin' when now < 12 then 'new in noise band' else 'new' end
- when (was >= 10) = (now >= 10) then null when thin then 'crossed but thin' when abs(now - 10) < 2 or abs(was - 10) < 2 then 'wobble' when now >= 10 then 'up' else 'down' end as move from j""".replace("select tier || '/' || niche as key, 12.5 - (latest % 7) as was from g", "select tier || '/' || niche as key, max(12.5 - (latest % 7)) as was from g").replace("tier <> 't0')", "tier <> 't0' group by 1)"))
+ when (was >= 10) = (now >= 10) then null when thin then 'crossed but thin' when abs(now - 10) < 2 or abs(was - 10) < 2 then 'wobble' when now >= 10 then 'up' else 'down' end as move from j""".replace("select tier || '/' || niche as key, 12.5 - (latest % 7) as was from g", "select tier || '/' || niche as key, max(cast(12.5 - (latest % 7) as double)) as was from g").replace("tier <> 't0')", "tier <> 't0' group by 1)"))
 def crossings(spark, sf_dir):
     rows = tier_rows(spark, sf_dir).withColumn("key", F.concat_ws("/", "tier", "niche"))
     weight = F.greatest(F.col("latest"), F.lit(1))
@@ -147,7 +147,7 @@ def sweep_power(spark, sf_dir):
     return rows.select("n", F.round(stats.sweep_p("n"), 6).alias("sweep_p"), (stats.sweep_p("n") <= 0.05 / 3).alias("passes"), F.round(stats.binomial_tail(F.col("n") - 1, F.col("n")), 6).alias("one_inversion_p"), F.lit(stats.sweep_needed()).alias("needed"))
 
 
-@query("""with v as (select event_type, list_sort(list(value)) as xs from (select *, row_number() over (partition by event_type order by event_id) as rn from events) where rn <= 9 group by 1) select event_type, xs[1] as low, xs[9] as high, 0.9961 as coverage from v""")
+@query("""with v as (select event_type, list_sort(list(value)) as xs from (select *, row_number() over (partition by event_type order by event_id) as rn from events) where rn <= 9 group by 1) select event_type, xs[1] as low, xs[9] as high, cast(0.9961 as double) as coverage from v""")
 def median_interval(spark, sf_dir):
     """The distribution-free interval of the median of nine values: the widest order statistics that cover it."""
     rn = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
