@@ -113,3 +113,15 @@ def supply(indie: Column, top5: Column, hhi: Column, entry: Column) -> Column:
         .when(entry >= C.ENTRY_HOT, "filling")
         .otherwise("fragmented")
     )
+
+
+def quadrant(demand_: Column, supply_: Column) -> Column:
+    """What the two reads mean for a buyer; consolidation beats everything."""
+    return (
+        F.when(supply_.isin("unknown", "unobservable"), "no_data")
+        .when(supply_ == "consolidated", "too_late")
+        .when(supply_ == "none", F.when(demand_.isin("growing", "booming"), "build_only").otherwise("nothing_here"))
+        .when(supply_ == "filling", "wait_or_build")
+        .when(demand_ == "falling", "declining")
+        .otherwise("buy_window")
+    )
