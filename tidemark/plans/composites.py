@@ -12,12 +12,13 @@ from tidemark.io import events, orders, table
 from tidemark.operators import components, growth
 from tidemark.operators import series as S
 from tidemark.operators import structure as M
+from tidemark.plans.joins import part_days
 from tidemark.plans.registry import query
 from tidemark.plans.series import SCORES, monthly
 from tidemark.shared import fresh
 from tidemark.sources import sinks
 
-GRAMS = """select l_orderkey, unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as term, cast(l_shipdate as date) as d, (select max(cast(l_shipdate as date)) from lineitem) as a from lineitem join part on l_partkey = p_partkey where l_quantity > 30"""
+GRAMS = """select l_orderkey, unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as term, cast(l_shipdate as date) as d, (select max(cast(l_shipdate as date)) from lineitem) as a from lineitem join part on l_partkey = p_partkey"""
 
 
 @query(f"""with g as ({GRAMS}), w as (select term, cast(count(*) filter (where d > a - interval 12 month and d <= a) as bigint) as latest, cast(count(*) filter (where d > a - interval 24 month and d <= a - interval 12 month) as bigint) as prior from g group by 1),
@@ -25,7 +26,7 @@ c as (select count(*) filter (where d > a - interval 12 month and d <= a) as l,
 select term, latest, round(case when prior >= 3 then ((latest / cast(prior as double)) / (l / cast(p as double)) - 1) * 100 end, 6) as net, round(case when prior >= 3 and latest > 0 then (exp(ln(latest / cast(prior as double)) - 1.96 * sqrt(1.0 / latest + 1.0 / prior)) - 1) * 100 end, 6) as low, prior = 0 as is_new from w, c where latest >= 4 order by net desc nulls last, latest desc, term limit 40""")
 def incorporations_net(spark, sf_dir):
     """Terms of new names by their growth net of the control group, with support floors and the interval's lower end."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 30").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     words = F.split("p_name", " ")
     terms = lines.select(F.explode(F.array("p_name", words[0], words[1])).alias("term"), F.to_date("l_shipdate").alias("day"))
     counts = growth.window_counts(terms, "term", "day", {"latest": (12, 0), "prior": (24, 12)})
@@ -76,11 +77,11 @@ def adjusted_counts(spark, sf_dir):
     return hits.groupBy("term").agg(n.alias("raw"), real.alias("real"), F.round(100.0 * F.count_if(F.col("label") == "unknown") / n, 6).alias("unknown_pct"), (real >= C.MIN_COUNT).alias("shown"))
 
 
-@query("""with c as (select o_orderkey as id, o_custkey % 97 as office, cast(o_orderdate as date) as d, o_orderpriority as name from orders where o_orderkey < 1500), g as (select office, count(*) as n, count(distinct name) as kinds from c group by 1), l as (select office, d, lead(d, 3) over (partition by office order by d) as later from c), k as (select office, bool_or(coalesce(later - d <= 120, false)) as burst from l group by 1)
+@query("""with c as (select o_orderkey as id, o_custkey as office, cast(o_orderdate as date) as d, o_orderpriority as name from orders), g as (select office, count(*) as n, count(distinct name) as kinds from c group by 1), l as (select office, d, lead(d, 3) over (partition by office order by d) as later from c), k as (select office, bool_or(coalesce(later - d <= 120, false)) as burst from l group by 1)
 select office, n, kinds >= 4 as formulaic, burst, case when n < 2 then 'alone' when n <= 4 then 'linked' when kinds >= 4 and burst then 'batch' else 'agent' end as read from g join k using (office)""")
 def spv_clusters(spark, sf_dir):
     """An office that many share is an agent, unless the names are formulaic and the dates cluster: then it is a batch."""
-    rows = orders(spark, sf_dir).where("o_orderkey < 1500").select((F.col("o_custkey") % 97).alias("office"), "day", F.col("o_orderpriority").alias("name"))
+    rows = orders(spark, sf_dir).select(F.col("o_custkey").alias("office"), "day", F.col("o_orderpriority").alias("name"))
     later = F.lead("day", C.SPV_MIN_CLUSTER - 1).over(Window.partitionBy("office").orderBy("day"))
     near = rows.withColumn("near", F.coalesce(F.datediff(later, F.col("day")) <= C.SPV_WINDOW_DAYS, F.lit(False)))
     sums = near.groupBy("office").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("name") >= C.FORMULAIC_MIN).alias("formulaic"), F.bool_or("near").alias("burst"))
@@ -119,8 +120,8 @@ def completeness(spark, sf_dir):
     return cells.crossJoin(F.broadcast(span)).select("k", "cells", "months", F.round(100.0 * F.col("cells") / F.col("months"), 6).alias("covered_pct"), (F.col("cells") / F.col("months") >= 0.95).alias("usable"))
 
 
-OWNERS = """with recursive m as (select distinct l_suppkey as node, l_partkey as key from lineitem where l_quantity = 50), g as (select key, count(*) as n, min(node) as first from m group by 1), e as (select first as u, node as v from m join g using (key) where n = 2 and node <> first and key % 5 = 0), b as (select u, v from e union select v, u from e),
-r(node, c) as (select node, node from (select distinct node from m) union select r.node, b.v from r join b on b.u = r.c), o as (select node, min(c) as owner from r group by 1), l as (select p_type as niche, l_suppkey as unit, count(*) as n from lineitem join part on l_partkey = p_partkey where l_quantity > 48 group by 1, 2)"""
+OWNERS = """with recursive m as (select distinct l_suppkey as node, l_partkey || '|' || cast(l_shipdate as date) as key from lineitem), g as (select key, count(*) as n, min(node) as first from m group by 1), e as (select distinct first as u, node as v from m join g using (key) where n between 2 and 4 and node <> first), b as (select u, v from e union select v, u from e),
+r(node, c) as (select node, node from (select distinct node from m) union select r.node, b.v from r join b on b.u = r.c), o as (select node, min(c) as owner from r group by 1), l as (select p_type as niche, l_suppkey as unit, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1, 2)"""
 
 
 @query(f"""{OWNERS}, legal as (select niche, sum(n) as total, count(*) as units, sum(n * cast(n as double)) as squares from l group by 1), econ as (select niche, count(*) as owners, sum(n * cast(n as double)) as squares from (select niche, coalesce(owner, unit) as owner, sum(n) as n from l left join o on l.unit = o.node group by 1, 2) group by 1)
@@ -128,10 +129,9 @@ select niche, units, owners, units - owners as hidden, round(legal.squares / tot
 def economic_owners(spark, sf_dir):
     """Concentration by legal entity and by economic owner: what sharing a key hides."""
     lines = table(spark, sf_dir, "lineitem")
-    members = lines.where("l_quantity = 50").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key")).distinct()
-    kept, _ = components.shared_key_edges(members.where("key % 5 = 0"), "node", "key", 2)
+    kept, _ = components.shared_key_edges(part_days(spark, sf_dir), "node", "key", C.MAX_ADDRESS_GROUP)
     owners = components.components(kept)
-    units = lines.where("l_quantity > 48").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("niche"), F.col("l_suppkey").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
+    units = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("niche"), F.col("l_suppkey").alias("unit")).agg(F.count(F.lit(1)).alias("n"))
     owned = units.join(owners, units.unit == owners.node, "left").groupBy("niche", F.coalesce("component", "unit").alias("owner")).agg(F.sum("n").alias("n"))
     squares = F.sum(F.col("n").cast("double") * F.col("n"))
     legal = units.groupBy("niche").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("units"), squares.alias("ls"))
@@ -159,14 +159,14 @@ def markdown_report(spark, sf_dir):
     return sinks.markdown(table(spark, sf_dir, "region").orderBy("r_regionkey").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")), "Regions")
 
 
-@query("""with m as (select cast(date_trunc('month', o_orderdate) as date)::varchar as month, case when o_orderkey < 9000 then 1 else 2 end as sweep, count(*) as n from orders where o_orderdate < timestamp '1996-01-01' or o_orderkey >= 9000 group by 1, 2), f as (select month, min(sweep) as sweep from m group by 1) select month, n from m join f using (month, sweep)""")
+@query("""select cast(date_trunc('month', o_orderdate) as date)::varchar as month, count(*) as n from orders group by 1""")
 def immutable_months(spark, sf_dir):
     """Months are written once: a later sweep adds those that are missing and changes none."""
     rows = orders(spark, sf_dir).withColumn("month", F.trunc("day", "MM").cast("string"))
     path = fresh(spark, "months")
     counts = lambda cond: rows.where(cond).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    sinks.append_missing(counts("o_orderkey < 9000 and day < '1996-01-01'"), path, "month", None)
-    sinks.append_missing(counts("o_orderkey >= 9000"), path, "month", spark.read.schema("n long, month string").parquet(path))
+    sinks.append_missing(counts("day < '1998-01-01'"), path, "month", None)
+    sinks.append_missing(counts("true"), path, "month", spark.read.schema("n long, month string").parquet(path))
     return spark.read.schema("n long, month string").parquet(path).select("month", "n")
 
 

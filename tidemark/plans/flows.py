@@ -91,12 +91,12 @@ def sitemap_scan(spark, sf_dir):
     return landed.sitemap_urls(maps)
 
 
-@query("""select event_type as seed, 'q' || event_id as query, event_type = 'error' as is_breakout, case when event_type <> 'error' then cast(event_id as double) end as rise from events where event_id < 300""")
+@query("""select event_type as seed, 'q' || event_id as query, event_type = 'error' as is_breakout, case when event_type <> 'error' then cast(event_id as double) end as rise from events""")
 def related_payloads(spark, sf_dir):
     """Rising queries out of nested payloads, with their labels read."""
-    rows = table(spark, sf_dir, "events").where("event_id < 300")
+    rows = table(spark, sf_dir, "events")
     label = F.when(F.col("event_type") == "error", "Breakout").otherwise(F.concat(F.lit("+"), F.format_number(F.col("event_id"), 0), F.lit("%")))
-    each = rows.groupBy(F.col("event_type").alias("seed")).agg(F.collect_list(F.struct(F.concat(F.lit("q"), "event_id").alias("query"), label.alias("value"), F.col("event_id").cast("double").alias("extracted_value"))).alias("rising"))
+    each = rows.groupBy(F.col("event_type").alias("seed"), "user_id").agg(F.collect_list(F.struct(F.concat(F.lit("q"), "event_id").alias("query"), label.alias("value"), F.col("event_id").cast("double").alias("extracted_value"))).alias("rising"))
     payloads = each.select("seed", F.to_json(F.struct(F.struct("rising").alias("related_queries"))).alias("payload"))
     is_out, rise = X.rise_label(F.col("label"))
     return landed.rising_queries(payloads).select("seed", "query", is_out.alias("is_breakout"), rise.alias("rise"))

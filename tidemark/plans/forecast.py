@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import statistics
 
 import pandas as pd
@@ -89,7 +90,7 @@ def whats_moved(spark, sf_dir):
     return out.where("now is not null").select("niche", F.round("now", 6).alias("now"), F.round("b.g", 6).alias("was"), F.col("b.day").cast("string").alias("base_day"))
 
 
-@query("""with a as (select max(cast(l_shipdate as date)) as a from lineitem), m as (select l_suppkey as op, s_nationkey as region, l_returnflag = 'R' as context, (year(a) * 12 + month(a)) - (year(l_shipdate) * 12 + month(l_shipdate)) as k, unnest([p_name, split_part(p_name, ' ', 1)]) as phrase from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey, a where l_quantity > 44),
+@query("""with a as (select max(cast(l_shipdate as date)) as a from lineitem), m as (select l_suppkey as op, s_nationkey as region, l_returnflag = 'R' as context, (year(a) * 12 + month(a)) - (year(l_shipdate) * 12 + month(l_shipdate)) as k, unnest([p_name, split_part(p_name, ' ', 1)]) as phrase from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey, a),
 b as (select *, case when k < 4 then 'p3' when k < 8 then 'p2' when k < 12 then 'p1' when k < 24 then 'prior12' else 'pre24' end as bucket from m),
 p as (select phrase, count(distinct op) filter (where bucket = 'p1') as p1, count(distinct op) filter (where bucket = 'p2') as p2, count(distinct op) filter (where bucket = 'p3') as p3, count(distinct op) filter (where bucket = 'prior12') as prior12, count(distinct op) filter (where bucket = 'pre24') as pre24,
  count(distinct op) filter (where k < 12) as operators, count(*) filter (where k < 12) as mentions_12m, count(distinct region) filter (where k < 12) as regions, case when count(*) filter (where k < 12) > 0 then 100.0 * count(*) filter (where k < 12 and context) / count(*) filter (where k < 12) end as clinical_pct from b group by 1 having count(*) >= 4),
@@ -99,7 +100,7 @@ select phrase, operators, mentions_12m, age, round(ln(1 + operators) * greatest(
  case when contains(phrase, 'red') then 'already tracked' when mentions_12m < 4 then 'too few mentions' when operators < 6 then 'too few operators' when mentions_12m / operators > 3 then 'a chain' when regions > 0 and regions < 3 then 'one place' when not coalesce(greatest(z_yoy, z_shape) >= 2.4, false) then 'not rising' end as dropped from v""")
 def discovery_ladder(spark, sf_dir):
     """Every phrase with its score and the first reason to drop it."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 44").withColumn("day", F.to_date("l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("day", F.to_date("l_shipdate"))
     named = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     anchor = table(spark, sf_dir, "lineitem").agg(F.max(F.to_date("l_shipdate")).alias("anchor"))
     words = F.array("p_name", F.split("p_name", " ")[0])
@@ -129,14 +130,12 @@ def cumulative_adopters(spark, sf_dir):
     return first.select("term", "domain", F.explode(F.sequence("y", F.lit(2001))).alias("year")).groupBy("term", "year").agg(F.countDistinct("domain").alias("adopters"))
 
 
-@query("""with t as (select event_type, count(*) filter (where user_id < 3 and value > 60) as a, count(*) filter (where user_id < 3 and value <= 60) as b, count(*) filter (where user_id between 3 and 6 and value > 60) as c, count(*) filter (where user_id between 3 and 6 and value <= 60) as d from events where event_id < 6000 group by 1)
-select event_type, cast(a as bigint) as a, cast(b as bigint) as b, cast(c as bigint) as c, cast(d as bigint) as d,
- round(list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda i: exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1)))), 6) as p from t""")
+@query("""with t as (select user_id, cast(count(*) filter (where event_type = 'purchase' and value > 60) as bigint) as a, cast(count(*) filter (where event_type = 'purchase' and value <= 60) as bigint) as b, cast(count(*) filter (where event_type <> 'purchase' and value > 60) as bigint) as c, cast(count(*) filter (where event_type <> 'purchase' and value <= 60) as bigint) as d from events group by 1)
+select user_id, a, b, c, d, round(list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda i: exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - lgamma(a + c - i + 1) - lgamma(d - a + i + 1)))), 6) as p from t""")
 def fisher_exact(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_id < 6000")
-    cell = lambda who, high: F.count_if(who & ((F.col("value") > 60) if high else (F.col("value") <= 60)))
-    one, two = F.col("user_id") < 3, F.col("user_id").between(3, 6)
-    cells = rows.groupBy("event_type").agg(cell(one, True).alias("a"), cell(one, False).alias("b"), cell(two, True).alias("c"), cell(two, False).alias("d"))
+    """Whether each user's purchases are large more often than their other events."""
+    cell = lambda bought, high: F.count_if(((F.col("event_type") == "purchase") == F.lit(bought)) & ((F.col("value") > 60) == F.lit(high)))
+    cells = events(spark, sf_dir).groupBy("user_id").agg(cell(True, True).alias("a"), cell(True, False).alias("b"), cell(False, True).alias("c"), cell(False, False).alias("d"))
     return cells.withColumn("p", F.round(stats.fisher_one_sided("a", "b", "c", "d"), 6))
 
 
@@ -147,12 +146,11 @@ def sweep_power(spark, sf_dir):
     return rows.select("n", F.round(stats.sweep_p("n"), 6).alias("sweep_p"), (stats.sweep_p("n") <= 0.05 / 3).alias("passes"), F.round(stats.binomial_tail(F.col("n") - 1, F.col("n")), 6).alias("one_inversion_p"), F.lit(stats.sweep_needed()).alias("needed"))
 
 
-@query("""with v as (select event_type, list_sort(list(value)) as xs from (select *, row_number() over (partition by event_type order by event_id) as rn from events) where rn <= 9 group by 1) select event_type, xs[1] as low, xs[9] as high, cast(0.9961 as double) as coverage from v""")
+@query("""with v as (select user_id, count(*) as n, min(value) as low, max(value) as high from events where event_type = 'purchase' group by 1) select user_id, case when n >= 6 then low end as low, case when n >= 6 then high end as high, case when n >= 6 then round(1 - 2 * power(cast(0.5 as double), n), 4) end as coverage from v""")
 def median_interval(spark, sf_dir):
-    """The distribution-free interval of the median of nine values: the widest order statistics that cover it."""
-    rn = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
-    xs = events(spark, sf_dir).withColumn("rn", rn).where("rn <= 9").groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("xs"))
-    return xs.withColumn("ci", stats.median_ci(F.col("xs"))).select("event_type", "ci.low", "ci.high", "ci.coverage")
+    """The distribution-free interval of each user's median purchase: the widest order statistics; null where even those don't cover it."""
+    xs = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("xs"))
+    return xs.withColumn("ci", stats.median_ci(F.col("xs"))).select("user_id", "ci.low", "ci.high", "ci.coverage")
 
 
 def permutation(xs: list[float], ys: list[float], most: int = 200_000) -> float | None:
@@ -160,10 +158,10 @@ def permutation(xs: list[float], ys: list[float], most: int = 200_000) -> float
     if len(xs) < 2 or len(ys) < 2:
         return None
     pool, k = xs + ys, len(xs)
+    if math.comb(len(pool), k) > most:
+        return None
     seen_, hits, splits = statistics.median(xs) - statistics.median(ys), 0, 0
     for chosen in itertools.combinations(range(len(pool)), k):
-        if splits > most:
-            return None
         rest = set(range(len(pool))).difference(chosen)
         splits += 1
         hits += statistics.median([pool[i] for i in chosen]) - statistics.median([pool[i] for i in rest]) >= seen_ - 1e-12
@@ -172,15 +170,15 @@ def permutation(xs: list[float], ys: list[float], most: int = 200_000) -> float
 
 @query(None)
 def permutation_test(spark, sf_dir):
-    """Exact permutation test of two groups of values, for each key."""
+    """Exact permutation test of each user's purchases before and after noon; null where there are too many splits to list."""
     ship(spark)
-    rows = events(spark, sf_dir).where("event_id < 60 and event_type in ('click', 'error', 'view')").select("event_type", (F.col("user_id") < 75).alias("positive"), "value")
+    rows = events(spark, sf_dir).where("event_type = 'purchase'").select("user_id", (F.hour("ts") < 12).alias("early"), "value")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs, ys = pdf[pdf.positive].value.tolist()[:7], pdf[~pdf.positive].value.tolist()[:7]
-        return pd.DataFrame({"event_type": [pdf.event_type.iloc[0]], "p": [permutation(xs, ys)]})
+        p = permutation(pdf[pdf.early].value.tolist(), pdf[~pdf.early].value.tolist(), most=5_000)
+        return pd.DataFrame({"user_id": [pdf.user_id.iloc[0]], "p": [p]})
 
-    return rows.groupBy("event_type").applyInPandas(test, "event_type string, p double")
+    return rows.groupBy("user_id").applyInPandas(test, "user_id long, p double")
 
 
 STATE = f"""with {SCORES}, h as (select *, coalesce(g >= ln(1.5) and gt >= ln(1.3) and z >= 3.0 and r >= 12 and count(z) over w = 3 and min(z) over w >= 1.5, false) as hit from z window w as (partition by series order by t rows between 1 following and 3 following)),

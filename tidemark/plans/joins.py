@@ -95,7 +95,7 @@ def interval_join(spark, sf_dir):
     return hits.groupBy("call").agg(F.count(F.lit(1)).alias("sightings"), F.min("d").cast("string").alias("first_seen"), (F.datediff(F.max("d"), F.min("d")) >= C.CONFIRM_GAP_DAYS).alias("confirmed"))
 
 
-@query("""with c as (select c_custkey, c_nationkey, regexp_extract(c_name, '#0*([0-9]+)$', 1) as norm from customer where c_custkey < 300), s as (select s_suppkey, s_nationkey, regexp_extract(s_name, '#0*([0-9]+)$', 1) as norm from supplier union all select s_suppkey + 1000, s_nationkey, regexp_extract(s_name, '#0*([0-9]+)$', 1) from supplier where s_suppkey % 10 = 3),
+@query("""with c as (select c_custkey, c_nationkey, regexp_extract(c_name, '#0*([0-9]+)$', 1) as norm from customer), s as (select s_suppkey, s_nationkey, regexp_extract(s_name, '#0*([0-9]+)$', 1) as norm from supplier union all select s_suppkey + 1000, s_nationkey, regexp_extract(s_name, '#0*([0-9]+)$', 1) from supplier where s_suppkey % 10 = 3),
 n as (select norm, count(*) as n, min(s_suppkey) as s, min(s_nationkey) as nat from s group by 1)
 select c_custkey, case when n is null then 'unmatched' when n > 1 then 'ambiguous' else 'matched' end as status, case when n = 1 then s end as matched, case when n = 1 then case when nat = c_nationkey then 'high' else 'name-only' end end as confidence from c left join n using (norm)""")
 def entity_match(spark, sf_dir):
@@ -104,19 +104,18 @@ def entity_match(spark, sf_dir):
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", number("s_name").alias("norm"))
     twice = supplier.unionByName(supplier.where("s_suppkey % 10 = 3").withColumn("s_suppkey", F.col("s_suppkey") + 1000))
     found = twice.groupBy("norm").agg(F.count(F.lit(1)).alias("n"), F.min("s_suppkey").alias("s"), F.min("s_nationkey").alias("nat"))
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 300").withColumn("norm", number("c_name")).join(found, "norm", "left")
+    rows = table(spark, sf_dir, "customer").withColumn("norm", number("c_name")).join(found, "norm", "left")
     one = F.col("n") == 1
     status = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched")
     return rows.select("c_custkey", status.alias("status"), F.when(one, F.col("s")).alias("matched"), F.when(one, F.when(F.col("nat") == F.col("c_nationkey"), "high").otherwise("name-only")).alias("confidence"))
 
 
-PHRASES = """select distinct unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as phrase, l_suppkey as op from lineitem join part on l_partkey = p_partkey where p_brand = 'Brand#3' and l_quantity >= 45"""
+PHRASES = """select distinct unnest([p_name, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) as phrase, l_suppkey as op from lineitem join part on l_partkey = p_partkey"""
 
 
 def phrase_operators(spark, sf_dir):
     """(phrase, op): the operators that use each phrase."""
-    part = table(spark, sf_dir, "part").where("p_brand = 'Brand#3'")
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     words = F.split("p_name", " ")
     return lines.select(F.explode(F.array("p_name", words[0], words[1])).alias("phrase"), F.col("l_suppkey").alias("op")).distinct()
 
@@ -136,11 +135,11 @@ def same_family(spark, sf_dir):
     return common.join(named("short"), "short").join(named("long"), "long").select("short", "long", "common", (F.col("common") >= 0.5 * F.least("n_short", "n_long")).alias("same_family"))
 
 
-@query(f"""with p as (select phrase, op from ({PHRASES}) where op <= 8), s as (select phrase, list_sort(list(op)) as ops from p group by 1)
+@query(f"""with p as (select phrase, op from ({PHRASES})), s as (select phrase, list_sort(list(op)) as ops from p group by 1)
 select a.phrase as short, b.phrase as long, cast(len(a.ops) as int) as adopters from s a join s b on a.ops = b.ops and a.phrase <> b.phrase and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')""")
 def subsumed_terms(spark, sf_dir):
     """Terms that a longer one with the same adopters explains, by a join on the adopter set."""
-    sets = phrase_operators(spark, sf_dir).where("op <= 8").groupBy("phrase").agg(F.array_sort(F.collect_set("op")).alias("ops"))
+    sets = phrase_operators(spark, sf_dir).groupBy("phrase").agg(F.array_sort(F.collect_set("op")).alias("ops"))
     one, two = sets.select(F.col("phrase").alias("short"), "ops"), sets.select(F.col("phrase").alias("long"), "ops")
     inside = F.concat(F.lit(" "), F.col("long"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("short"), F.lit(" ")))
     return one.join(two, "ops").where((F.col("short") != F.col("long")) & inside).select("short", "long", F.size("ops").alias("adopters"))
@@ -166,25 +165,30 @@ def code_niche_join(spark, sf_dir):
     return orders(spark, sf_dir).join(dim, F.col("o_orderpriority") == F.col("code")).groupBy("niche").agg(F.count(F.lit(1)).alias("items"), F.round(F.sum("o_totalprice"), 2).alias("value"))
 
 
-SHARED = """with recursive m as (select distinct l_suppkey as node, l_partkey as key from lineitem where l_quantity = 50),
-g as (select key, count(*) as n, min(node) as first from m group by 1), e as (select first as u, node as v from m join g using (key) where n between 2 and 4 and node <> first),
+def part_days(spark, sf_dir):
+    """Suppliers as nodes, and the parts that they ship on a day as keys."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.concat_ws("|", "l_partkey", F.to_date("l_shipdate")).alias("key"))
+
+
+SHARED = """with recursive m as (select distinct l_suppkey as node, l_partkey || '|' || cast(l_shipdate as date) as key from lineitem),
+g as (select key, count(*) as n, min(node) as first from m group by 1), e as (select distinct first as u, node as v from m join g using (key) where n between 2 and 4 and node <> first),
 b as (select u, v from e union select v, u from e), r(node, c) as (select node, node from (select distinct node from m) union select r.node, b.v from r join b on b.u = r.c)"""
 
 
 @query(f"{SHARED} select node, min(c) as owner, count(*) as reached from r group by 1")
 def components_shared_key(spark, sf_dir):
     """Owners: nodes that share a key are one, unless the key is a hub."""
-    members = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key"))
+    members = part_days(spark, sf_dir)
     edges, _ = components.shared_key_edges(members, "node", "key", C.MAX_ADDRESS_GROUP)
     found = components.components(edges)
     placed = members.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("component", "node").alias("owner"))
     return placed.join(placed.groupBy("owner").agg(F.count(F.lit(1)).alias("reached")), "owner").select("node", "owner", "reached")
 
 
-@query("""with m as (select distinct l_suppkey as node, l_partkey as key from lineitem where l_quantity >= 49) select key, count(*) as n from m group by 1 having count(*) > 4""")
+@query("""with m as (select distinct l_suppkey as node, l_partkey as key from lineitem) select key, count(*) as n from m group by 1 having count(*) > 4""")
 def hubs_ignored(spark, sf_dir):
     """Keys that too many share are reported, not linked."""
-    members = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key"))
+    members = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("key"))
     return components.shared_key_edges(members, "node", "key", C.MAX_ADDRESS_GROUP)[1]
 
 
@@ -220,13 +224,13 @@ def merge_keep_earliest(spark, sf_dir):
     return rows.groupBy("name", "condition").agg(F.min("us").alias("first_us"), F.min_by("event_id", order).alias("event_id"))
 
 
-@query("""with old as (select user_id, min(ts) as first_ts, max(value) as top, count(*) as n from events where event_id < 6000 group by 1), new as (select user_id, min(ts) as first_ts, max(value) as top, count(*) as n from events where event_id >= 6000 group by 1)
+@query("""with old as (select user_id, min(ts) as first_ts, max(value) as top, count(*) as n from events where ts < timestamp '2024-01-16' group by 1), new as (select user_id, min(ts) as first_ts, max(value) as top, count(*) as n from events where ts >= timestamp '2024-01-16' group by 1)
 select coalesce(o.user_id, n.user_id) as user_id, epoch_us(coalesce(o.first_ts, n.first_ts)) as first_us, greatest(coalesce(o.top, n.top), coalesce(n.top, o.top)) as top, cast(coalesce(o.n, 0) + coalesce(n.n, 0) as bigint) as sightings from old o full join new n on o.user_id = n.user_id""")
 def upsert_memory(spark, sf_dir):
     """A harvest merged into memory: first seen never changes, ranks take the maximum, sightings add up."""
     rows = events(spark, sf_dir)
     side = lambda cond, s: rows.where(cond).groupBy("user_id").agg(F.min("ts").alias(f"first_{s}"), F.max("value").alias(f"top_{s}"), F.count(F.lit(1)).alias(f"n_{s}"))
-    both = side("event_id < 6000", "o").join(side("event_id >= 6000", "n"), "user_id", "full")
+    both = side("ts < '2024-01-16'", "o").join(side("ts >= '2024-01-16'", "n"), "user_id", "full")
     return both.select("user_id", F.unix_micros(F.coalesce("first_o", "first_n")).alias("first_us"), F.greatest("top_o", "top_n").alias("top"), (F.coalesce("n_o", F.lit(0)) + F.coalesce("n_n", F.lit(0))).alias("sightings"))
 
 

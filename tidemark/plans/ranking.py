@@ -41,17 +41,17 @@ def top_distinct(spark, sf_dir):
     return best.orderBy(F.desc("price"), "p_name").limit(5)
 
 
-@query("""with r as (select event_id, event_type = 'error' as breakout, value, case when event_type = 'error' then null else value end as rise from events where event_id < 500) select event_id, breakout, rise from r order by breakout desc, rise desc nulls last, event_id limit 30""")
+@query("""with r as (select event_id, event_type = 'error' as breakout, value, case when event_type = 'error' then null else value end as rise from events) select event_id, breakout, rise from r order by breakout desc, rise desc nulls last, event_id limit 30""")
 def breakouts_first(spark, sf_dir):
-    rows = events(spark, sf_dir).where("event_id < 500")
+    rows = events(spark, sf_dir)
     is_out = F.col("event_type") == "error"
     return rows.select("event_id", is_out.alias("breakout"), F.when(~is_out, F.col("value")).alias("rise")).orderBy(F.desc("breakout"), F.col("rise").desc_nulls_last(), "event_id").limit(30)
 
 
-@query("""with d as (select distinct user_id, cast(ts as date) as day from events where user_id <= 20), r as (select *, row_number() over (partition by user_id order by day desc) as rn from d) select user_id, day from r where rn <= 10""", days=("day",))
+@query("""with d as (select distinct user_id, cast(ts as date) as day from events), r as (select *, row_number() over (partition by user_id order by day desc) as rn from d) select user_id, day from r where rn <= 10""", days=("day",))
 def keep_last(spark, sf_dir):
     """Retention: the ten newest snapshots of each key."""
-    rows = events(spark, sf_dir).where("user_id <= 20").select("user_id", F.to_date("ts").alias("day")).distinct()
+    rows = events(spark, sf_dir).select("user_id", F.to_date("ts").alias("day")).distinct()
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day")))).where("rn <= 10").drop("rn")
 
 

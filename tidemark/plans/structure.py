@@ -10,36 +10,36 @@ from tidemark.io import orders, table
 from tidemark.operators import structure as M
 from tidemark.plans.registry import query
 
-UNITS = """u as (select p_type as niche, l_suppkey as unit, count(*) as locations, min(cast(l_shipdate as date)) as first_day from lineitem join part on l_partkey = p_partkey where l_quantity > {q} group by 1, 2),
-f as (select l_suppkey as unit, count(*) as everywhere from lineitem where l_quantity > 48 group by 1),
-m as (select niche, sum(locations) as locations, count(*) as providers, round(100.0 * count(*) filter (where locations = 1) / count(*), 6) as single_site_pct, cast(count(*) filter (where everywhere <= 12) as bigint) as indie from u join f using (unit) group by 1),
+UNITS = """u as (select p_type as niche, l_suppkey as unit, count(*) as locations, min(cast(l_shipdate as date)) as first_day from lineitem join part on l_partkey = p_partkey group by 1, 2),
+f as (select l_suppkey as unit, count(*) as everywhere from lineitem group by 1),
+m as (select niche, sum(locations) as locations, count(*) as providers, round(100.0 * count(*) filter (where locations = 1) / count(*), 6) as single_site_pct, cast(count(*) filter (where everywhere <= 600) as bigint) as indie from u join f using (unit) group by 1),
 h as (select niche, sum(power(u.locations / cast(m.locations as double), 2)) as hhi from u join m using (niche) group by 1),
 t as (select niche, 100.0 * sum(locations) filter (where rn <= 5) as top from (select *, row_number() over (partition by niche order by locations desc, unit) as rn from u) group by 1),
 s as (select m.*, round(hhi, 6) as hhi, round(top / m.locations, 6) as top5 from m join h using (niche) join t using (niche))"""
 
 
-def units(spark, sf_dir, q: int = 48):
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).where(F.col("l_quantity") > q)
+def units(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return lines.select(F.col("p_type").alias("niche"), F.col("l_suppkey").alias("unit"), F.to_date("l_shipdate").alias("day"))
 
 
-@query("with " + UNITS.format(q=48) + " select niche, cast(locations as bigint) as locations, providers, single_site_pct, indie, hhi, top5 from s")
+@query("with " + UNITS + " select niche, cast(locations as bigint) as locations, providers, single_site_pct, indie, hhi, top5 from s")
 def hhi_top5(spark, sf_dir):
     """Concentration of each niche; independence is judged on the units' count over all niches."""
-    return M.concentration(units(spark, sf_dir), indie_sites=12)
+    return M.concentration(units(spark, sf_dir), indie_sites=600)
 
 
 VERDICT = """case when indie is null or indie < 30 then 'Too small to roll up' when hhi >= 0.2 or top5 >= 40 then 'Already consolidated' when hhi >= 0.1 or top5 >= 20 then 'Consolidating' when indie < 100 then 'Thin - regional platform at best' else 'Fragmented - roll-up runway' end"""
 SCORE = "case when indie is null or indie < 30 then 0.0 else 0.6 * 100 * least(1.0, indie / 300.0) + 0.4 * 100 * least(1 - least(1.0, hhi / 0.2), 1 - least(1.0, top5 / 40.0)) end"
 
 
-@query("with " + UNITS.format(q=48) + f" select niche, {VERDICT} as verdict, round({SCORE}, 6) as score from s")
+@query("with " + UNITS + f" select niche, {VERDICT} as verdict, round({SCORE}, 6) as score from s")
 def market_verdict(spark, sf_dir):
-    rows = M.concentration(units(spark, sf_dir), indie_sites=12)
+    rows = M.concentration(units(spark, sf_dir), indie_sites=600)
     return rows.select("niche", M.verdict(F.col("indie"), F.col("hhi"), F.col("top5")).alias("verdict"), F.round(M.headroom_score(F.col("indie"), F.col("hhi"), F.col("top5")), 6).alias("score"))
 
 
-@query("with " + UNITS.format(q=48) + """, a as (select max(cast(l_shipdate as date)) as a from lineitem), e as (select niche, round(100.0 * count(*) filter (where first_day > a - interval 12 month) / count(*), 6) as entry_rate, median(floor((year(a) * 12 + month(a) - year(first_day) * 12 - month(first_day)) / 12)) as median_years from u, a group by 1)
+@query("with " + UNITS + """, a as (select max(cast(l_shipdate as date)) as a from lineitem), e as (select niche, round(100.0 * count(*) filter (where first_day > a - interval 12 month) / count(*), 6) as entry_rate, median(floor((year(a) * 12 + month(a) - year(first_day) * 12 - month(first_day)) / 12)) as median_years from u, a group by 1)
 select niche, entry_rate, median_years, case when entry_rate >= 15 then 'INFANT' when entry_rate <= 8 then 'MATURE' else 'SETTLING' end as maturity from e""")
 def market_maturity(spark, sf_dir):
     """Entry rate leads, median tenure corroborates."""

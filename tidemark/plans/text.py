@@ -84,10 +84,10 @@ def company_names(spark, sf_dir):
     return _inline(spark, [(n,) for n in NAMES], "name string").select("name", X.company_name(F.col("name")).alias("norm"))
 
 
-@query("""select c_custkey, case when c_custkey % 5 = 0 then null else upper(left(c_mktsegment, 2)) end as area, case when c_custkey % 7 = 0 and c_custkey % 5 = 0 then null else (case when c_custkey % 5 = 0 then '' else upper(left(c_mktsegment, 2)) || c_nationkey || '1AA' end) || '|' || (case when c_custkey % 7 = 0 then '' else 'unit ' || (c_custkey % 9) || ' mill lane' end) end as key from customer where c_custkey < 200""")
+@query("""select c_custkey, case when c_custkey % 5 = 0 then null else upper(left(c_mktsegment, 2)) end as area, case when c_custkey % 7 = 0 and c_custkey % 5 = 0 then null else (case when c_custkey % 5 = 0 then '' else upper(left(c_mktsegment, 2)) || c_nationkey || '1AA' end) || '|' || (case when c_custkey % 7 = 0 then '' else 'unit ' || (c_custkey % 9) || ' mill lane' end) end as key from customer""")
 def address_keys(spark, sf_dir):
     """Postcode areas and address keys; null without postcode and street."""
-    rows = table(spark, sf_dir, "customer").where("c_custkey < 200")
+    rows = table(spark, sf_dir, "customer")
     code = F.when(F.col("c_custkey") % 5 != 0, F.concat(F.lower(F.substring("c_mktsegment", 1, 2)), F.col("c_nationkey").cast("string"), F.lit(" 1aa")))
     has_street = F.col("c_custkey") % 7 != 0
     premises, street = F.when(has_street, F.concat(F.lit("Unit "), (F.col("c_custkey") % 9).cast("string"))), F.when(has_street, F.lit("Mill-Lane."))
@@ -117,10 +117,10 @@ def rise_labels(spark, sf_dir):
 SEEDS = ["the", "near", "me", "cost"]
 
 
-@query(f"""with d as (select doc_id, {TOKENS.format('left(text, 60)')} as ws from documents) select doc_id, len(list_filter(ws, lambda w: not list_contains({QUOTED(SEEDS)}, w))) = 0 or list_has_any(ws, ['of', 'for']) as junk from d""")
+@query(f"""with d as (select doc_id, {TOKENS.format('text')} as ws from documents) select doc_id, len(list_filter(ws, lambda w: not list_contains({QUOTED(SEEDS)}, w))) = 0 or list_has_any(ws, ['of', 'for']) as junk from d""")
 def junk_queries(spark, sf_dir):
     """Phrases with a stop token, or with nothing beyond the seed's tokens."""
-    ws = X.tokens(F.substring("text", 1, 60))
+    ws = X.tokens(F.col("text"))
     seeds, stops = F.array(*map(F.lit, SEEDS)), F.array(F.lit("of"), F.lit("for"))
     return table(spark, sf_dir, "documents").select("doc_id", ((F.size(F.array_except(ws, seeds)) == 0) | F.arrays_overlap(ws, stops)).alias("junk"))
 
@@ -159,10 +159,10 @@ def approval_headlines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where(ok).groupBy("conv_id").agg(F.min("turn").alias("turn"))
 
 
-@query("""with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as ws from documents where doc_id < 200), c as (select doc_id, unnest(list_distinct(ws)) as w, ws from t) select doc_id, count(*) as generic from c where len(w) > 4 and len(list_filter(ws, lambda x: x = w)) >= 2 group by 1""")
+@query("""with t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as ws from documents), c as (select doc_id, unnest(list_distinct(ws)) as w, ws from t) select doc_id, count(*) as generic from c where len(w) > 4 and len(list_filter(ws, lambda x: x = w)) >= 2 group by 1""")
 def generic_terms(spark, sf_dir):
     """Words that occur at least twice in their text."""
-    words = table(spark, sf_dir, "documents").where("doc_id < 200").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w")).where("length(w) > 4")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w")).where("length(w) > 4")
     return words.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").groupBy("doc_id").agg(F.count(F.lit(1)).alias("generic"))
 
 
@@ -186,20 +186,20 @@ def date_parsing(spark, sf_dir):
     return rows.select("raw", F.col("d").cast("string").alias("day"), dates.add_months_first(F.col("d"), 5).cast("string").alias("plus5"), dates.months_between(F.col("d"), now).alias("months"), dates.years_between(F.col("d"), now).alias("years"), F.when(F.col("d").isNotNull(), dates.iso_week(F.col("d"))).alias("week"))
 
 
-@query("""with d as (select distinct cast(o_orderdate as date) as day from orders where o_orderkey < 300) select cast(day as varchar) as day, cast(case when day(day) >= 20 then date_trunc('month', day - interval 2 month) else date_trunc('month', day - interval 3 month) end as date)::varchar as published,
+@query("""with d as (select distinct cast(o_orderdate as date) as day from orders) select cast(day as varchar) as day, cast(case when day(day) >= 20 then date_trunc('month', day - interval 2 month) else date_trunc('month', day - interval 3 month) end as date)::varchar as published,
  cast(day + interval 6 month as date)::varchar as knowable, cast(date '2001-08-31' - day as int) as age_days, cast(last_day(day) as date)::varchar as month_end from d""")
 def publication_dates(spark, sf_dir):
-    days = table(spark, sf_dir, "orders").where("o_orderkey < 300").select(F.to_date("o_orderdate").alias("d")).distinct()
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
     d = F.col("d")
     return days.select(d.cast("string").alias("day"), dates.latest_published(d).cast("string").alias("published"), dates.knowable_by(d, C.PUBLICATION_LAG["T4"]).cast("string").alias("knowable"), F.datediff(F.lit("2001-08-31").cast("date"), d).alias("age_days"), F.last_day(d).cast("string").alias("month_end"))
 
 
-@query(f"""with t as (select doc_id, {TOKENS.format('text')} as ws from documents where doc_id < 300), n as (select doc_id, ws[i - 1] as before, ws[i + 1] as after from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from t) where ws[i] = 'that')
+@query(f"""with t as (select doc_id, {TOKENS.format('text')} as ws from documents), n as (select doc_id, ws[i - 1] as before, ws[i + 1] as after from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from t) where ws[i] = 'that')
 select w as term, count(distinct doc_id) as docs from (select doc_id, before as w from n union all select doc_id, after from n) where w is not null and w <> '' group by 1 having count(distinct doc_id) >= 3""")
 def terms_beside(spark, sf_dir):
     """Words that stand next to a head-noun."""
     ws = X.tokens(F.col("text"))
-    docs = table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.posexplode(ws).alias("i", "w"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(ws).alias("i", "w"))
     line = Window.partitionBy("doc_id").orderBy("i")
     near = docs.select("doc_id", "w", F.lag("w").over(line).alias("before"), F.lead("w").over(line).alias("after")).where("w = 'that'")
     both = near.select("doc_id", F.explode(F.array("before", "after")).alias("term")).where("term is not null")
