@@ -106,7 +106,19 @@ class Words:
             sums = np.empty(n + 1, np.uint64)
             sums[0] = 0
             np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, n)[:n], out=sums[1:])
-            self.hash = mix((sums[self.ends] - sums[self.starts]) * powers(INVERSE, n)[self.starts]) if n else np.zeros(0, np.uint64)
+            self._sums = sums
+            self.hash = self._hash(self.ends) if n else np.zeros(0, np.uint64)
+
+    def _hash(self, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[self.starts]) * powers(INVERSE, len(self.data))[self.starts])
+
+    def beginnings(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, hash) of the first n bytes of each longer word."""
+        if not len(self):
+            return self.row, self.hash
+        longer = self.ends - self.starts > n
+        hashes = mix(self._hash(np.minimum(self.ends, self.starts + n)) ^ np.uint64(n))
+        return self.row[longer], hashes[longer]
 
     def __len__(self) -> int:
         return len(self.starts)
