@@ -41,7 +41,7 @@ ROWS, MISS = 5, 1e-6
 BLOCK, WEIGHT = 512, 1 << 18
 #: Up to so many ids are broadcast, so that only the texts of candidates are shuffled; of more ids, both sides are.
 BROADCAST_IDS = 1_000_000
-FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
+FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("low_bands", T.BinaryType()), T.StructField("high_sig", T.BinaryType())]
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -59,7 +59,7 @@ def signatures(n: int, bands: int):
         scale, shift = _functions(ROWS * bands)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            sizes, keys, keys2, all_bands, sigs = [], [], [], [], []
+            sizes, keys, keys2, all_bands, sigs, lows, highs = [], [], [], [], [], [], []
             for _, _, words in words_of(column, GRAPHIC):
                 counts = words.counts()
                 grams = words.grams(n)
@@ -91,7 +91,7 @@ def signatures(n: int, bands: int):
                     for k in range(b * ROWS, (b + 1) * ROWS):
                         acc = mix(acc ^ minima[:, k]) + np.uint64(k)
                     band[:, b] = acc
-                short16 = (minima >> np.uint64(48)).astype(np.uint16)
+                short16, short8, low = (minima >> np.uint64(48)).astype(np.uint16), (minima >> np.uint64(56)).astype(np.uint8), band.astype(np.uint32)
                 sizes.append(size)
                 place = np.full(words.rows, -1)
                 place[full] = np.arange(len(full))
@@ -100,8 +100,10 @@ def signatures(n: int, bands: int):
                     keys2.append(None if p < 0 else int(key2[p].astype(np.int64)))
                     all_bands.append(None if p < 0 else band[p].astype(np.int64))
                     sigs.append(None if p < 0 else short16[p].tobytes())
+                    lows.append(None if p < 0 else low[p].tobytes())
+                    highs.append(None if p < 0 else short8[p].tobytes())
             total = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-            return [pa.array(total), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            return [pa.array(total), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(lows, pa.binary()), pa.array(highs, pa.binary())]
 
         return work
 
@@ -149,7 +151,7 @@ def _alike(least: float):
 def _across(n: int, least: float, percent: int):
     """(bucket, members) to the links that join components: of each left and right member of different components that pass.
 
-    A pair is compared in the first bucket that its two share only. Pairs are confirmed from the most alike on, on the hashes of all
+    A member's signature has the upper byte of each minimum, its bands the lower half of each key. A pair is compared in the first bucket that its two share only. Pairs are confirmed from the most alike on, on the hashes of all
     shingles; those of components that meanwhile are one are not looked at, so that each task yields fewer links than it has members.
     """
 
@@ -159,10 +161,11 @@ def _across(n: int, least: float, percent: int):
             lists, buckets = batch.column(1), batch.column(0).to_pylist()
             for k in range(batch.num_rows):
                 members = lists[k].values
-                ids, comp, size, left = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "size", "left"))
-                sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint16).reshape(len(ids), -1)
-                bands = members.field("bands").flatten().to_numpy().reshape(len(ids), -1)
-                one, two = np.flatnonzero(left), np.flatnonzero(~left)
+                ids, comp, size, left, right = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "size", "left", "right"))
+                sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+                bands = np.frombuffer(b"".join(members.field("bands").to_pylist()), np.uint32).reshape(len(ids), -1)
+                one, two = np.flatnonzero(left), np.flatnonzero(right)
+                mine = np.uint32(buckets[k] & 0xFFFFFFFF)
                 found = []
                 for part in np.array_split(one, max(1, len(one) * len(two) // 65_536 + 1)):
                     ok = comp[part][:, None] != comp[two][None, :]
@@ -174,7 +177,7 @@ def _across(n: int, least: float, percent: int):
                         near = np.flatnonzero(alike >= least)
                         u, v, alike = u[near], v[near], alike[near]
                         first = (bands[u] == bands[v]).argmax(1) if len(u) else np.zeros(0, np.int64)
-                        here = bands[u, first] == buckets[k]
+                        here = bands[u, first] == mine
                         found.append(np.stack([u[here], v[here], np.round(alike[here] * 1e6).astype(np.int64)]))
                 pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
                 if not pairs.shape[1]:
@@ -239,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     classes = cut(signed.where("id is not null and key is not null").groupBy("key", "key2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")))
 
     # One row a class, of one of its rows with the smallest id.
-    reps = signed.join(classes.select("key", "key2", F.col("class").alias("id")), ["key", "key2", "id"], "left_semi").select("id", F.col("n_shingles").alias("size"), "bands", "sig")
+    reps = signed.join(classes.select("key", "key2", F.col("class").alias("id")), ["key", "key2", "id"], "left_semi").select("id", F.col("n_shingles").alias("size"), "bands", "sig", "low_bands", "high_sig")
     buckets = reps.select("id", "size", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = cut(buckets.join(shared, "bucket"))
@@ -266,11 +269,12 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     dealt = cut(placed.join(mixed, "bucket"))
     block = lambda salt, count: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    lefts = dealt.where("comp <> main_comp").select("bucket", "id", "comp", "size", F.lit(True).alias("left"), block(7, "high").alias("i"), every("wide").alias("j"))
-    rights = dealt.select("bucket", "id", "comp", "size", F.lit(False).alias("left"), every("high").alias("i"), block(8, "wide").alias("j"))
+    outside, single = F.col("comp") != F.col("main_comp"), (F.col("wide") == 1) & (F.col("high") == 1)
+    lefts = dealt.where(outside & ~single).select("bucket", "id", "comp", "size", F.lit(True).alias("left"), F.lit(False).alias("right"), block(7, "high").alias("i"), every("wide").alias("j"))
+    rights = dealt.select("bucket", "id", "comp", "size", (outside & single).alias("left"), F.lit(True).alias("right"), every("high").alias("i"), block(8, "wide").alias("j"))
     ids = cut(dealt.select("id").distinct())
-    body = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").join(reps.select("id", "bands", "sig"), "id")
-    ready = lefts.unionByName(rights).join(body, "id").select("bucket", "i", "j", F.struct("id", "comp", "size", "left", "sig", "bands", "text").alias("member"))
+    body = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").join(reps.select("id", F.col("low_bands").alias("bands"), F.col("high_sig").alias("sig")), "id")
+    ready = lefts.unionByName(rights).join(body, "id").select("bucket", "i", "j", F.struct("id", "comp", "size", "left", "right", "sig", "bands", "text").alias("member"))
     groups = ready.groupBy("bucket", "i", "j").agg(F.collect_list("member").alias("members"))
     across = groups.select("bucket", "members").mapInArrow(_across(n, least, percent), "u long, v long").where("u <> v").distinct()
     more_links = cut(_linked(cut(across), source, n, percent))
