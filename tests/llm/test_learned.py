@@ -1,5 +1,6 @@
 """Language, toxicity and quality: plain versions of the scores, held-out accuracy and awkward rows."""
 
+import collections
 import math
 
 import numpy as np
@@ -49,6 +50,41 @@ def test_code_lengths_against_a_plain_context_tree(spark):
     assert got == pytest.approx([plain(x) for x in model.langs], rel=1e-5)
 
 
+def test_every_context_counts_beside_a_large_language():
+    rng = np.random.default_rng(5)
+    large = bytes(rng.integers(97, 123, 60_000, dtype=np.uint8))
+    small = "мир и мед и мир да мед".encode()
+    counts = []
+    for text in (large, small):
+        data = np.frombuffer(text, np.uint8)
+        code, n = np.unique(langid.contexts(data, np.zeros(1, np.int64)).astype(np.int64) << 8 | data, return_counts=True)
+        counts.append((code, n))
+    assert len(np.unique(counts[0][0] >> 8)) > 12_000
+    model = langid.Model(["large", "small"], counts)
+
+    def plain(text, probe):
+        seen, bits = {}, 0.0
+        for order in range(4):
+            s = b"\n\n\n" + text
+            for i in range(3, len(s)):
+                seen.setdefault(s[i - order : i], collections.Counter())[s[i]] += 1
+        s = b"\n\n\n" + probe
+        for i in range(3, len(s)):
+            for order in (3, 2, 1, 0):
+                if here := seen.get(s[i - order : i]):
+                    n, q = sum(here.values()), len(here)
+                    bits -= math.log2((here[s[i]] or q) / (n + q))
+                    if here[s[i]]:
+                        break
+            else:
+                bits += 8
+        return bits
+
+    for probe in (small, large[:3_000], b"mixed words \xd0\xbc\xd0\xb8!"):
+        got = model.bits(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]), model.tables())[0]
+        assert got == pytest.approx([plain(large, probe), plain(small, probe)], rel=1e-5)
+
+
 def test_language_held_out(spark, tables):
     docs, _ = tables
     out = langid.query(spark, SF.rsplit("/", 1)[0] + "/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

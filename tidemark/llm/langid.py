@@ -6,9 +6,9 @@ c / (n + q); otherwise the escape q / (n + q) is paid and the next shorter conte
 A context that a language never saw is skipped at no cost. The exact code length of the whole text is summed for
 every language; the shortest wins and its share of the probability is the score.
 
-The frozen trees are flattened into one table of code lengths by (context, byte, language), so that scoring is
-two look-ups a byte. `max_contexts` bounds the contexts of order 3 (the most frequent stay; texts in others fall to
-order 2), `max_bytes` the expected bytes of training text of one language.
+The frozen trees are flattened into code lengths by (context, byte, language): all of them for orders 0 and 1, for orders 2 and 3
+those of the bytes that some language saw in the context, and the escapes of each context for the rest. Every counted context
+stays, and memory grows with what was seen only. `max_bytes` bounds the expected bytes of training text of one language.
 
 Defined results: a text that is null or has no letter is `und` with score 0, as is every text when nothing can be learned;
 equal code lengths go to the language first in order; an empty table gives an empty result.
@@ -63,67 +63,98 @@ def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
 
+class Slots:
+    """Places of 32-bit numbers in a sorted array, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys.astype(np.uint32)
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        h, left = self._hash(self.keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            free = left[self.slot[h[left]] < 0]
+            self.slot[h[free]] = free
+            left = left[self.slot[h[left]] != left]
+            h[left] = (h[left] + 1) & (len(self.slot) - 1)
+
+    def _hash(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint32(0x9E3779B1) >> np.uint32(32 - self.bits)).astype(np.int32)
+
+    def find(self, code: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 if it has none."""
+        h = self._hash(code)
+        at = self.slot[h]
+        other = np.flatnonzero((at >= 0) & (self.keys[at] != code)) if len(self.keys) else ()
+        while len(other):
+            h[other] = (h[other] + 1) & (len(self.slot) - 1)
+            at[other] = here = self.slot[h[other]]
+            other = other[(here >= 0) & (self.keys[here] != code[other])]
+        return at
+
+
+class Tables:
+    """Code lengths of (context, byte) by language: of orders 0 and 1 in full, of 2 and 3 for the bytes seen in a context."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        size = len(counts)
+        self.seen: list[tuple[Slots, np.ndarray, Slots, np.ndarray]] = []
+        self.short = np.full((1, size), 8.0, np.float32)
+        for order in range(4):
+            low = (1 << 8 * (order + 1)) - 1
+            each = [np.unique(code & low, return_inverse=True) for code, _ in counts]
+            keys = np.unique(np.concatenate([here for here, _ in each])) if order > 1 else np.arange(low + 1)
+            ctx = np.unique(keys >> 8)
+            escape = np.zeros((len(ctx) + 1, size), np.float32)  # the last row is that of contexts that no language saw
+            of = np.searchsorted(ctx, keys >> 8)
+            cost = self.cost(keys.astype(np.uint32), order - 1)
+            for lang, ((here, where), (_, n)) in enumerate(zip(each, counts)):
+                count = np.bincount(where, n)
+                own = np.searchsorted(ctx, here >> 8)
+                total, kinds = np.bincount(own, count, len(ctx)), np.bincount(own, minlength=len(ctx))
+                escape[:-1, lang] = np.where(kinds > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0)
+                cost[:, lang] += escape[of, lang]
+                cost[np.searchsorted(keys, here), lang] = np.log2((total + kinds)[own] / count)
+            if order > 1:
+                self.seen.append((Slots(keys), cost, Slots(ctx), escape))
+            else:
+                self.short = cost
+
+    def cost(self, code: np.ndarray, order: int = 3) -> np.ndarray:
+        """Code lengths by language of bytes after contexts of that order."""
+        if order < 2:
+            return self.short[code & np.uint32(len(self.short) - 1)]
+        code = code & np.uint32((1 << 8 * (order + 1)) - 1)
+        keys, cost, ctx, escape = self.seen[order - 2]
+        at = keys.find(code)
+        out = cost[at]
+        rest = np.flatnonzero(at < 0)
+        if len(rest):
+            out[rest] = self.cost(code[rest], order - 1) + escape[ctx.find(code[rest] >> np.uint32(8))]
+        return out
+
+
 class Model:
     """Counts of (context, byte) by language; tables() flattens them."""
 
-    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]], max_contexts: int):
-        self.langs, self.max_contexts = langs, max_contexts
+    def __init__(self, langs: list[str], counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.langs = langs
         self.counts = counts
-        self.id = hash((tuple(langs), max_contexts, *(int(n.sum()) for _, n in counts), *(int((c % 1000003 * n).sum()) for c, n in counts)))
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """(row of each three-byte context, code lengths by row * 256 + byte and language)."""
-        size = len(self.langs)
-        totals: dict[int, int] = {}
-        each = np.concatenate([c >> 8 for c, _ in self.counts])
-        ctx, at = np.unique(each, return_inverse=True)
-        weight = np.bincount(at, np.concatenate([n for _, n in self.counts]))
-        totals = np.sort(ctx[np.argsort(-weight, kind="stable")[: self.max_contexts]])
-        rows = [np.zeros(1, np.int64), np.arange(256), np.unique(ctx & 0xFFFF), totals]
-        base = np.cumsum([0, *map(len, rows)])
-        table = np.empty((base[-1], 256, size), np.float32)
-        for lang, (code, n) in enumerate(self.counts):
-            parent = np.full((1, 256), 8.0, np.float32)
-            for order, contexts_ in enumerate(rows):
-                mask = (1 << 8 * order) - 1
-                here, where = np.unique(code & (mask << 8 | 0xFF), return_inverse=True)
-                count = np.bincount(where, n)
-                own = here >> 8
-                keep = np.searchsorted(contexts_, own)
-                ok = (keep < len(contexts_)) & (contexts_[np.minimum(keep, len(contexts_) - 1)] == own)
-                keep, sym, count = keep[ok], (here & 0xFF)[ok], count[ok]
-                total, kinds = np.bincount(keep, count, len(contexts_)), np.bincount(keep, minlength=len(contexts_))
-                if order == 0:
-                    up = parent
-                else:
-                    shorter = contexts_ & (mask >> 8)
-                    up = parent[np.searchsorted(rows[order - 1], shorter)]
-                seen = total > 0
-                cost = up + np.where(seen, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0.0).astype(np.float32)[:, None]
-                cost[keep, sym] = np.log2((total + kinds)[keep] / count)
-                table[base[order] : base[order + 1], :, lang] = cost
-                parent = cost
-        row = np.tile(np.arange(base[1], base[2], dtype=np.uint16), 1 << 16)  # by the last byte
-        two = np.repeat(np.uint16(0), 1 << 16)
-        two[rows[2]] = np.arange(base[2], base[3], dtype=np.uint16)
-        row = row.reshape(256, 1 << 16)
-        row[:, rows[2]] = two[rows[2]]
-        row = row.reshape(-1)
-        row[rows[3]] = np.arange(base[3], base[4], dtype=np.uint16)
-        return row, table.reshape(-1, size)
-
-    def bits(self, data: np.ndarray, offs: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        self.id = hash((tuple(langs), *(int(n.sum()) for _, n in counts), *(int((c % 1000003 * n).sum()) for c, n in counts)))
+
+    def tables(self) -> Tables:
+        return Tables(self.counts)
+
+    def bits(self, data: np.ndarray, offs: np.ndarray, tables: Tables) -> np.ndarray:
         """Code length of each text in each language."""
-        row, table = tables
         out = np.zeros((len(offs) - 1, len(self.langs)))
         if len(data):
             starts = _text_starts(offs)
-            index = row[contexts(data, starts)].astype(np.int32) << 8 | data
-            out[np.diff(offs) > 0] = np.add.reduceat(table[index], starts, axis=0, dtype=np.float64)
+            cost = tables.cost(contexts(data, starts) << np.uint32(8) | data)
+            out[np.diff(offs) > 0] = np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
         return out
 
 
-def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None, key: str = "doc_id", max_bytes: int = 6_000_000, max_contexts: int = 8_000) -> Model | None:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Column | None = None, key: str = "doc_id", max_bytes: int = 6_000_000) -> Model | None:
     """The model of the rows with text and language (and where holds); None if there are none."""
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -142,7 +173,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", where: Col
     langs = sorted(set(found))
     if not langs:
         return None
-    return Model(langs, [(code[found == x], n[found == x]) for x in langs], max_contexts)
+    return Model(langs, [(code[found == x], n[found == x]) for x in langs])
 
 
 def _worker(shared) -> Callable:
