@@ -1,15 +1,19 @@
 """Golden values of single functions and operators."""
 
+import itertools
 import math
+import random
 import statistics
 
 import pytest
 from pyspark.sql import functions as F
+from settings import SF
 
 from tidemark.functions import dates, stats
 from tidemark.functions import text as X
 from tidemark.operators import chain, components, joins, panel, stack, structure
 from tidemark.operators import series as S
+from tidemark.plans import forecast
 
 
 def one(spark, expr):
@@ -189,3 +193,27 @@ def test_stack_stages(spark):
     rows = spark.createDataFrame([("t1", "a", 50, 30.0), ("t2", "b", 200, 40.0), ("t3", "c", 200, 40.0), ("t4", "c", 900, 1.0), ("t1", "c", 60, 20.0), ("t2", "thin", 5, 400.0)], "tier string, niche string, latest int, g12 double")
     got = {r["niche"]: r["stage"] for r in stack.build(rows).collect()}
     assert got == {"a": "early", "b": "emerging", "c": "building", "thin": "quiet"}
+
+
+def brute_permutation(xs, ys):
+    pool, n = xs + ys, len(xs) + len(ys)
+    seen, splits = statistics.median(xs) - statistics.median(ys), list(itertools.combinations(range(n), len(xs)))
+    return sum(statistics.median([pool[i] for i in c]) - statistics.median([pool[i] for i in range(n) if i not in c]) >= seen - 1e-12 for c in splits) / len(splits)
+
+
+@pytest.mark.parametrize("k,m", [(2, 2), (2, 9), (9, 3), (3, 4), (5, 5), (8, 8), (11, 5)])
+def test_permutation_against_every_split(k, m):
+    rng = random.Random(k * 100 + m)
+    xs, ys = ([round(rng.uniform(0, 9), rng.randint(0, 2)) for _ in range(n)] for n in (k, m))
+    assert forecast.permutation(xs, ys) == brute_permutation(xs, ys)
+
+
+def test_permutation_query_answers_up_to_200_000_splits(spark):
+    rows = spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").groupBy("user_id").agg(F.collect_list(F.struct((F.hour("ts") < 12).alias("early"), "value")).alias("x")).collect()
+    users = {r["user_id"]: [[x["value"] for x in r["x"] if x["early"] == e] for e in (True, False)] for r in rows}
+    got = {r["user_id"]: r["p"] for r in forecast.permutation_test(spark, SF).collect()}
+    assert set(got) == set(users)
+    answered = {u for u, (xs, ys) in users.items() if min(len(xs), len(ys)) > 1 and math.comb(len(xs + ys), len(xs)) <= 200_000}
+    assert {u for u, p in got.items() if p is not None} == answered
+    some = [u for u in sorted(answered) if 5_000 < math.comb(len(users[u][0] + users[u][1]), len(users[u][0])) < 20_000]
+    assert some and [got[u] for u in some[:2]] == [brute_permutation(*users[u]) for u in some[:2]]
