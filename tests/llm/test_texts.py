@@ -81,6 +81,15 @@ def library():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_licenses_of_an_exact_and_an_edited_notice_in_one_block(spark):
+    isc, bsd, gpl = (next(t for t, label in licenses.TEMPLATES if label == want) for want in ("isc", "bsd", "gpl-3"))
+    edited = {t: t.replace(a, b) for t, a, b in ((isc, "fee", "charge"), (bsd, "forms", "shapes"))}
+    rows = [(1, f"licensed under the mit license {edited[isc]}", "isc,mit"), (2, f"{edited[bsd]} and licensed under the mit license", "bsd,mit"), (3, gpl, "gpl-3"), (4, f"{gpl} or {edited[isc]}", "gpl-3,isc")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.find_licenses(docs).collect()}
+    assert got == {i: labels for i, _, labels in rows}
+
+
 def test_tokens_equal_the_library(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect():

@@ -14,7 +14,9 @@ A text without a prefix word of any template holds none, so only the others are
 templates have are shuffled. The templates and the counts of their words are all that reaches the driver.
 
 Phrases are templates of which a block must hold every word; what the join finds is then checked for places where the words stand
-consecutively. In each block only the templates of the largest share give their label.
+consecutively. Of templates so alike that the words of one are enough for the other (versions of a license) only those of the largest
+share in a block give their label; every other template that a block holds gives its own, whatever else is in the block. The SQL
+lets all templates of a block compete, and so has fewer labels where an edited notice stands beside a more exact one of another license.
 
 Defined results: a null, empty or wordless text has no words, places or labels, and score 0; repeated rows are each answered; an empty
 table gives an empty result; other columns do not matter.
@@ -66,6 +68,11 @@ def needed(m: int, percent: int) -> int:
     return -(-m * percent // 100)
 
 
+def rivals(sets: list[tuple[list[int], int]]) -> list[list[int]]:
+    """For each (words, needed words) the others that are needed with words of it alone, or the other way round."""
+    return [[j for j, (two, l) in enumerate(sets) if j != i and (common := len(set(one) & set(two))) and (common >= l or common >= k)] for i, (one, k) in enumerate(sets)]
+
+
 def find_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, percent: int = PERCENT) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score): one row for each of docs."""
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
@@ -86,6 +93,8 @@ def find_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
         k = needed(len(ranks), share)
         whole.append((number, label, base, ranks, len(ranks), k))
         index += [(r, i, number) for i, r in enumerate(ranks[: len(ranks) - k + 1])]
+    against = rivals([(w[3], w[5]) for w in whole])
+    whole = [(*w, against[w[0]]) for w in whole]
     prefix = [order[r] for r in sorted({r for r, *_ in index})]
     if not index:
         return _finish(rows.select("id", F.size("words").cast("long").alias("n_words")), key)
@@ -101,14 +110,15 @@ def find_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
     blocks = tokens.select("row", F.explode(F.when(here > 0, F.array(here, here - 1)).otherwise(F.array(here))).alias("block"), "rank")
     blocks = blocks.groupBy("row", "block").agg(F.array_sort(F.collect_set("rank")).alias("have"))
     prefixes = F.broadcast(spark.createDataFrame(index, "rank int, i int, template int"))  # bounded by the templates
-    full = F.broadcast(spark.createDataFrame(whole, "template int, label string, base boolean, want array<int>, m int, k int"))
-    pairs = blocks.where(F.size("have") >= min(w[-1] for w in whole)).select("row", "block", "have", F.posexplode("have").alias("j", "rank")).join(prefixes, "rank")
+    full = F.broadcast(spark.createDataFrame(whole, "template int, label string, base boolean, want array<int>, m int, k int, rivals array<int>"))
+    pairs = blocks.where(F.size("have") >= min(w[5] for w in whole)).select("row", "block", "have", F.posexplode("have").alias("j", "rank")).join(prefixes, "rank")
     pairs = pairs.groupBy("row", "block", "template").agg(F.min(F.struct("i", "j")).alias("first"), F.first("have").alias("have")).join(full, "template")
     fits = pairs.where((F.size("have") >= F.col("k")) & (F.lit(1) + F.least(F.col("m") - 1 - F.col("first.i"), F.size("have") - 1 - F.col("first.j")) >= F.col("k")))
-    found = fits.withColumn("common", F.size(F.array_intersect("have", "want"))).where("common >= k").select("row", "block", "template", "label", "base", (F.col("common") / F.col("m")).alias("share"))
+    found = fits.withColumn("common", F.size(F.array_intersect("have", "want"))).where("common >= k").select("row", "block", "template", "label", "base", "rivals", (F.col("common") / F.col("m")).alias("share"))
     found = cut(found)
-    best = Window.partitionBy("row", "block")
-    extra = found.where("not base").withColumn("top", F.max("share").over(best)).where("share = top").groupBy("row").agg(F.collect_set("label").alias("extra"), F.max("share").alias("share"))
+    beside = F.collect_list(F.struct("template", "share")).over(Window.partitionBy("row", "block"))
+    beaten = F.exists("beside", lambda x: F.array_contains("rivals", x["template"]) & (x["share"] > F.col("share")))
+    extra = found.where("not base").withColumn("beside", beside).where(~beaten).groupBy("row").agg(F.collect_set("label").alias("extra"), F.max("share").alias("share"))
 
     # Places of phrases in the documents where the join found all their words together.
     spoken = [(number, [rank[w] for w in words], label) for number, (words, label, base, _) in enumerate(sets) if base]
