@@ -13,7 +13,7 @@ from tidemark.functions import dates, stats
 from tidemark.functions import text as X
 from tidemark.operators import chain, components, joins, panel, stack, structure
 from tidemark.operators import series as S
-from tidemark.plans import forecast
+from tidemark.plans import composites, forecast, registry  # noqa: F401
 
 
 def one(spark, expr):
@@ -217,3 +217,10 @@ def test_permutation_query_answers_up_to_200_000_splits(spark):
     assert {u for u, p in got.items() if p is not None} == answered
     some = [u for u in sorted(answered) if 5_000 < math.comb(len(users[u][0] + users[u][1]), len(users[u][0])) < 20_000]
     assert some and [got[u] for u in some[:2]] == [brute_permutation(*users[u]) for u in some[:2]]
+
+
+def test_lead_times_of_onsets_at_every_growth(spark):
+    rows = registry.QUERIES["lead_time_sensitivity"](spark, SF.rsplit("/", 1)[0] + "/sf0.01").collect()
+    pair = sorted((r["growth_x"], r["first_t"]) for r in rows if (r["first"], r["second"]) == ("1-URGENT", "2-HIGH"))
+    assert [x for x, _ in pair] == [1.25, 1.5, 2.0]
+    assert all(t >= 56 for _, t in pair) and [t for _, t in pair] == sorted(t for _, t in pair)

@@ -14,7 +14,7 @@ from tidemark.operators import series as S
 from tidemark.operators import structure as M
 from tidemark.plans.joins import part_days
 from tidemark.plans.registry import query
-from tidemark.plans.series import SCORES, monthly
+from tidemark.plans.series import ONSET, SCORES, injected, monthly
 from tidemark.shared import fresh
 from tidemark.sources import sinks
 
@@ -109,6 +109,22 @@ def lead_times(spark, sf_dir):
     return one.join(two, F.col("first") < F.col("second")).select("first", "second", (F.col("b") - F.col("a")).alias("gap"), (F.col("b") > F.col("a")).alias("in_order"))
 
 
+BOOMS = ("with " + ONSET).replace("as v from ax", "* (case when row_number() over (partition by ax.series order by ax.month) - 1 >= 56 and ax.series in ('1-URGENT', '2-HIGH') then 4 else 1 end) as v from ax")
+SENSITIVITY = (1.25, 1.5, 2.0)
+
+
+@query("with o as (" + " union all ".join(f"select cast({x} as double) as growth_x, series, onset_t from ({BOOMS.format(x=x, z=3.0, k=1.5)})" for x in SENSITIVITY) + """)
+select growth_x, a.series as first, b.series as second, a.onset_t as first_t, b.onset_t as second_t, b.onset_t - a.onset_t as gap, b.onset_t > a.onset_t as in_order from o a join o b using (growth_x) where a.series < b.series and a.onset_t is not null and b.onset_t is not null""")
+def lead_time_sensitivity(spark, sf_dir):
+    """Gaps between the onsets of each pair of series, for each growth that an onset may be asked to show."""
+    rows = injected(spark, sf_dir)
+    found = [S.onsets(rows, min_level=C.FLOORS["T2"], growth_x=x).where("onset_t is not null").select(F.lit(x).alias("growth_x"), "series", "onset_t") for x in SENSITIVITY]
+    each = found[0].union(found[1]).union(found[2])
+    one, two = (each.select("growth_x", F.col("series").alias(c), F.col("onset_t").alias(f"{c}_t")) for c in ("first", "second"))
+    pairs = one.join(two, "growth_x").where(F.col("first") < F.col("second"))
+    return pairs.select("growth_x", "first", "second", "first_t", "second_t", (F.col("second_t") - F.col("first_t")).alias("gap"), (F.col("second_t") > F.col("first_t")).alias("in_order"))
+
+
 @query("""with c as (select o_orderpriority as k, cast(date_trunc('month', o_orderdate) as date) as m, count(*) as n from orders where month(o_orderdate) <> 3 or o_orderpriority = '5-LOW' group by 1, 2), s as (select cast((year(max(o_orderdate)) * 12 + month(max(o_orderdate))) - (year(min(o_orderdate)) * 12 + month(min(o_orderdate))) + 1 as bigint) as months from orders)
 select k, count(*) as cells, months, round(100.0 * count(*) / months, 6) as covered_pct, count(*) / cast(months as double) >= 0.95 as usable from c, s group by k, months""")
 def completeness(spark, sf_dir):
