@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import fractions
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -161,6 +163,17 @@ def test_bands_miss_a_link_once_in_a_million():
         assert (1 - (percent / 100) ** neardup.ROWS) ** neardup.bands_for(percent) <= neardup.MISS
 
 
+def test_bands_and_signatures_together_miss_a_link_once_in_a_million(monkeypatch, spark):
+    asked = {}
+    monkeypatch.setattr(neardup, "_alike", lambda least, real=neardup._alike: asked.update(least=least) or real(least))
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n")], "doc_id long, text string")
+    for percent in (80, 85, 95):
+        neardup.near_duplicates(docs, percent=percent)
+        share, count = fractions.Fraction(percent, 100), neardup.bands_for(percent) * neardup.ROWS
+        gate = sum(math.comb(count, k) * share**k * (1 - share) ** (count - k) for k in range(count + 1) if k / count < asked["least"])
+        assert gate + (1 - share**neardup.ROWS) ** neardup.bands_for(percent) <= neardup.MISS
+
+
 def test_main_text_of_unseen_pages():
     model = html.default_model()
     pages = html.labelled_pages(120, seed=77)

@@ -5,7 +5,7 @@ shingle, all of them. Two documents are linked if the Jaccard index of their set
 
 1. A scan gives each document the hash of its set, minima under many universal hash functions, and one key for
    each band of `rows` minima; there are as many bands as make a link at the threshold be missed with a chance of
-   at most `MISS`.
+   at most `MISS`, which with the comparison of signatures stays within it.
 2. Documents with equal sets are one class, which its smallest id stands for; so groups of copies count once.
 3. In each bucket (classes with equal band keys) every class is paired with one leader only, the one that shares most buckets with others. Pairs that pass
    the comparison of lengths and signatures are confirmed on the full sets; components follow by large-star and small-star.
@@ -49,6 +49,18 @@ def bands_for(percent: int, rows: int = ROWS) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(1 - min(0.999999, (percent / 100) ** rows))))
 
 
+def least_equal(percent: int, bands: int) -> int:
+    """The most equal minima that can be asked of a pair so that this and the bands together miss one at the threshold with a chance of at most MISS."""
+    share, count = min(0.999999, percent / 100), bands * ROWS
+    left, k = MISS - (1 - share**ROWS) ** bands, 0
+    while k < count:
+        left -= math.exp(math.lgamma(count + 1) - math.lgamma(k + 1) - math.lgamma(count - k + 1) + k * math.log(share) + (count - k) * math.log1p(-share))
+        if left < 0:
+            break
+        k += 1
+    return k
+
+
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_240_601)
     return rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
@@ -233,8 +245,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id, kept): one row for each of docs; kept is the document of smallest id in its component."""
     spark = docs.sparkSession
     bands = bands_for(percent)
-    spread = math.sqrt(percent / 100 * (1 - percent / 100) / (bands * ROWS))
-    least = percent / 100 - 4 * spread
+    least = (least_equal(percent, bands) - 0.5) / (bands * ROWS)  # a half less, so that rounding excludes no pair
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     path = fresh(spark, "signatures")
     scan(source, "text", signatures(n, bands), FIELDS, ["id"]).write.parquet(path)
