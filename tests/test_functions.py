@@ -224,3 +224,12 @@ def test_lead_times_of_onsets_at_every_growth(spark):
     pair = sorted((r["growth_x"], r["first_t"]) for r in rows if (r["first"], r["second"]) == ("1-URGENT", "2-HIGH"))
     assert [x for x, _ in pair] == [1.25, 1.5, 2.0]
     assert all(t >= 56 for _, t in pair) and [t for _, t in pair] == sorted(t for _, t in pair)
+
+
+def test_null_has_200_repetitions_of_every_pair_of_tiers(spark):
+    rows = {r["pair"]: r for r in registry.QUERIES["null_calibration"](spark, SF).collect()}
+    assert set(rows) == {f"{a}->{b}" for a, b in itertools.combinations(("T1", "T2", "T3", "T4"), 2)}
+    assert all(r["reps"] == 200 and r["n"] <= min(r["fired_a"], r["fired_b"]) for r in rows.values())
+    assert all(r["p10"] <= r["median_gap"] <= r["p90"] for r in rows.values() if r["n"])
+    booms = forecast.null_series(spark).groupBy(F.split("series", "/")[0].alias("rep")).agg(F.min("boom").alias("a"), F.max("boom").alias("b")).collect()
+    assert len(booms) == 200 and all(r["a"] == r["b"] for r in booms) and len({r["a"] for r in booms}) > 30

@@ -64,7 +64,7 @@ def growth_scores(series: DataFrame) -> DataFrame:
     return out.withColumn("z0", F.col("g") / F.col("se")).withColumn("z", robust_z("z0"))
 
 
-def onsets(series: DataFrame, *, min_level: float = 0.0, growth_x: float = C.GROWTH_X) -> DataFrame:
+def onsets(series: DataFrame, *, min_level: float | Column = 0.0, growth_x: float = C.GROWTH_X) -> DataFrame:
     """One row a series: the first month of a boom that is large, not one freak month, unlikely, of some level and lasting; null if none."""
     scored = growth_scores(series)
     after = rows(-1, -C.SUSTAIN_MONTHS)

@@ -208,29 +208,45 @@ def tier_states(spark, sf_dir):
     return found.join(first, "series").select("series", state.alias("state"), "onset_t")
 
 
-def null_series(spark, reps: int = 200, months: int = 120, boom: int = 84):
-    """Poisson series of two tiers that boom in the same month, made where they are used; the seed is the series' number."""
-    spec = spark.range(reps * 2).select(F.col("id"), (F.col("id") % 2).alias("tier"), F.floor(F.col("id") / 2).alias("rep"))
+#: By tier: first month, level before the boom, multiple of it after; and the months a boom can start in.
+NULL_SHAPES = {"T1": ("2012-01", 5.0, 18.0), "T2": ("2010-01", 6.0, 5.0), "T3": ("2014-01", 3.0, 5.0), "T4": ("2014-01", 4_000.0, 4.0)}
+NULL_END, NULL_BOOMS, NULL_RAMP, NULL_SEED = "2026-06", ("2017-01", "2023-01"), 18, 20_260_713
+
+
+def null_series(spark, reps: int = 200):
+    """Series of four tiers that boom in the same month, drawn for each repetition; made where they are used, seeded by the numbers of repetition and tier. T1 is an index of 0 to 100, the others are counts."""
 
     def make(batches):
         import numpy as np
 
+        number = lambda m: int(m[:4]) * 12 + int(m[5:]) - 1
+        low, high = map(number, NULL_BOOMS)
         for pdf in batches:
-            for row in pdf.itertuples():
-                rng = np.random.default_rng(1_000 + row.id)
-                t = np.arange(months)
-                level = (8.0 if row.tier == 0 else 20.0) * np.where(t < boom, 1.0, np.minimum(1 + (t - boom) * 0.25, 5.0))
-                yield pd.DataFrame({"series": f"{row.rep}/{row.tier}", "t": t.astype("int32"), "v": rng.poisson(level).astype(float)})
+            for rep in pdf["id"].tolist():
+                boom = low + int(np.random.default_rng([NULL_SEED, rep]).integers(0, high - low + 1))
+                for k, (tier, (start, base, times)) in enumerate(NULL_SHAPES.items(), 1):
+                    t = np.arange(number(NULL_END) - number(start) + 1)
+                    level = base * (1 + (times - 1) * np.clip((t + number(start) - boom) / NULL_RAMP, 0, 1))
+                    index = np.floor(np.minimum(100.0, level) + (t * 7919 + rep * 13) % 5 / 5.0)
+                    v = index if tier == "T1" else np.random.default_rng([NULL_SEED, rep, k]).poisson(level).astype(float)
+                    yield pd.DataFrame({"series": f"{rep}/{tier}", "t": t.astype("int32"), "v": v, "start": f"{start}-01", "boom": np.int32(boom)})
 
-    return spec.mapInPandas(make, "series string, t int, v double").withColumn("month", F.add_months(F.lit("2010-01-01").cast("date"), F.col("t")))
+    made = spark.range(reps).mapInPandas(make, "series string, t int, v double, start string, boom int")
+    return made.select("series", "t", "v", F.add_months(F.col("start").cast("date"), F.col("t")).alias("month"), "boom")
 
 
 @query(None)
 def null_calibration(spark, sf_dir):
-    """The apparent lead between two tiers whose true lead is zero: every onset of all repetitions in one query."""
-    found = S.onsets(null_series(spark, reps=60)).select(F.split("series", "/")[0].alias("rep"), F.split("series", "/")[1].alias("tier"), "onset_t")
-    pairs = found.groupBy("rep").agg(F.max(F.when(F.col("tier") == "0", F.col("onset_t"))).alias("a"), F.max(F.when(F.col("tier") == "1", F.col("onset_t"))).alias("b"))
-    return pairs.agg(F.count(F.lit(1)).alias("reps"), F.count("a").alias("fired_a"), F.count("b").alias("fired_b"), F.median(F.col("b") - F.col("a")).alias("median_gap"), F.avg((F.col("b") > F.col("a")).cast("int")).alias("in_order"))
+    """The apparent lead of each pair of tiers whose true lead is zero: every onset of all repetitions in one query."""
+    rep, tier = F.split("series", "/")[0], F.split("series", "/")[1]
+    floor = F.element_at(F.create_map(*(F.lit(x) for pair in C.FLOORS.items() for x in pair)), tier)
+    found = S.onsets(null_series(spark), min_level=floor).select(rep.alias("rep"), tier.alias("tier"), (F.year("onset") * 12 + F.month("onset")).alias("m"))
+    each = found.groupBy("rep").agg(*(F.max(F.when(F.col("tier") == x, F.col("m"))).alias(x) for x in NULL_SHAPES))
+    pairs = each.select(F.explode(F.array(*(F.struct(F.lit(f"{x}->{y}").alias("pair"), F.col(x).alias("a"), F.col(y).alias("b")) for x, y in itertools.combinations(NULL_SHAPES, 2)))).alias("x")).select("x.*")
+    gap = F.col("b") - F.col("a")
+    sums = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("reps"), F.count("a").alias("fired_a"), F.count("b").alias("fired_b"), F.count(gap).alias("n"), F.median(gap).alias("median_gap"), F.avg(gap).alias("mean_gap"), F.array_sort(F.collect_list(gap)).alias("gaps"), F.avg((gap > 0).cast("int")).alias("in_order"))
+    at = lambda share: F.get("gaps", F.least(F.col("n") - 1, F.floor(F.col("n") * share)).cast("int"))
+    return sums.select("pair", "reps", "fired_a", "fired_b", "n", "median_gap", "mean_gap", at(0.1).alias("p10"), at(0.9).alias("p90"), "in_order")
 
 
 @query("""with c as (select o_orderkey as call, o_custkey as k, cast(o_orderdate as date) as d, case when o_orderkey % 4 = 0 then 'control' else 'pick' end as role from orders where o_orderstatus = 'O' and o_orderdate < timestamp '1999-01-01'),
