@@ -5,12 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.shared import cut
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+from tidemark.shared import Scratch
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -28,21 +23,24 @@ def small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) of every node of edges (u, v): the least node that can be reached. Null and looping edges are ignored.
 
-    Every round's edges are cut from their lineage in the shared folder; it ends when a round changes nothing.
+    Every round writes its edges to the shared folder, counts and sums them in the same job, and deletes those of the round
+    before; it ends when a round changes nothing. The result reads the last round's table in scratch.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _state(edges)
-    for _ in range(max_rounds if before[0] else 0):
-        edges = cut(small_star(large_star(edges)))
-        after = _state(edges)
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    totals = F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")
+    edges, before = scratch.measure(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *totals)
+    for _ in range(max_rounds if before["n"] else 0):
+        last = edges
+        edges, after = scratch.measure(small_star(large_star(last)), *totals)
+        scratch.drop(last)
         if after == before:
             break
         before = after
     else:
-        if before[0]:
+        if before["n"]:
             raise RuntimeError(f"the components didn't settle in {max_rounds} rounds")
     stars = edges.groupBy("u").agg(F.min("v").alias("v"))
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
