@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from settings import SF
 
 from tidemark.llm import bpe, fingerprint, html, licenses, neardup
@@ -92,6 +93,18 @@ def test_licenses_of_an_exact_and_an_edited_notice_in_one_block(spark):
     assert got == {i: labels for i, _, labels in rows}
 
 
+def test_licenses_by_long_templates_and_ascii_case_only(spark):
+    rng = random.Random(4)
+    long = [f"clause{k}" for k in range(130)]
+    edited = [w if rng.random() < 0.92 else "x" for w in long]
+    rows = [(1, "a b " * 300 + " ".join(edited) + " tail", "whole"), (2, " ".join(long[:60]), ""), (3, "we wor\u212a here", ""), (4, "WE WORK HERE", "work")]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.find_licenses(docs, phrases=[], templates=[(" ".join(long), "whole"), ("we work here", "work")]).collect()}
+    assert got == {i: labels for i, _, labels in rows}
+    none = licenses.find_licenses(docs, phrases=[], templates=[])
+    assert sorted((r["doc_id"], r["n_words"], r["labels"]) for r in none.collect()) == [(1, 731, ""), (2, 60, ""), (3, 3, ""), (4, 3, "")]
+
+
 def test_tokens_equal_the_library(spark, library):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
@@ -154,8 +167,54 @@ def test_near_duplicates_against_all_pairs(spark, n, percent):
 def test_near_duplicates_of_awkward_rows(spark, awkward, empty):
     rows = neardup.near_duplicates(awkward).collect()
     assert len(rows) == 9 and all(r["kept"] for r in rows) and sum(r["component_id"] is None for r in rows) == 1
-    assert neardup.near_duplicates(empty).count() == 0
-    assert neardup.drop_near_duplicates(awkward).columns == awkward.columns
+    assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
+    kept = neardup.drop_near_duplicates(awkward)
+    assert kept.columns == awkward.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7]
+
+
+def test_rows_that_share_an_id_are_judged_each_by_its_text(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    near = x.replace("x39", "x40")
+    rows = [(1, x, "a"), (5, x, "b"), (5, y, "c"), (7, z, "d"), (7, z, "e"), (8, near, "f"), (None, x, "g"), (9, "", "h"), (9, "", "i"), (10, None, "j")]
+    docs = spark.createDataFrame(rows, "id long, text string, key string")
+    found = sorted((r["id"] or -1, r["component_id"] or -1) for r in neardup.near_duplicates(docs, key="id").collect())
+    assert found == [(-1, -1), (1, 1), (5, 1), (5, 5), (7, 7), (7, 7), (8, 1), (9, 9), (9, 9), (10, 10)]
+    kept = neardup.drop_near_duplicates(docs, key="id")
+    got = sorted((r["id"] or -1, r["text"] or "") for r in kept.collect())
+    assert kept.columns == docs.columns and got == sorted([(1, x), (5, y), (7, z), (-1, x), (9, ""), (9, ""), (10, "")])
+
+
+def test_near_duplicates_leave_only_their_result(spark):
+    import os
+
+    from tidemark.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs = spark.createDataFrame([(k, f"a b c d e f g h i j k {k % 2}") for k in range(20)], "doc_id long, text string")
+    assert neardup.near_duplicates(docs).count() == 20
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"near-result"}
+
+
+def test_near_links_of_groups_around_a_common_passage(spark):
+    """Buckets that hold several components, more members than a block has, and pairs that only the blocks find."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for _ in range(90):
+        own = [f"o{rng.randint(0, 10**6)}" for _ in range(rng.randint(6, 14))]
+        for _ in range(rng.randint(1, 3)):
+            rows.append(" ".join(passage + own[: len(own) - rng.randint(0, 3)]))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, 3, 85)
+    for block in (512, 7):
+        neardup.BLOCK, old = block, neardup.BLOCK
+        try:
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, n=3, percent=85).collect()}
+        finally:
+            neardup.BLOCK = old
+        assert got == want
 
 
 def test_bands_miss_a_link_once_in_a_million():
@@ -228,3 +287,28 @@ def test_pipeline_keeps_what_plain_stages_keep(spark):
     rest = {r["doc_id"]: r["text"] for r in kept.collect()}
     groups = collections.Counter(c for _, c in brute_components(list(rest.items()), 5, 80).values())
     assert max(groups.values()) == 1
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, awkward, tmp_path):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "key", "bands", "n_hit"]
+    docs = awkward.select("doc_id", "text", "lang", "source", "n_chars", "score", F.lit(1).alias("key"), F.lit("b").alias("bands"), F.lit(None).cast("int").alias("n_hit"))
+    rated = [(k, 1, 0) for k in (1, 5, 7)] + [(6, 0, 0), (None, 1, 0), (3, None, None)]
+    cases = {
+        "plain": (docs, rated, [-1, 1, 5, 7]),
+        "no_language": (docs.withColumn("lang", F.lit(None).cast("string")), rated, [-1, 1, 5, 7]),
+        "no_ratings": (docs, [], [-1, 1, 5, 7]),
+        "no_rows": (docs.limit(0), rated, []),
+    }
+    for name, (table, ratings, want) in cases.items():
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(ratings, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "entirely other words"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for step, stage in corpus_pipeline.STAGES[:4]:
+            kept = stage(spark, kept, folder)
+            assert kept.columns == names, (name, step)
+        out = corpus_pipeline.run(spark, folder)
+        assert sorted(r["doc_id"] or -1 for r in out.collect()) == want, name

@@ -1,7 +1,8 @@
 """License scans by an exact set-similarity join, in DataFrame functions only.
 
-Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text in lower case. A text block is a window of `2 * STRIDE` words, one
-every STRIDE words, so that whatever is at most STRIDE words long lies in a block whole. A template is in a block if the block holds at least
+Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cased. A text block is a window of two strides of words, one
+every stride, so that whatever is at most a stride long lies in a block whole. The stride is `STRIDE` words, doubled until it holds the template, so that
+templates may have any length. A template is in a block if the block holds at least
 `percent` of its distinct words; the join finds every such pair:
 
 * words are ordered by their frequency in the whole corpus, the rarest first;
@@ -10,16 +11,15 @@ every STRIDE words, so that whatever is at most STRIDE words long lies in a bloc
 * a pair whose first common prefix word leaves fewer than k words in the template or the block is left out (positional filter);
 * for the rest the common words are counted.
 
-A text without a prefix word of any template holds none, so only the others are taken apart; of these only words that
-templates have are shuffled. The templates and the counts of their words are all that reaches the driver.
+The corpus is taken apart once: each text's number of words and the places of words that templates have are written to the shared folder, and all else reads
+those. A text without a prefix word of any template holds none, so only the others go on. The templates and the counts of their words are all that reaches the driver.
 
 Phrases are templates of which a block must hold every word; what the join finds is then checked for places where the words stand
 consecutively. Of templates so alike that the words of one are enough for the other (versions of a license) only those of the largest
-share in a block give their label; every other template that a block holds gives its own, whatever else is in the block. The SQL
-lets all templates of a block compete, and so has fewer labels where an edited notice stands beside a more exact one of another license.
+share in a block give their label; every other template that a block holds gives its own, whatever else is in the block.
 
 Defined results: a null, empty or wordless text has no words, places or labels, and score 0; repeated rows are each answered; an empty
-table gives an empty result; other columns do not matter.
+table gives an empty result; other columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.shared import cut
+from tidemark.shared import Scratch
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 STRIDE, PERCENT = 40, 85
@@ -73,50 +73,65 @@ def rivals(sets: list[tuple[list[int], int]]) -> list[list[int]]:
     return [[j for j, (two, l) in enumerate(sets) if j != i and (common := len(set(one) & set(two))) and (common >= l or common >= k)] for i, (one, k) in enumerate(sets)]
 
 
+def stride_for(words: int) -> int:
+    """STRIDE, doubled until it holds so many words."""
+    stride = STRIDE
+    while stride < words:
+        stride *= 2
+    return stride
+
+
 def find_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: list[tuple[str, str]] | None = None, templates: list[tuple[str, str]] | None = None, percent: int = PERCENT) -> DataFrame:
     """(key, n_words, n_base, first_word, last_word, base_labels, labels, score): one row for each of docs."""
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spark = docs.sparkSession
+    scratch = Scratch(spark, "licenses")
     sets = [(p.split(), label, True, 100) for p, label in phrases] + [(t.split(), label, False, percent) for t, label in templates]
-    if any(len(words) > STRIDE for words, *_ in sets):
-        raise ValueError(f"a template has more than {STRIDE} words")
     vocabulary = sorted({w for words, *_ in sets for w in words})
-    rows = docs.select(F.col(key).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(WORD), F.lit(0)).alias("words"))
+    low = F.translate(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), F.regexp_extract_all(low, F.lit(WORD), F.lit(0)).alias("words"))
+    places = F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))
+    known = F.filter(places, lambda x: x["word"].isin(vocabulary)) if vocabulary else F.slice(places, 1, 0)
+    taken = scratch.keep(rows.select("id", F.size("words").cast("long").alias("n_words"), known.alias("places")).withColumn("row", F.monotonically_increasing_id()))
 
     # Frequency of the templates' words in the corpus, and ranks by it.
-    counts = {r["word"]: r["n"] for r in rows.select(F.explode("words").alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["word"]: r["n"] for r in taken.select(F.explode("places.word").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the templates
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: k for k, w in enumerate(order)}
     index, whole = [], []
     for number, (words, label, base, share) in enumerate(sets):
         ranks = sorted({rank[w] for w in words})
-        k = needed(len(ranks), share)
+        k, stride = needed(len(ranks), share), stride_for(len(words))
         whole.append((number, label, base, ranks, len(ranks), k))
-        index += [(r, i, number) for i, r in enumerate(ranks[: len(ranks) - k + 1])]
+        index += [(r, stride, i, number) for i, r in enumerate(ranks[: len(ranks) - k + 1])]
     against = rivals([(w[3], w[5]) for w in whole])
     whole = [(*w, against[w[0]]) for w in whole]
     prefix = [order[r] for r in sorted({r for r, *_ in index})]
     if not index:
-        return _finish(rows.select("id", F.size("words").cast("long").alias("n_words")), key)
+        return scratch.finish(_finish(taken.select("id", "n_words"), key))
 
-    sought = F.arrays_overlap("words", F.array(*map(F.lit, prefix)))
-    ranks = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))
-    tokens = rows.where(sought).withColumn("row", F.monotonically_increasing_id())
-    tokens = tokens.select("row", "id", F.size("words").cast("long").alias("n_words"), F.posexplode("words").alias("pos", "word")).where(F.col("word").isin(vocabulary))
-    tokens = cut(tokens.select("row", "id", "n_words", "pos", ranks[F.col("word")].alias("rank")))
+    sought = F.exists("places", lambda x: x["word"].isin(prefix))
+    ranks = F.broadcast(spark.createDataFrame(list(rank.items()), "word string, rank int"))  # bounded by the templates
+    tokens = taken.where(sought).select("row", F.explode("places").alias("x")).select("row", "x.pos", "x.word").join(ranks, "word").drop("word")
 
     # Blocks against templates.
-    here = (F.col("pos") / STRIDE).cast("int")
-    blocks = tokens.select("row", F.explode(F.when(here > 0, F.array(here, here - 1)).otherwise(F.array(here))).alias("block"), "rank")
-    blocks = blocks.groupBy("row", "block").agg(F.array_sort(F.collect_set("rank")).alias("have"))
-    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, i int, template int"))  # bounded by the templates
+    def blocks_at(stride: int):
+        here = (F.col("pos") / stride).cast("int")
+        block = lambda n: F.struct(F.lit(stride).alias("stride"), n.alias("block"))
+        return F.when(here > 0, F.array(block(here), block(here - 1))).otherwise(F.array(block(here)))
+
+    strides = sorted({stride for _, stride, *_ in index})
+    blocks = tokens.select("row", F.explode(F.flatten(F.array(*map(blocks_at, strides)))).alias("b"), "rank").select("row", "b.stride", "b.block", "rank")
+    blocks = blocks.groupBy("row", "stride", "block").agg(F.array_sort(F.collect_set("rank")).alias("have"))
+    prefixes = F.broadcast(spark.createDataFrame(index, "rank int, stride int, i int, template int"))  # bounded by the templates
     full = F.broadcast(spark.createDataFrame(whole, "template int, label string, base boolean, want array<int>, m int, k int, rivals array<int>"))
-    pairs = blocks.where(F.size("have") >= min(w[5] for w in whole)).select("row", "block", "have", F.posexplode("have").alias("j", "rank")).join(prefixes, "rank")
-    pairs = pairs.groupBy("row", "block", "template").agg(F.min(F.struct("i", "j")).alias("first"), F.first("have").alias("have")).join(full, "template")
+    where = ["row", "stride", "block"]
+    pairs = blocks.where(F.size("have") >= min(w[5] for w in whole)).select(*where, "have", F.posexplode("have").alias("j", "rank")).join(prefixes, ["rank", "stride"])
+    pairs = pairs.groupBy(*where, "template").agg(F.min(F.struct("i", "j")).alias("first"), F.first("have").alias("have")).join(full, "template")
     fits = pairs.where((F.size("have") >= F.col("k")) & (F.lit(1) + F.least(F.col("m") - 1 - F.col("first.i"), F.size("have") - 1 - F.col("first.j")) >= F.col("k")))
-    found = fits.withColumn("common", F.size(F.array_intersect("have", "want"))).where("common >= k").select("row", "block", "template", "label", "base", "rivals", (F.col("common") / F.col("m")).alias("share"))
-    found = cut(found)
-    beside = F.collect_list(F.struct("template", "share")).over(Window.partitionBy("row", "block"))
+    found = fits.withColumn("common", F.size(F.array_intersect("have", "want"))).where("common >= k").select(*where, "template", "label", "base", "rivals", (F.col("common") / F.col("m")).alias("share"))
+    found = scratch.keep(found)
+    beside = F.collect_list(F.struct("template", "share")).over(Window.partitionBy(*where))
     beaten = F.exists("beside", lambda x: F.array_contains("rivals", x["template"]) & (x["share"] > F.col("share")))
     extra = found.where("not base").withColumn("beside", beside).where(~beaten).groupBy("row").agg(F.collect_set("label").alias("extra"), F.max("share").alias("share"))
 
@@ -131,14 +146,10 @@ def find_licenses(docs: DataFrame, *, key: str = "doc_id", text: str = "text", p
         for d, r in enumerate(p[1:], 1):
             hit &= (F.col(f"rank{d}") == r) & (F.col(f"pos{d}") == F.col("pos") + d)
         tests.append(F.when(hit, F.struct(F.lit(number).alias("template"), F.lit(label).alias("label"))))
-    places = ahead.select("row", "pos", F.explode(F.array_compact(F.array(*tests) if tests else F.array().cast("array<struct<template:int,label:string>>"))).alias("x")).select("row", "pos", "x.template", "x.label")
-    places = places.join(found.where("base").select("row", "template").distinct(), ["row", "template"], "left_semi")
-    base = places.groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"), F.collect_set("label").alias("base"))
-
-    taken = tokens.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"))
-    known = taken.join(base, "row", "left").join(extra, "row", "left").drop("row")
-    rest = rows.where(~sought).select("id", F.size("words").cast("long").alias("n_words"))
-    return _finish(known.unionByName(rest, allowMissingColumns=True), key)
+    said = ahead.select("row", "pos", F.explode(F.array_compact(F.array(*tests) if tests else F.array().cast("array<struct<template:int,label:string>>"))).alias("x")).select("row", "pos", "x.template", "x.label")
+    said = said.join(found.where("base").select("row", "template").distinct(), ["row", "template"], "left_semi")
+    base = said.groupBy("row").agg(F.count(F.lit(1)).alias("n_base"), F.min("pos").cast("long").alias("first_word"), F.max("pos").cast("long").alias("last_word"), F.collect_set("label").alias("base"))
+    return scratch.finish(_finish(taken.select("row", "id", "n_words").join(base, "row", "left").join(extra, "row", "left").drop("row"), key))
 
 
 def _finish(rows: DataFrame, key: str) -> DataFrame:
@@ -175,9 +186,13 @@ base as (
 blocks as (
   select doc_id, b, list_distinct(ws[b * {STRIDE} + 1 : b * {STRIDE} + {2 * STRIDE}]) as have from (select doc_id, ws, unnest(range(0, (len(ws) + {STRIDE - 1}) // {STRIDE})) as b from w)),
 fits as (
-  select doc_id, b, label, len(list_intersect(have, want)) / len(want) as share from blocks, t where len(list_intersect(have, want)) * 100 >= len(want) * {PERCENT}),
+  select doc_id, b, template, label, len(list_intersect(have, want)) / len(want) as share from blocks, t where len(list_intersect(have, want)) * 100 >= len(want) * {PERCENT}),
+rivals as (
+  select x.template as one, y.template as two from t x, t y
+  where x.template <> y.template and len(list_intersect(x.want, y.want)) * 100 >= least(len(x.want), len(y.want)) * {PERCENT}),
 best as (
-  select doc_id, label, share from (select *, max(share) over (partition by doc_id, b) as top from fits) where share = top),
+  select doc_id, label, share from fits f where not exists (
+    select 1 from fits g, rivals where one = f.template and two = g.template and g.doc_id = f.doc_id and g.b = f.b and g.share > f.share)),
 extra as (select doc_id, list(distinct label) as extra, max(share) as share from best group by 1)
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') as base_labels,

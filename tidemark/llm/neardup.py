@@ -3,22 +3,25 @@
 A document's set is its distinct shingles of `n` words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); a document of fewer words has one
 shingle, all of them. Two documents are linked if the Jaccard index of their sets is at least `percent` / 100.
 
-1. A scan gives each document the hash of its set, minima under many universal hash functions, and one key for
-   each band of `rows` minima; there are as many bands as make a link at the threshold be missed with a chance of
-   at most `MISS`, which with the comparison of signatures stays within it.
-2. Documents with equal sets are one class, which its smallest id stands for; so groups of copies count once.
+1. A scan gives each document a 128-bit hash of its set and a signature: 16 bits of each of its minima under many universal hash
+   functions. A band is `rows` minima; there are as many bands as make a link at the threshold be missed with a chance of
+   at most `MISS`, which with the comparison of signatures stays within it. Band keys are hashes of the signature's parts, made when they are needed.
+2. Documents with equal sets are one class, a node of its own; so groups of copies count once, and signatures go on once a class.
 3. In each bucket (classes with equal band keys) every class is paired with one leader only, the one that shares most buckets with others. Pairs that pass
    the comparison of lengths and signatures are confirmed on the full sets; components follow by large-star and small-star.
-4. A bucket whose classes are then all of one component is settled. In others, classes outside the leader's component are
-   compared with all others by blocks of about `BLOCK` classes, dealt over the cluster, so that no link is lost and no group
-   meets in one task. A pair is compared in the first bucket it shares, confirmed there, and only links that join
-   components leave the task; the components are then completed.
+4. A bucket whose classes are then all of one component is settled, and so is one of two classes. In others, classes outside the leader's component are
+   compared with all others of fitting lengths by blocks of about `BLOCK` classes, dealt over the cluster, so that no link is lost and no group
+   meets in one task. A pair is compared in the first bucket it shares. The blocks hold signatures only; texts go to those
+   members whose signatures are like another's. They are confirmed there, and only links that join components leave the task; the
+   components are then completed.
 
-Only keys, signatures and the texts of candidate pairs are shuffled; nothing of the corpus reaches the driver.
+Only keys, signatures and the texts of candidate pairs are shuffled; nothing of the corpus reaches the driver. What is written
+to the shared folder on the way is deleted when the result is written.
 
 Defined results: a text that is null or has no words has the empty set, is linked with nothing and is its own component; rows
-that share an id stand for one document whose sets each count; a null id is answered with a null component and kept;
-an empty table gives an empty result; other columns do not matter.
+that share an id are judged each by its own text; a null id is answered with a null component and kept;
+an empty table gives an empty result; other columns do not matter, whatever their names. `drop_near_duplicates` leaves one row of each component:
+of the smallest id, and one of those that have this id and the same set too; rows without words or without an id all stay.
 """
 
 from __future__ import annotations
@@ -33,15 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.components import components
-from tidemark.llm.textkit import GRAPHIC, mix, scan, words_of
-from tidemark.shared import cut, fresh
+from tidemark.llm.textkit import GRAPHIC, Words, mix, scan, words_of
+from tidemark.shared import Scratch
 
 ROWS, MISS = 5, 1e-6
 #: Members of a block, and the shingles they may have together.
 BLOCK, WEIGHT = 512, 1 << 18
 #: Up to so many ids are broadcast, so that only the texts of candidates are shuffled; of more ids, both sides are.
 BROADCAST_IDS = 1_000_000
-FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType()), T.StructField("low_bands", T.BinaryType()), T.StructField("high_sig", T.BinaryType())]
+FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("sig", T.BinaryType())]
 
 
 def bands_for(percent: int, rows: int = ROWS) -> int:
@@ -66,62 +69,78 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, dtype=np.uint64)
 
 
+def _sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the distinct shingles of each row, sorted by row and hash."""
+    counts, grams, whole = words.counts(), words.grams(n), words.whole(n)
+    value, row = grams[whole], words.row[: len(grams)][whole]
+    for size in range(1, n):  # all words of a short document
+        at = words.first[:-1][counts == size]
+        if len(at):
+            value, row = np.concatenate([value, words.grams(size)[at]]), np.concatenate([row, words.row[at]])
+    order = np.lexsort((value, row))
+    value, row = value[order], row[order]
+    first = np.ones(len(value), bool)
+    first[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
+    return value[first], row[first]
+
+
 def signatures(n: int, bands: int):
+    """n_shingles, the two halves of the set's hash and, if there are bands, the signature of each text."""
+
     def make():
         scale, shift = _functions(ROWS * bands)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            sizes, keys, keys2, all_bands, sigs, lows, highs = [], [], [], [], [], [], []
+            sizes, keys, keys2, sigs = [], [], [], []
             for _, _, words in words_of(column, GRAPHIC):
-                counts = words.counts()
-                grams = words.grams(n)
-                whole = words.whole(n)
-                value, row = grams[whole], words.row[: len(grams)][whole]
-                for size in range(1, n):  # all words of a short document
-                    at = words.first[:-1][counts == size]
-                    if len(at):
-                        short = words.grams(size)[at]
-                        value, row = np.concatenate([value, short]), np.concatenate([row, words.row[at]])
-                order = np.lexsort((value, row))
-                value, row = value[order], row[order]
-                if len(value):
-                    fresh_ = np.ones(len(value), bool)
-                    fresh_[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
-                    value, row = value[fresh_], row[fresh_]
-                size = np.bincount(row, minlength=words.rows)
+                value, row = _sets(words, n)
+                size = np.bincount(row, minlength=words.rows).astype(np.int64)
                 full = np.flatnonzero(size)
                 starts = np.searchsorted(row, full)
-                minima = np.empty((len(full), len(scale)), np.uint64)
-                for k in range(len(scale)) if len(full) else ():
-                    minima[:, k] = np.minimum.reduceat(value * scale[k] + shift[k], starts)
-                once, twice = mix(value), mix(value ^ np.uint64(0x5851F42D4C957F2D))
-                key = np.add.reduceat(once, starts) if len(full) else np.zeros(0, np.uint64)
-                key2 = np.add.reduceat(twice, starts) if len(full) else np.zeros(0, np.uint64)
-                band = np.empty((len(full), bands), np.uint64)
-                for b in range(bands):
-                    acc = np.full(len(full), b + 1, np.uint64)
-                    for k in range(b * ROWS, (b + 1) * ROWS):
-                        acc = mix(acc ^ minima[:, k]) + np.uint64(k)
-                    band[:, b] = acc
-                short16, short8, low = (minima >> np.uint64(48)).astype(np.uint16), (minima >> np.uint64(56)).astype(np.uint8), band.astype(np.uint32)
-                sizes.append(size)
+                hashes = [np.add.reduceat(h, starts).astype(np.int64) if len(full) else np.zeros(0, np.int64) for h in (mix(value), mix(value ^ np.uint64(0x5851F42D4C957F2D)))]
                 place = np.full(words.rows, -1)
                 place[full] = np.arange(len(full))
-                for p in place.tolist():
-                    keys.append(None if p < 0 else int(key[p].astype(np.int64)))
-                    keys2.append(None if p < 0 else int(key2[p].astype(np.int64)))
-                    all_bands.append(None if p < 0 else band[p].astype(np.int64))
-                    sigs.append(None if p < 0 else short16[p].tobytes())
-                    lows.append(None if p < 0 else low[p].tobytes())
-                    highs.append(None if p < 0 else short8[p].tobytes())
-            total = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-            return [pa.array(total), pa.array(keys, pa.int64()), pa.array(keys2, pa.int64()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(lows, pa.binary()), pa.array(highs, pa.binary())]
+                some = pa.array(place, mask=place < 0)
+                sizes.append(pa.array(size))
+                keys.append(pa.array(hashes[0]).take(some))
+                keys2.append(pa.array(hashes[1]).take(some))
+                if bands:
+                    minima = np.empty((len(full), len(scale)), np.uint16)
+                    for k in range(len(scale)) if len(full) else ():  # the upper bits of minima are small numbers, so they are scrambled first
+                        minima[:, k] = mix(np.minimum.reduceat(value * scale[k] + shift[k], starts)).astype(np.uint16)
+                    sigs.append(pa.array([x.tobytes() for x in minima], pa.binary()).take(some))
+            join = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
+            made = [join(sizes, pa.int64()), join(keys, pa.int64()), join(keys2, pa.int64())]
+            return [*made, join(sigs, pa.binary())] if bands else made
 
         return work
 
     return make
 
 
+def _bands(sig: np.ndarray) -> np.ndarray:
+    """Band keys of signatures, rows x bands."""
+    parts = sig.reshape(len(sig), -1, ROWS).astype(np.uint64)
+    acc = np.broadcast_to(np.arange(1, parts.shape[1] + 1, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(ROWS):
+        acc = mix(acc << np.uint64(16) ^ parts[:, :, k] ^ acc >> np.uint64(48))
+    return acc
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1) if len(column) else np.zeros((0, ROWS), np.uint16)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, size, signature) to (bucket, node, size) for each band."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            keys = _bands(_signatures_of(part.column(2)))
+            again = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), part.column(0).take(again), part.column(1).take(again)], names=["bucket", "node", "size"])
+
+
 def shingles(text: str | None, n: int) -> set:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return set(zip(*(words[k:] for k in range(n)))) if len(words) >= n else {tuple(words)} if words else set()
@@ -160,11 +179,55 @@ def _alike(least: float):
     return run
 
 
+class _Block:
+    """Members of a block: nodes, components, sizes, sides, signatures and band keys."""
+
+    def __init__(self, members: pa.StructArray):
+        self.node, self.comp, self.size, self.left, self.right = (members.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "size", "left", "right"))
+        self.sig = _signatures_of(members.field("sig"))
+
+    def pairs(self, bucket: int, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(left, right, likeness) of members of different components that are like each other and meet in no bucket before."""
+        bands = _bands(self.sig)
+        one, two = np.flatnonzero(self.left), np.flatnonzero(self.right)
+        found = []
+        for part in np.array_split(one, max(1, len(one) * len(two) // 65_536 + 1)):
+            ok = self.comp[part][:, None] != self.comp[two][None, :]
+            small, large = np.minimum(self.size[part][:, None], self.size[two][None, :]), np.maximum(self.size[part][:, None], self.size[two][None, :])
+            i, j = np.nonzero(ok & (100 * small >= percent * large))
+            for at in np.array_split(np.arange(len(i)), len(i) // 16_384 + 1):
+                u, v = part[i[at]], two[j[at]]
+                alike = (self.sig[u] == self.sig[v]).mean(1)
+                near = np.flatnonzero(alike >= least)
+                u, v, alike = u[near], v[near], alike[near]
+                here = bands[u, (bands[u] == bands[v]).argmax(1)] == np.uint64(bucket & (1 << 64) - 1) if len(u) else np.zeros(0, bool)
+                found.append((u[here], v[here], alike[here]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _needed(least: float, percent: int):
+    """(bucket, i, j, members) to (bucket, i, j, node) of the members that are in a pair to confirm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buckets, out = batch.column(0).to_pylist(), [[], [], [], []]
+            for k in range(batch.num_rows):
+                block = _Block(batch.column(3)[k].values)
+                u, v, _ = block.pairs(buckets[k], least, percent)
+                nodes = np.unique(np.concatenate([block.node[u], block.node[v]])).tolist()
+                for c in range(3):
+                    out[c] += [batch.column(c)[k].as_py()] * len(nodes)
+                out[3] += nodes
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["bucket", "i", "j", "node"])
+
+    return run
+
+
 def _across(n: int, least: float, percent: int):
-    """(bucket, members) to the links that join components: of each left and right member of different components that pass.
+    """(bucket, members with texts) to the links that join components: of each left and right member of different components that pass.
 
-    A member's signature has the upper byte of each minimum, its bands the lower half of each key. A pair is compared in the first bucket that its two share only. Pairs are confirmed from the most alike on, on the hashes of all
-    shingles; those of components that meanwhile are one are not looked at, so that each task yields fewer links than it has members.
+    Pairs are confirmed from the most alike on, on the hashes of all shingles; those of components that meanwhile are one are not
+    looked at, so that each task yields fewer links than it has members.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,30 +236,12 @@ def _across(n: int, least: float, percent: int):
             lists, buckets = batch.column(1), batch.column(0).to_pylist()
             for k in range(batch.num_rows):
                 members = lists[k].values
-                ids, comp, size, left, right = (members.field(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "size", "left", "right"))
-                sig = np.frombuffer(b"".join(members.field("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-                bands = np.frombuffer(b"".join(members.field("bands").to_pylist()), np.uint32).reshape(len(ids), -1)
-                one, two = np.flatnonzero(left), np.flatnonzero(right)
-                mine = np.uint32(buckets[k] & 0xFFFFFFFF)
-                found = []
-                for part in np.array_split(one, max(1, len(one) * len(two) // 65_536 + 1)):
-                    ok = comp[part][:, None] != comp[two][None, :]
-                    ok &= 100 * np.minimum(size[part][:, None], size[two][None, :]) >= percent * np.maximum(size[part][:, None], size[two][None, :])
-                    i, j = np.nonzero(ok)
-                    for at in np.array_split(np.arange(len(i)), len(i) // 65_536 + 1):
-                        u, v = part[i[at]], two[j[at]]
-                        alike = (sig[u] == sig[v]).mean(1)
-                        near = np.flatnonzero(alike >= least)
-                        u, v, alike = u[near], v[near], alike[near]
-                        first = (bands[u] == bands[v]).argmax(1) if len(u) else np.zeros(0, np.int64)
-                        here = bands[u, first] == mine
-                        found.append(np.stack([u[here], v[here], np.round(alike[here] * 1e6).astype(np.int64)]))
-                pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
-                if not pairs.shape[1]:
+                block = _Block(members)
+                lefts, rights, alike = block.pairs(buckets[k], least, percent)
+                if not len(lefts):
                     continue
-                needed = np.unique(pairs[:2])
-                sets = dict(zip(needed.tolist(), _hashed(members.field("text").take(pa.array(needed)), n)))
-                root = {c: c for c in comp.tolist()}
+                sets = _hashed(members.field("text"), n)
+                root = {c: c for c in block.comp.tolist()}
 
                 def find(x: int) -> int:
                     while root[x] != x:
@@ -204,16 +249,16 @@ def _across(n: int, least: float, percent: int):
                         x = root[x]
                     return x
 
-                for at in np.argsort(-pairs[2], kind="stable").tolist():
-                    u, v = int(pairs[0, at]), int(pairs[1, at])
-                    a, b = find(int(comp[u])), find(int(comp[v]))
+                for at in np.argsort(-alike, kind="stable").tolist():
+                    u, v = int(lefts[at]), int(rights[at])
+                    a, b = find(int(block.comp[u])), find(int(block.comp[v]))
                     if a == b:
                         continue
                     common = len(sets[u] & sets[v])
                     if 100 * common >= percent * (len(sets[u]) + len(sets[v]) - common):
                         root[max(a, b)] = min(a, b)
-                        us.append(int(ids[u]))
-                        vs.append(int(ids[v]))
+                        us.append(int(block.node[u]))
+                        vs.append(int(block.node[v]))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
@@ -233,76 +278,126 @@ def _hashed(texts: pa.Array, n: int) -> list[set]:
     return out
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (u, v) that are confirmed on the full sets; texts has the text of every id."""
-    ids = cut(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    body = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    one, two = (body.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
-    return pairs.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(n, percent), "u long, v long")
+class _Job:
+    """The steps of one search over (id, text); its tables lie in one folder, which goes when the result is written."""
+
+    def __init__(self, docs: DataFrame, key: str, text: str, n: int, percent: int):
+        column = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        self.source = docs.select(column(key).cast("long").alias("id"), column(text).cast("string").alias("text"))
+        self.n, self.percent, self.bands = n, int(percent), bands_for(percent)
+        self.least = (least_equal(percent, self.bands) - 0.5) / (self.bands * ROWS)  # a half less, so that rounding excludes no pair
+        self.spark, self.scratch = docs.sparkSession, Scratch(docs.sparkSession, "near")
+
+    def run(self) -> None:
+        """signed: (id, n_shingles, key, key2) of every row. classes: (key, key2, node, id, copies). final: (node, component)."""
+        keep = self.scratch.keep
+        wide = keep(scan(self.source, "text", signatures(self.n, self.bands), FIELDS, ["id"]))
+        self.signed = wide.drop("sig")
+        own = wide.where("id is not null and key is not null").groupBy("key", "key2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"))
+        reps = keep(own.withColumn("node", F.monotonically_increasing_id()))
+        self.classes = reps.drop("sig", "size")
+        buckets = reps.select("node", "size", "sig").mapInArrow(_buckets, "bucket long, node long, size long")
+        shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        members = keep(buckets.join(shared, "bucket"))
+        sums = members.groupBy("node").agg(F.sum("n").alias("ties"))
+        leaders = members.join(sums, "node").groupBy("bucket").agg(F.max(F.struct("ties", (-F.col("node")).alias("node"), "size")).alias("best")).select("bucket", (-F.col("best.node")).alias("leader"), F.col("best.size").alias("leader_size"))
+        led = keep(members.join(leaders, "bucket"))
+        self.scratch.drop(members)
+        links = self.stars(reps, led)
+        first = components(links, scratch=self.scratch)
+        more = self.rest(reps, led, first)
+        self.scratch.drop(led)
+        joined = more is not None and not more.isEmpty()
+        self.final = components(links.union(more), scratch=self.scratch) if joined else first
+
+    def fits(self, one: str, two: str):
+        """Whether sets of these sizes can be linked."""
+        return F.expr(f"100 * least({one}, {two}) >= {self.percent} * greatest({one}, {two})")
+
+    def stars(self, reps: DataFrame, led: DataFrame) -> DataFrame:
+        """Confirmed links of members with the leader of their bucket."""
+        pairs = led.where((F.col("node") != F.col("leader")) & self.fits("size", "leader_size")).select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct()
+        one, two = (reps.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "uv")
+        near = self.scratch.keep(pairs.join(two, "v").join(one, "u").select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(self.least), "u long, v long"))
+        texts = self.texts(near.select(F.col("u").alias("node")).union(near.select("v")).distinct())
+        one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "uv")
+        return self.scratch.keep(near.join(two, "v").join(one, "u").select("u", "v", "text_u", "text_v").mapInArrow(_confirm(self.n, self.percent), "u long, v long"))
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """(node, text), a text of each of the nodes."""
+        wanted = self.scratch.keep(nodes.join(self.classes, "node").select("node", "id", F.col("key").alias("key_"), F.col("key2").alias("key2_")))
+        ids = wanted.select("id").distinct()
+        body = self.source.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        body = scan(body, "text", signatures(self.n, 0), FIELDS[:3], ["id", "text"])
+        same = (body["id"] == wanted["id"]) & (body["key"] == wanted["key_"]) & (body["key2"] == wanted["key2_"])
+        return body.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
+
+    def rest(self, reps: DataFrame, led: DataFrame, first: DataFrame) -> DataFrame | None:
+        """In buckets that still hold several components: links of members outside the leader's component with any other."""
+        keep = self.scratch.keep
+        placed = led.where("n > 2").select("bucket", "node", "size", "leader").join(first, "node", "left").select("bucket", "node", "size", "leader", F.coalesce("component", "node").alias("comp"))
+        main = placed.where("node = leader").select("bucket", F.col("comp").alias("main"))
+        marked = keep(placed.join(main, "bucket").select("bucket", "node", "size", "comp", (F.col("comp") != F.col("main")).alias("out")))
+        bounds = marked.where("out").groupBy("bucket").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.count(F.lit(1)).alias("n_out"), F.sum("size").alias("w_out"))
+        able = F.expr(f"100 * size >= {self.percent} * low and 100 * high >= {self.percent} * size")  # members of other lengths fit none outside
+        kept = keep(marked.join(bounds, "bucket").where(able))
+        self.scratch.drop(marked)
+        blocks = lambda n, weight: F.ceil(F.greatest(n / F.lit(BLOCK), weight / F.lit(WEIGHT)))
+        counts = kept.groupBy("bucket").agg(blocks(F.count(F.lit(1)), F.sum("size")).alias("wide"), blocks(F.max("n_out"), F.max("w_out")).alias("high_"))
+        dealt = kept.select("bucket", "node", "size", "comp", "out").join(counts, "bucket")
+        block = lambda salt, count: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(count))
+        every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+        single = (F.col("wide") == 1) & (F.col("high_") == 1)
+        lefts = dealt.where(F.col("out") & ~single).select("bucket", "node", "comp", "size", F.lit(True).alias("left"), F.lit(False).alias("right"), block(7, "high_").alias("i"), every("wide").alias("j"))
+        rights = dealt.select("bucket", "node", "comp", "size", (F.col("out") & single).alias("left"), F.lit(True).alias("right"), every("high_").alias("i"), block(8, "wide").alias("j"))
+        sides = lefts.unionByName(rights).join(reps.select("node", "sig"), "node")
+
+        def grouped(rows: DataFrame, *columns: str) -> DataFrame:
+            return rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("node", "comp", "size", "left", "right", "sig", *columns)).alias("members"))
+
+        needed = keep(grouped(sides).select("bucket", "i", "j", "members").mapInArrow(_needed(self.least, self.percent), "bucket long, i long, j long, node long"))
+        if needed.isEmpty():
+            return None
+        found = sides.join(needed, ["bucket", "i", "j", "node"], "left_semi").join(self.texts(needed.select("node").distinct()), "node")
+        return keep(grouped(found, "text").select("bucket", "members").mapInArrow(_across(self.n, self.least, self.percent), "u long, v long"))
+
+    def named(self) -> DataFrame:
+        """(key, key2, id, node, component_id, head) of every class: the smallest id in its component, and whether it is the first node with it."""
+        tied = self.classes.join(self.final, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        heads = tied.groupBy("component").agg(F.min(F.struct("id", "node")).alias("head"))
+        return tied.join(heads, "component").select("key", "key2", "id", "copies", F.col("head.id").alias("component_id"), (F.col("node") == F.col("head.node")).alias("head"))
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, kept): one row for each of docs; kept is the document of smallest id in its component."""
-    spark = docs.sparkSession
-    bands = bands_for(percent)
-    least = (least_equal(percent, bands) - 0.5) / (bands * ROWS)  # a half less, so that rounding excludes no pair
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    path = fresh(spark, "signatures")
-    scan(source, "text", signatures(n, bands), FIELDS, ["id"]).write.parquet(path)
-    signed = spark.read.parquet(path)
-    classes = cut(signed.where("id is not null and key is not null").groupBy("key", "key2").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")))
-
-    # One row a class, of one of its rows with the smallest id.
-    reps = signed.join(classes.select("key", "key2", F.col("class").alias("id")), ["key", "key2", "id"], "left_semi").select("id", F.col("n_shingles").alias("size"), "bands", "sig", "low_bands", "high_sig")
-    buckets = reps.select("id", "size", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(buckets.join(shared, "bucket"))
-    sums = members.groupBy("id").agg(F.sum("n").alias("ties"))
-    leaders = members.join(sums, "id").groupBy("bucket").agg(F.max(F.struct("ties", (-F.col("id")).alias("id"), "size")).alias("best")).select("bucket", (-F.col("best.id")).alias("leader"), F.col("best.size").alias("leader_size"))
-    long_enough = F.expr(f"100 * least(size, leader_size) >= {int(percent)} * greatest(size, leader_size)")
-    stars = members.join(leaders, "bucket").where((F.col("id") != F.col("leader")) & long_enough).select(F.col("leader").alias("u"), F.col("id").alias("v")).distinct()
-
-    sig = reps.select("id", "sig")
-    one, two = (sig.select(F.col("id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "uv")
-    near = stars.join(one, "u").join(two, "v").select("u", "v", "sig_u", "sig_v").mapInArrow(_alike(least), "u long, v long").distinct()
-    first_links = cut(_linked(cut(near), source, n, percent).distinct())
-    first = components(first_links)
-
-    # Buckets that still hold several components: members outside the leader's component against all.
-    placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("comp"))
-    by_comp = placed.join(leaders.select("bucket", "leader"), "bucket").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.max(F.col("id") == F.col("leader")).alias("main"))
-    blocks = lambda n, weight: F.ceil(F.greatest(n / F.lit(BLOCK), weight / F.lit(WEIGHT)))
-    rest = ~F.col("main")
-    mixed = by_comp.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("comps"), F.max(F.when(F.col("main"), F.col("comp"))).alias("main_comp"), blocks(F.sum("n"), F.sum("weight")).alias("wide"),
-        blocks(F.sum(F.when(rest, F.col("n"))), F.sum(F.when(rest, F.col("weight")))).alias("high"),
-    ).where("comps > 1")
-    dealt = cut(placed.join(mixed, "bucket"))
-    block = lambda salt, count: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(count))
-    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
-    outside, single = F.col("comp") != F.col("main_comp"), (F.col("wide") == 1) & (F.col("high") == 1)
-    lefts = dealt.where(outside & ~single).select("bucket", "id", "comp", "size", F.lit(True).alias("left"), F.lit(False).alias("right"), block(7, "high").alias("i"), every("wide").alias("j"))
-    rights = dealt.select("bucket", "id", "comp", "size", (outside & single).alias("left"), F.lit(True).alias("right"), every("high").alias("i"), block(8, "wide").alias("j"))
-    ids = cut(dealt.select("id").distinct())
-    body = source.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").join(reps.select("id", F.col("low_bands").alias("bands"), F.col("high_sig").alias("sig")), "id")
-    ready = lefts.unionByName(rights).join(body, "id").select("bucket", "i", "j", F.struct("id", "comp", "size", "left", "right", "sig", "bands", "text").alias("member"))
-    groups = ready.groupBy("bucket", "i", "j").agg(F.collect_list("member").alias("members"))
-    across = groups.select("bucket", "members").mapInArrow(_across(n, least, percent), "u long, v long").where("u <> v").distinct()
-    more_links = cut(_linked(cut(across), source, n, percent))
-    merged = first_links.union(more_links) if not more_links.isEmpty() else None
-    final = first if merged is None else components(merged)
-
-    copies = classes.where("copies > 1").select("key", "key2", "class")
-    out = signed.select("id", "n_shingles", "key", "key2").join(copies, ["key", "key2"], "left").select("id", "n_shingles", F.coalesce("class", "id").alias("node"))
-    out = out.join(final, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    return out.select(F.col("id").alias(key), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The documents, with their own columns, that stand for their component."""
-    found = near_duplicates(docs, key=key, **options)
-    gone = found.where("not kept").select(F.col(key).alias("__gone"))
-    return docs.join(gone, docs[key] == gone["__gone"], "left_anti")
+    """(key, n_shingles, component_id, kept): one row for each of docs; kept if its id is the smallest of its component."""
+    job = _Job(docs, key, text, n, percent)
+    job.run()
+    worded = F.col("id").isNotNull() & F.col("key").isNotNull()
+    known = job.signed.where(worded).join(job.named().select("key", "key2", "component_id"), ["key", "key2"]).select("id", "n_shingles", "component_id")
+    alone = job.signed.where(~worded).select("id", "n_shingles", F.col("id").alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return job.scratch.finish(known.unionByName(alone).select(F.col("id").alias(key), "n_shingles", "component_id", kept.alias("kept")))
+
+
+def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with their own columns, that stand for their component."""
+    job = _Job(docs, key, text, n, percent)
+    job.run()
+    # Rows to go by (id, set): those of other classes or ids than the component's head. Of several rows with its id and set one stays.
+    heads = job.named().where("head").select("key", "key2", F.col("id").alias("id_"))
+    times = job.signed.where("id is not null and key is not null").groupBy("id", "key", "key2").agg(F.count(F.lit(1)).alias("n"))
+    judged = times.join(heads, ["key", "key2"], "left").select("id", "key", "key2", "n", F.coalesce(F.col("id") == F.col("id_"), F.lit(False)).alias("stays"))
+    judged = job.scratch.finish(judged.where("not stays or n > 1").select(*(F.col(c).alias(f"__{c}") for c in ("id", "key", "key2", "stays"))))
+    own = {c: f"__own{k}" for k, c in enumerate(docs.columns)}
+    renamed = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(x) for c, x in own.items()))
+    keyed = scan(renamed, own[text], signatures(n, 0), FIELDS[:3], list(own.values()))
+    same = (keyed[own[key]].cast("long") == judged["__id"]) & (keyed["key"] == judged["__key"]) & (keyed["key2"] == judged["__key2"])
+    names = [F.col(x).alias(c) for c, x in own.items()]
+    once = keyed.join(judged, same, "left_anti").select(*names)
+    repeated = judged.where("__stays")
+    if repeated.isEmpty():
+        return once
+    return once.union(keyed.join(repeated, same, "left_semi").dropDuplicates([own[key], "key", "key2"]).select(*names))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
