@@ -10,8 +10,12 @@ of its text is. `labelled_pages` makes such pages from layouts, by rule.
 Character references are decoded; white space inside a block, line breaks too, becomes one blank; blocks are joined in
 page order by line feeds. Scripts, styles, comments in markup, the head, form controls and hidden elements are never text.
 
+Tags and attributes are read as the HTML standard's tokeniser reads them, and time and memory follow the length of the page, however deep or
+long it is.
+
 Defined results: a null or empty page, or one without text, gives an empty text; end tags without a start are ignored and open
-elements end with the page; repeated rows are each answered; an empty table gives an empty result.
+elements end with the page, as does a tag that the page ends in; repeated rows are each answered; an empty table gives an empty
+result; other columns are carried along, and those named `text` or `n_chars` are replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.textkit import scan
 
-MARKUP = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens a value directly after "=" only; elsewhere it belongs to a name or an unquoted value, as the HTML standard's tokeniser has it.
+VALUE = r"\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+"
+MARKUP = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{VALUE})?+)*+)(>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"?|'([^']*+)'?|([^\s>\"'][^\s>]*+))?+)?+")
 WORDS = re.compile(r"[a-z]+")
 
 # Fixed values of the HTML standard: elements without an end, with raw text, and inside a line.
@@ -40,6 +46,8 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("head script style textarea title iframe noembed noframes template object svg math canvas audio video select option button datalist noscript".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+P_STOPS = frozenset("table td th button object".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "option": ({"option"}, {"select"})}
 
 # Hints in class, id, role and label: what they say about a part of a page.
@@ -64,55 +72,81 @@ TAGS = "article main section nav header footer aside form div ul ol li p h1 h2 h
 class Node:
     """A block element (tag set) or a block of text (tag None)."""
 
-    __slots__ = ("tag", "hints", "parent", "children", "text", "linked", "label")
+    __slots__ = ("tag", "hints", "parent", "text", "linked", "label", "full")
 
     def __init__(self, tag: str | None, hints: frozenset, parent: "Node | None"):
-        self.tag, self.hints, self.parent, self.children = tag, hints, parent, []
-        self.text, self.linked, self.label = "", 0, None
+        self.tag, self.hints, self.parent = tag, hints, parent
+        self.text, self.linked, self.label, self.full = "", 0, None, tag is None
+
+
+class Open:
+    """The open elements. Where each tag is open is kept by tag, so that no step looks through all of them, however deep a page is."""
+
+    def __init__(self):
+        self.tags: list[str | None] = []  # None: an inline element that has ended below others
+        self.hides: list[bool] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[tuple[int, Node]] = []
+
+    def push(self, tag: str, node: Node | None, hidden: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.tags))
+        if node is not None:
+            self.blocks.append((len(self.tags), node))
+        self.tags.append(tag)
+        self.hides.append(hidden)
+
+    def pop(self) -> None:
+        tag = self.tags.pop()
+        self.hides.pop()
+        if tag is not None:
+            self.at[tag].pop()
+        if self.blocks and self.blocks[-1][0] == len(self.tags):
+            self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """The last inline element of that tag ends alone."""
+        self.tags[self.at[tag].pop()] = None
+        while self.tags and self.tags[-1] is None:
+            self.pop()
+
+    def last(self, tags, stops=()) -> int:
+        """The place of the last open element of these tags; -1 if there is none or one of stops is open in it."""
+        where = lambda some: max((self.at[t][-1] for t in some if self.at.get(t)), default=-1)
+        k = where(tags)
+        return k if k > where(stops) else -1
+
+    def hidden(self) -> bool:
+        return bool(self.hides) and self.hides[-1]
 
 
 def parse(html: str) -> list[Node]:
-    """Nodes in page order, parents before children."""
+    """Nodes in page order, parents before children; elements without text are left out. Takes time in proportion to the page."""
     root = Node("html", frozenset(), None)
-    nodes, stack = [root], []  # stack: (tag, block node or None, hidden)
+    nodes, open_ = [root], Open()
     pieces: list[tuple[str, bool]] = []
 
     def block() -> Node:
-        for _, node, _ in reversed(stack):
-            if node is not None:
-                return node
-        return root
+        return open_.blocks[-1][1] if open_.blocks else root
 
     def flush() -> None:
         if not pieces:
             return
         text = " ".join("".join(x for x, _ in pieces).split())
         if text:
-            own = block()
-            leaf = Node(None, frozenset(), own)
+            leaf = Node(None, frozenset(), block())
             leaf.text, leaf.linked = text, sum(len(x.strip()) for x, link in pieces if link)
-            own.children.append(leaf)
             nodes.append(leaf)
         pieces.clear()
 
     def close(depth: int) -> None:
-        while len(stack) > depth:
-            _, node, _ = stack[-1]
-            if node is not None:
+        while len(open_.tags) > depth:
+            if open_.blocks and open_.blocks[-1][0] == len(open_.tags) - 1:
                 flush()
-            stack.pop()
-
-    def last(tags, stop=frozenset()) -> int:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stop:
-                return -1
-        return -1
+            open_.pop()
 
     def say(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
-            pieces.append((unescape(text) if "&" in text else text, any(t == "a" for t, _, _ in stack)))
+        if text and not open_.hidden():
+            pieces.append((unescape(text) if "&" in text else text, bool(open_.at.get("a"))))
 
     at, size = 0, len(html)
     while at < size:
@@ -128,23 +162,19 @@ def parse(html: str) -> list[Node]:
         if html[m.start() + 1] == "/":
             if tag == "br":
                 say(" ")
-            elif (k := last({tag}, () if tag not in ("p", "li") else {"table", "td", "th"})) >= 0:
-                if any(node is not None for _, node, _ in stack[k:]) or tag not in INLINE:
-                    if not (tag in INLINE and any(node is not None for _, node, _ in stack[k + 1 :])):
-                        close(k)
-                    else:  # a line element that blocks were opened in: its own end alone
-                        stack.pop(k)
+            elif (k := open_.last({tag}, () if tag not in ("p", "li") else {"table", "td", "th"})) >= 0:
+                if tag in INLINE:  # blocks that were opened in a line element go on after its end
+                    open_.end(tag)
                 else:
-                    stack.pop(k)
+                    close(k)
             continue
-        if tag in CLOSES_P and (k := last({"p"}, {"table", "td", "th", "button", "object"})) >= 0:
+        if tag not in IN_HEAD and (k := open_.last({"head"}, {"noscript", "template"})) >= 0:
             close(k)
-        if tag in ENDS and (k := last(ENDS[tag][0], ENDS[tag][1])) >= 0:
-            first = k
-            while first > 0 and stack[first - 1][0] in ENDS[tag][0]:
-                first -= 1
-            close(first)
-        if tag == "body" and (k := last({"head"})) >= 0:
+        if tag in CLOSES_P and (k := open_.last({"p"}, P_STOPS)) >= 0:
+            close(k)
+        if tag in ENDS and (k := open_.last(*ENDS[tag])) >= 0:
+            while k > 0 and open_.tags[k - 1] in ENDS[tag][0]:
+                k -= 1
             close(k)
         if tag in VOID or (tag not in INLINE and m[2].rstrip().endswith("/") and tag in ("path", "use")):
             if tag == "hr":
@@ -157,8 +187,10 @@ def parse(html: str) -> list[Node]:
             stop = html.find(">", end.end()) if end else -1
             at = stop + 1 if end and stop >= 0 else size
             continue
-        attributes = {a.lower(): (b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m[2])} if m[2].strip(" /") else {}
-        hidden = bool(stack and stack[-1][2]) or tag in HIDDEN or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+        attributes: dict[str, str] = {}
+        for name, *values in ATTRIBUTE.findall(m[2]) if m[2].strip(" /") else ():
+            attributes.setdefault(name.lower(), "".join(values))  # the first of equal names counts
+        hidden = open_.hidden() or tag in HIDDEN or "hidden" in attributes or "display:none" in attributes.get("style", "").replace(" ", "").lower()
         node = None
         if tag not in INLINE:
             if not hidden:
@@ -166,23 +198,14 @@ def parse(html: str) -> list[Node]:
             if tag not in ("html", "body") and not hidden:
                 named = " ".join(attributes.get(a, "") for a in ("class", "id", "role", "aria-label") if a in attributes).lower()
                 hints = frozenset(h for w in WORDS.findall(named) for h in HINT_OF.get(w, ())) if named else frozenset()
-                own = block()
-                node = Node(tag, hints, own)
-                own.children.append(node)
+                node = Node(tag, hints, block())
                 nodes.append(node)
-        stack.append((tag, node, hidden))
+        open_.push(tag, node, hidden)
     flush()
-    return [n for n in nodes if n.tag is None or _has_text(n)]
-
-
-def _has_text(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        if n.tag is None:
-            return True
-        todo += n.children
-    return False
+    for n in reversed(nodes):
+        if n.full and n.parent is not None:
+            n.parent.full = True
+    return [n for n in nodes if n.full]
 
 
 STEPS = (3, 8, 16, 40)
@@ -310,8 +333,15 @@ def train(pages: list[tuple[str, str]], *, rounds: int = 100, rate: float = 0.3,
     return model
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, str]]:
-    """Pages of several layouts with their main text; words are random letters."""
+#: Frames of the story in made pages: elements or classes that name it, elements that say nothing, and none.
+LAYOUTS = {
+    "article": ["<article>{}</article>"] * 4, "main": ["<main>{}</main>", "<main><article>{}</article></main>"], "content": ['<div class="content">{}</div>'], "post": ['<div id="main"><div class="post">{}</div></div>'],
+    "body": ['<div class="article-body">{}</div>'], "entry": ['<section class="entry">{}</section>'], "plain": ["<div>{}</div>", "<div><div>{}</div></div>"], "bare": ["{}"] * 3, "alone": ["{}", "<article>{}</article>", "<div>{}</div>", "<main>{}</main>"],
+}
+
+
+def labelled_pages(n: int = 240, seed: int = 11, layouts: list[str] | None = None) -> list[tuple[str, str]]:
+    """Pages of these layouts (all) with their main text; words are random letters. Of layout "alone" the story is the whole page."""
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(2, 9)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
@@ -340,14 +370,15 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, str]]:
     def story() -> tuple[str, list[str]]:
         lines, out = [], []
         add = lambda open_, text, close: (lines.append(" ".join(text.split())), out.append(open_ + text + close))
-        title = sentence(1, 14)
-        add("<h1>", title, "</h1>")
-        if rng.random() < 0.3:
-            out[-1] = "<header>" + out[-1] + "</header>"
+        title, titled = sentence(1, 14), rng.random() < 0.85
+        if titled:
+            add("<h1>", title, "</h1>")
+            if rng.random() < 0.3:
+                out[-1] = "<header>" + out[-1] + "</header>"
         if rng.random() < 0.3:
             out.append("<p><b>" + title + "<br>")
             lines.append(title)
-        for _ in range(rng.randint(0, 9)):
+        for _ in range(rng.randint(0 if titled else 1, pick([2, 9]))):
             kind = rng.random()
             if kind < 0.7:
                 text = " ".join(sentence(1, 40) for _ in range(rng.randint(1, 6)))
@@ -376,12 +407,18 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[str, str]]:
     found = []
     for _ in range(n):
         body, lines = story()
-        if rng.random() < 0.25:
+        layout = pick(layouts or list(LAYOUTS))
+        wrap = pick(LAYOUTS[layout])
+        if layout != "alone" and rng.random() < 0.25:
             cut = pick([f'<div class="ad">{sentence(2, 20)}</div>', f'<aside><p>{sentence(2, 25)}</p></aside>', f'<div class="share">{links(3)}</div>', f'<section class="comments"><p>{sentence(3, 30)}</p></section>'])
             body = body + cut
-        wrap = pick(["<article>{}</article>"] * 4 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="article-body">{}</div>', '<section class="entry">{}</section>', "<div>{}</div>"])
-        parts = [head(), *(junk() for _ in range(rng.randint(0, 3))), wrap.replace("{}", body), *(junk() for _ in range(rng.randint(0, 2))), foot()]
-        found.append((f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{''.join(parts)}</body></html>", "\n".join(lines)))
+        parts = [wrap.replace("{}", body)]
+        if layout != "alone":
+            parts = [head(), *(junk() for _ in range(rng.randint(0, 3))), *parts, *(junk() for _ in range(rng.randint(0, 2))), foot()]
+        page = "".join(parts)
+        if layout != "alone" or rng.random() < 0.6:
+            page = f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{page}</body></html>"
+        found.append((page, "\n".join(lines)))
     return found
 
 
@@ -392,7 +429,7 @@ def default_model() -> Model:
 
 def main_text(html: str, model: Model, threshold: float = 0.5) -> str:
     nodes = parse(html)
-    prob, _ = model.marginals(Tree(nodes)) if len(nodes) > 1 else ([0.0], None)
+    prob, _ = model.marginals(Tree(nodes)) if nodes else ([], None)
     return "\n".join(n.text for n, p in zip(nodes, prob) if n.tag is None and p >= threshold)
 
 
