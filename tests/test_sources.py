@@ -20,6 +20,39 @@ def test_spreadsheet_repeats_and_errors(spark):
         ods.resolve(names, {"area": ["area"]})
 
 
+def test_spreadsheet_repeats_in_full():
+    book = ods.write({"a": [["x"] * 300, *[["r", "", "s"]] * 70, [""], ["", "last"]]})
+    capped, whole = list(ods.parse(book)), list(ods.parse(book, None, None))
+    assert len(capped[0][1]) == 260 and len(capped) == 1 + 50 + 2
+    assert len(whole[0][1]) == 300 and len(whole) == 1 + 70 + 2 and whole[-1] == ("a", ["", "last"]) and whole[-2] == ("a", [])
+
+
+def test_memory_goes_on_where_a_run_ended(spark, tmp_path):
+    from tidemark.streaming import flows
+
+    def merge(old, new):
+        sums = new.groupBy("k").agg(F.sum("n").alias("n"))
+        return sums if old is None else sums.unionByName(old).groupBy("k").agg(F.sum("n").alias("n"))
+
+    folders = f"file://{tmp_path}/memory", f"file://{tmp_path}/progress"
+    for n in range(4):
+        spark.createDataFrame([("a", 1), ("b", n)], "k string, n long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = flows.upsert(flows.source(spark, f"{tmp_path}/in", "k string, n long", max_files=1), merge, *folders)
+        assert {r["k"]: r["n"] for r in got.collect()} == {"a": n + 1, "b": n * (n + 1) // 2}
+    assert flows._committed(spark, folders[0]) == [2, 3]
+
+
+def test_report_state_advances_after_success_only(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    path = f"{tmp_path}/state"
+    rows = lambda n: spark.createDataFrame([(n,)], "n long")
+    sinks.advance(rows(1), path, lambda: None)
+    with pytest.raises(RuntimeError):
+        sinks.advance(rows(2), path, lambda: (_ for _ in ()).throw(RuntimeError("not sent")))
+    assert [r["n"] for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_pdf_text(spark):
     data = pdf.build(["PL 1 (new) approval", "second line"])
     files = spark.createDataFrame([("x", bytearray(data))], "path string, content binary")

@@ -1,13 +1,12 @@
-"""Fixed values of the engine: thresholds, windows and tiers. Graded forecasts record VERSION."""
+"""Fixed values of the engine: thresholds, windows and tiers."""
 
-VERSION = 1
 RISING, BOOM, FALLING = 10.0, 40.0, -10.0
 MIN_BASE, MIN_COUNT = 10, 4
-MARGIN, BASELINE_DAYS, STALE_DAYS, TOP_N = 2.0, 6, 14, 3
+MARGIN, TOP_N = 2.0, 3
 MIN_WEIGHT = {"t1": 15.0, "t2": 8.0, "t3": 8.0, "t4": 500.0}
 TIERS = ("t1", "t2", "t3", "t4")
 STAGE_RANK = {"emerging": 5, "early": 4, "building": 3, "mainstream": 2, "cooling": 1, "quiet": 0, "nodata": 0}
-HORIZON_DAYS, MATURITY_WINDOW_DAYS, CONFIRM_GAP_DAYS, MIN_MATURED = 365, 45, 7, 8
+HORIZON_DAYS, MATURITY_WINDOW_DAYS, CONFIRM_GAP_DAYS = 365, 45, 7
 
 # Onset estimator.
 K_SMOOTH, Z_TRIGGER, Z_SUSTAIN, SUSTAIN_MONTHS = 3.0, 3.0, 1.5, 3
@@ -16,9 +15,9 @@ FLOORS = {"T1": 120.0, "T2": 12.0, "T3": 6.0, "T4": 500.0}
 PUBLICATION_LAG = {"T1": 0, "T2": 0, "T3": 1, "T4": 3}
 
 # Discovery.
-MIN_OPERATORS, MIN_OPERATORS_ASSUMED, MAX_MENTIONS_PER_OPERATOR, Z_MIN, MIN_REGIONS = 6, 12, 3.0, 2.4, 3
-LIFT_CAP, YOY_CAP, W_LIFT, W_YOY, W_MONOTONE, W_NOVELTY, CTX_BONUS, W_SELF_CLINICAL, MULTI_TIER_BONUS = 8.0, 8.0, 0.45, 0.35, 0.6, 1.5, 0.15, 0.3, 1.15
-PERIOD_MONTHS, MIN_UNIGRAM_LEN, MIN_PHRASE_TOKEN_LEN, MAX_GRAM, MAX_ROWS = 4, 4, 2, 3, 40
+MIN_OPERATORS, MAX_MENTIONS_PER_OPERATOR, Z_MIN, MIN_REGIONS = 6, 3.0, 2.4, 3
+LIFT_CAP, YOY_CAP, W_LIFT, W_YOY, W_MONOTONE, W_NOVELTY, CTX_BONUS, W_SELF_CLINICAL = 8.0, 8.0, 0.45, 0.35, 0.6, 1.5, 0.15, 0.3
+MAX_ROWS = 40
 
 # Market structure.
 MIN_TARGETS, THIN_TARGETS = 30, 100

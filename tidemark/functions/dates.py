@@ -57,6 +57,12 @@ def dob_age(year: Column, month: Column, today: Column) -> Column:
     return F.when((age >= 16) & (age <= 110), age)
 
 
+def in_window(text: Column, since: int) -> Column:
+    """Whether the latest year from 2000 on that a text names is not before `since`; also if it names none."""
+    years = F.transform(F.regexp_extract_all(text, F.lit(r"\b(20\d\d)\b"), F.lit(1)), lambda y: y.cast("int"))
+    return F.coalesce(F.array_max(years) >= since, F.lit(True))
+
+
 def bucket(day: Column, anchor: Column, period: int = 4) -> Column:
     """p3, p2, p1 (the last periods of months), prior12, pre24; null for the future."""
     m = months_between(day, anchor)

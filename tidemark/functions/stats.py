@@ -131,3 +131,14 @@ def sweep_needed(hypotheses: int = 3, alpha: float = 0.05) -> int:
 def lift(last: Column | str, first: Column | str) -> Column:
     """Smoothed ratio, finite from zero."""
     return (number(last) + 0.5) / (number(first) + 0.5)
+
+
+def safe_pct(part: Column, whole: Column) -> Column:
+    """A share to one place, halves to even; null over nothing."""
+    return F.bround(F.lit(100.0) * part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0)), 1)
+
+
+def recovered_base(latest: str, growth: str) -> Column:
+    """The count before that a growth in percent was quoted against; null without one."""
+    ratio = 1 + F.col(growth) / 100
+    return F.when(ratio > 0, F.round(F.col(latest) / ratio))

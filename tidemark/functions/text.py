@@ -20,7 +20,11 @@ def windows(words: Column, n: int) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return F.transform(windows(words, n), lambda w: F.array_join(w, " "))
+    """Runs of n words joined by blanks: the words zipped with themselves, shifted, in time in proportion to them."""
+    out = words
+    for k in range(1, n):  # the shorter array ends the pairs with nulls
+        out = F.zip_with(out, F.slice(words, k + 1, F.greatest(F.size(words) - k, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(out, lambda g: g.isNotNull())
 
 
 def gapped(words: Column, keep) -> Column:
@@ -135,6 +139,62 @@ def padded(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
+def is_chemical(code: Column) -> Column:
+    """Whether a code is that of a chemical: nine capitals and digits."""
+    return F.coalesce(code.rlike("^[0-9A-Z]{9}$"), F.lit(False))
+
+
+# Short words that name a service.
+SHORT_TERMS = ["iv", "ed", "gp"]
+
+
+def slug_tokens(slug: Column) -> Column:
+    """Words of an address without its file ending: no numbers, and none of under three characters but SHORT_TERMS."""
+    body = F.regexp_replace(F.lower(F.coalesce(slug, F.lit(""))), r"\.(html?|php|aspx?)$", "")
+    return F.filter(F.split(body, "[^a-z0-9']+"), lambda w: ~w.rlike("^[0-9]*$") & ((F.length(w) >= 3) | w.isin(SHORT_TERMS)))
+
+
+def slug_grams(words: Column, *, stop: list[str], head: list[str], most: int = 3, least: int = 4) -> Column:
+    """Distinct runs of 1 to `most` words of at least `least` characters without a stop word, in which a word is no bare head-noun."""
+    stops, heads = F.array(*map(F.lit, stop)).cast("array<string>"), F.array(*map(F.lit, head)).cast("array<string>")
+    good = [F.filter(windows(words, n), lambda g: ~F.arrays_overlap(g, stops) & (F.size(F.array_except(g, heads)) > 0)) for n in range(1, most + 1)]
+    terms = F.transform(F.concat(*good), lambda g: F.array_join(g, " "))
+    return F.array_distinct(F.filter(terms, lambda t: F.length(t) >= least))
+
+
+def clean_name(name: Column, noise: list[str], protect: list[str]) -> Column:
+    """The name with noise words blanked, as it is where it has a protected phrase."""
+    low = F.lower(F.coalesce(name, F.lit("")))
+    kept = F.lit(False)
+    for phrase in protect:
+        kept = kept | low.contains(phrase)
+    words = "|".join(re.escape(w) for w in sorted(noise))
+    return F.when(kept, name).otherwise(F.regexp_replace(F.coalesce(name, F.lit("")), rf"(?i)\b({words})\b", " "))
+
+
+def capitalized(word: Column) -> Column:
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 20)))
+
+
+def brand_name(text: Column, brands: dict[str, str], term: Column) -> Column:
+    """`Brand (substance)` of the first brand that the text names, else the term."""
+    line, found = padded(text), capitalized(term)
+    for brand, substance in reversed(brands.items()):
+        found = F.when(line.contains(f" {brand} "), F.lit(f"{brand.capitalize()} ({substance})")).otherwise(found)
+    return found
+
+
+def other_words(words: Column, taken: Column) -> Column:
+    """The words that are not taken, in order, each once."""
+    return F.array_join(F.array_sort(F.array_except(words, taken)), " ")
+
+
+def catalyst_reason(headline: Column, condition: Column, population: Column) -> Column:
+    """The sentence of a licence: its headline, or that it is new, and whom it concerns."""
+    lead = F.coalesce(F.regexp_replace(headline, r"[. ]+$", ""), F.concat(F.lit("Newly licensed for "), condition))
+    return F.concat(lead, F.lit("; "), population, F.lit("."))
+
+
 def skeletons(words: Column) -> Column:
     """The name with its first, and with its last, word as a slot: structs of skeleton and filler."""
     n = F.size(words)

@@ -20,7 +20,8 @@ def append(bodies: DataFrame, order: str, body: str, last: str = GENESIS) -> Dat
         prev = F.element_at(done, -1)["hash"]
         return F.concat(done, F.array(F.struct(x["k"].alias("k"), x["body"].alias("body"), prev.alias("prev"), F.sha2(F.concat(prev, x["body"]), 256).alias("hash"))))
 
-    chained = rows.select(F.explode(F.slice(F.aggregate("all", start, step), 2, 1_000_000)).alias("x"))
+    folded = rows.select(F.aggregate("all", start, step).alias("all"))
+    chained = folded.select(F.explode(F.slice("all", F.lit(2), F.size("all") - 1)).alias("x"))
     return chained.select(F.col("x.k").alias(order), F.col("x.body").alias("body"), F.col("x.prev").alias("prev_hash"), F.col("x.hash").alias("hash"))
 
 

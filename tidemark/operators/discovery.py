@@ -12,15 +12,23 @@ BUCKETS = ("p1", "p2", "p3", "prior12", "pre24")
 
 
 def accumulate(mentions: DataFrame, min_count: int = C.MIN_COUNT) -> DataFrame:
-    """mentions (phrase, bucket, op, region, context) to one row a phrase. Phrases below the support are pruned by a semi join before sets are built."""
+    """mentions (phrase, bucket, op, region, context) to one row a phrase.
+
+    Mentions are first reduced to one row for each phrase, operator and region, so that a common phrase is spread over its operators
+    and no row is copied for each distinct count; sums of flags by operator and by region are then the distinct counts.
+    """
     recent = F.col("bucket").isin("p1", "p2", "p3")
-    frequent = mentions.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("phrase")
-    kept = mentions.join(frequent, "phrase", "left_semi")
-    ops = {b: F.countDistinct(F.when(F.col("bucket") == b, F.col("op"))).alias(b) for b in BUCKETS}
-    return kept.groupBy("phrase").agg(
-        *ops.values(), F.countDistinct(F.when(recent, F.col("op"))).alias("operators"), F.count_if(recent).alias("mentions_12m"), F.countDistinct(F.when(recent, F.col("region"))).alias("regions"),
-        F.try_divide(100.0 * F.count_if(recent & F.col("context")), F.count_if(recent)).alias("clinical_pct"),
+    flag = lambda c: F.max(c.cast("int"))
+    cells = mentions.groupBy("phrase", "op", "region").agg(
+        *(flag(F.coalesce(F.col("bucket") == b, F.lit(False))).alias(b) for b in BUCKETS), F.count(F.lit(1)).alias("n"), F.count_if(recent).alias("mentions_12m"), F.count_if(recent & F.col("context")).alias("in_context"),
     )
+    by_op = cells.groupBy("phrase", "op").agg(*(F.max(b).alias(b) for b in BUCKETS), *(F.sum(c).alias(c) for c in ("n", "mentions_12m", "in_context")))
+    sums = by_op.groupBy("phrase").agg(
+        *(F.sum(b).alias(b) for b in BUCKETS), F.sum(F.greatest("p1", "p2", "p3")).alias("operators"), *(F.sum(c).alias(c) for c in ("n", "mentions_12m", "in_context")),
+    ).where(F.col("n") >= min_count)
+    places = cells.where("mentions_12m > 0").select("phrase", "region").distinct().groupBy("phrase").agg(F.count("region").alias("regions"))
+    both = sums.join(places, "phrase", "left")
+    return both.select("phrase", *BUCKETS, "operators", "mentions_12m", F.coalesce("regions", F.lit(0).cast("long")).alias("regions"), F.try_divide(100.0 * F.col("in_context"), F.col("mentions_12m")).alias("clinical_pct"))
 
 
 def velocity(p: DataFrame) -> DataFrame:

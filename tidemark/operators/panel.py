@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
 
 
+def eligible(domain: Column, provider: Column, types: Column, sector: Column, *, social: list[str], allowed: list[str]) -> tuple[Column, Column]:
+    """(domain, reason against) of a directory row; one of the two is null. The ladder ends at the first reason."""
+    kinds, low = F.lower(F.coalesce(types, F.lit(""))), F.lower(sector)
+    has = lambda text, words: F.greatest(*(text.contains(w) for w in words), F.lit(False))
+    reason = (
+        F.when(domain.isNull(), "no usable website")
+        .when(F.coalesce(provider.rlike(r"\bNHS\b"), F.lit(False)), "NHS provider")
+        .when(has(kinds, social), "social care")
+        .when(low.isNull() | (low == ""), "not in the register")
+        .when(~has(low, allowed), F.concat(F.lit("sector: "), low))
+    )
+    return F.when(reason.isNull(), domain), reason
+
+
 def observations(seen: DataFrame) -> DataFrame:
     """seen (domain, term, month) to (domain, term, first, censored): what shows within the grace months of a domain's first capture was there before."""
     start = seen.groupBy("domain").agg(F.min("month").alias("start"))

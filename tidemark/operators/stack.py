@@ -72,3 +72,13 @@ def watchlist(now: DataFrame, floors: dict[str, float] = C.MIN_WEIGHT) -> DataFr
     is_lit = lambda t, w: F.coalesce(F.col(t) >= C.RISING, F.lit(False)) & (F.coalesce(F.col(w), F.lit(0.0)) >= floors[t])
     lit1, lit2 = is_lit("t1", "w1"), is_lit("t2", "w2")
     return now.where((lit1 | lit2) & ~F.coalesce(F.col("t3") >= C.RISING, F.lit(False))).select("niche", (lit1.cast("int") + lit2.cast("int")).alias("lit"), "t1", "t2", "t3", F.col("t3").isNull().alias("t3_absent"))
+
+
+# How a report shows states without an onset.
+SHOWN = {"NO_ONSET": "no onset", "ALREADY_BOOMING": "_abstains: already booming_", "OUT_OF_SCOPE": "_abstains: out of scope_", "BELOW_FLOOR": "_abstains: below floor_", "NO_DATA": "_no data_"}
+
+
+def cell(state: Column, onset: Column) -> Column:
+    """The text of a tier's state: the onset in bold, or why there is none."""
+    other = F.create_map(*(F.lit(x) for pair in SHOWN.items() for x in pair))[state]
+    return F.when(state == "FIRED", F.concat(F.lit("**"), onset.cast("string"), F.lit("**"))).otherwise(F.coalesce(other, state))

@@ -65,6 +65,40 @@ def structural_score(sites: Column, years: Column) -> Column:
     return tenure + F.when(sites == 1, p["single"]).when(sites.between(2, 3), p["small"]).otherwise(0)
 
 
+def seller_score(sites: str, years: str, signs: dict[str, str]) -> Column:
+    """0 to 100: the structural part and the points of each sign that a row shows."""
+    extra = sum((F.when(F.col(c), POINTS[sign]).otherwise(0) for sign, c in signs.items()), F.lit(0))
+    return F.least(F.greatest(structural_score(F.col(sites), F.col(years)) + extra, F.lit(0)), F.lit(100)).cast("int")
+
+
+def buyer_score(quadrant_: str, demand_: str, indie: str, top5: str, hhi: str, entry: str) -> Column:
+    """0 to 100 within the buy list: 40 % targets, 35 % headroom, 25 % how cold entry is; build ideas count by demand alone."""
+    share = lambda c, cut, none: F.least(F.lit(1.0), F.coalesce(F.col(c), F.lit(none)) / cut)
+    density = share(indie, float(DEEP_TARGETS), 0.0)
+    headroom = F.least(1 - share(top5, TOP5_CONCENTRATED, 0.0), 1 - share(hhi, C.HHI_CONCENTRATED, 0.0))
+    raw = 100.0 * (0.40 * density + 0.35 * headroom + 0.25 * (1 - share(entry, C.ENTRY_HOT, C.ENTRY_WARM)))
+    factor = F.when(F.col(demand_) == "falling", 0.5).when(F.col(demand_) == "booming", 0.9).otherwise(1.0)
+    build = F.when(F.col(demand_) == "booming", 60).when(F.col(demand_) == "growing", 40).otherwise(0)
+    buy = F.col(quadrant_).isin("buy_window", "declining") & F.col(indie).isNotNull()
+    return F.when(F.col(quadrant_) == "build_only", build).when(buy, F.bround(raw * factor).cast("int")).otherwise(0)
+
+
+def niche_market(rows: DataFrame) -> DataFrame:
+    """rows (niche, unit, region, sector, is_new): one row a location. Distinct values are made one by one, not by copies of all rows."""
+    keys = rows.groupBy("niche", "unit", "region", "sector").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_new").alias("new"))
+    sums = keys.groupBy("niche").agg(F.sum("n").alias("locations"), F.sum("new").alias("new_12m"))
+    for name, c in (("providers", "unit"), ("regions", "region"), ("sectors", "sector")):
+        sums = sums.join(keys.select("niche", c).distinct().groupBy("niche").agg(F.count(F.col(c)).alias(name)), "niche")
+    return sums.select("niche", "locations", "providers", "regions", "sectors", "new_12m")
+
+
+def officer_facts(officers: DataFrame, companies: DataFrame, days: int = 7) -> DataFrame:
+    """officers (company, officer, appointed, resigned), companies (company, created): active officers, whether one is alone, and who came with the company."""
+    came = F.abs(F.datediff("appointed", "created")) <= days
+    active = F.count_if(~F.col("resigned"))
+    return officers.join(companies, "company").groupBy("company").agg(active.alias("active"), (active == 1).alias("sole"), F.count_if(came).alias("founders"))
+
+
 FORENAMES = ["sarah", "john", "jane", "emma", "james", "david", "anna", "omar", "tim"]
 TRADE = ["physio", "physiotherapy", "clinic", "dental", "studio", "skin", "group", "care", "health", "therapy"]
 BUSINESS = "unit units suite suites floor floors office offices business park centre center industrial estate chambers house mill works studio studios mall arcade parade precinct retail plaza court wharf yard clinic hospital surgery".split()

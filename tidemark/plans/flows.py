@@ -12,12 +12,12 @@ from tidemark.sources import landed, ods
 from tidemark.streaming import flows
 
 
-def stream(spark, sf_dir, files: int = 1):
-    """The events, landed in a folder, as a stream of a file a batch. What needs the order of time has them in one file."""
+def stream(spark, sf_dir, batches: int | None = None):
+    """The events, landed as many files, as a stream. What needs the order of time takes them in one batch, so that no file makes another late."""
     rows = table(spark, sf_dir, "events")
     path = fresh(spark, "landed")
-    rows.repartition(files).write.parquet(path)
-    return flows.source(spark, path, rows.schema, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartition(batches or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))).write.parquet(path)
+    return flows.source(spark, path, rows.schema, max_files=1 if batches else 1_000_000).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("""with w as (select time_bucket(interval 7 day, ts, timestamp '1970-01-01') as start, event_type, count(*) as n, sum(value) as total from events group by 1, 2), m as (select max(ts) - interval 1 day as mark from events)
@@ -36,7 +36,27 @@ def stream_memory(spark, sf_dir):
         fresh_ = new.groupBy("user_id", "event_type").agg(F.min("ts").alias("first"))
         return fresh_ if old is None else old.unionByName(fresh_).groupBy("user_id", "event_type").agg(F.min("first").alias("first"))
 
-    return flows.upsert(stream(spark, sf_dir, files=4), ["user_id", "event_type"], merge).select("user_id", "event_type", F.unix_micros("first").alias("first_us"))
+    return flows.upsert(stream(spark, sf_dir, batches=4), merge).select("user_id", "event_type", F.unix_micros("first").alias("first_us"))
+
+
+@query("""select event_type || '/' || user_id as query, count(*) as sightings, epoch_us(min(ts)) as first_us, epoch_us(max(ts)) as last_us, max(value) as top, arg_max(value, ts) as latest from events group by 1""")
+def stream_trail(spark, sf_dir):
+    """Keyed memory in full: first and last sighting, how many, the highest value and the newest, merged batch by batch."""
+
+    def merge(old, new):
+        rows = new.groupBy(F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("query")).agg(F.count(F.lit(1)).alias("sightings"), F.min("ts").alias("first"), F.max("value").alias("top"), F.max(F.struct("ts", "value")).alias("newest"))
+        both = rows if old is None else rows.unionByName(old)
+        return both.groupBy("query").agg(F.sum("sightings").alias("sightings"), F.min("first").alias("first"), F.max("top").alias("top"), F.max("newest").alias("newest"))
+
+    memory = flows.upsert(stream(spark, sf_dir, batches=4), merge)
+    return memory.select("query", "sightings", F.unix_micros("first").alias("first_us"), F.unix_micros("newest.ts").alias("last_us"), "top", F.col("newest.value").alias("latest"))
+
+
+@query("""with w as (select time_bucket(interval 7 day, ts, timestamp '1970-01-01') - k * interval 7 day as start, event_type from events, (select unnest([0, 1, 2, 3]) as k)), m as (select max(ts) - interval 1 day as mark from events) select epoch_us(start) as start_us, event_type, count(*) as n from w, m where start + interval 28 day <= mark group by 1, 2""")
+def stream_sliding(spark, sf_dir):
+    """Counts of four weeks, every week, that the watermark has closed."""
+    out = flows.run(flows.sliding(stream(spark, sf_dir), "event_type", "28 days", "7 days"))
+    return out.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
 @query("""select event_type, user_id, 1 as n from events group by 1, 2""")
@@ -68,7 +88,7 @@ def stream_revisions(spark, sf_dir):
         rows = rows if old is None else rows.unionByName(old)
         return rows.groupBy("month", "event_type").agg(F.max("v").alias("v"))
 
-    return flows.upsert(stream(spark, sf_dir, files=4), ["month", "event_type"], merge).select("month", "event_type", "v.value")
+    return flows.upsert(stream(spark, sf_dir, batches=4), merge).select("month", "event_type", "v.value")
 
 
 @query("""select n_name as name, r_name as region, cast(n_nationkey as bigint) as key from nation join region on n_regionkey = r_regionkey""")
@@ -84,11 +104,18 @@ def ods_scan(spark, sf_dir):
     return cells.where(F.lower(F.get("cells", F.lit(4))) != "location id").select(found["name"].alias("name"), found["region"].alias("region"), found["key"].cast("long").alias("key"))
 
 
-@query("""select distinct url from pages where url like 'https:%'""")
+@query("""select distinct url from pages where url is not null""")
 def sitemap_scan(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("url like 'https:%'")
-    maps = pages.groupBy(F.col("page_id") % 5).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml"))
-    return landed.sitemap_urls(maps)
+    """Sitemaps of a few pages each, found through an index of indexes; those of even number are compressed."""
+    pages = table(spark, sf_dir, "pages").where("url is not null")
+    number = F.floor(F.col("page_id") / 50)
+    urls = F.array_join(F.collect_list(F.concat(F.lit("<url><loc> "), "url", F.lit("</loc></url>"))), "")
+    maps = pages.groupBy(number.alias("n")).agg(F.concat(F.lit("<urlset>"), urls, F.lit("</urlset>")).alias("xml")).select(F.format_string("map-%d", "n").alias("url"), "xml")
+    link = lambda c: F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), c, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml")
+    levels = pages.select(number.alias("n")).distinct().groupBy(F.floor(F.col("n") / 50).alias("group")).agg(link(F.format_string("map-%d", "n"))).select(F.format_string("index-%d", "group").alias("url"), "xml")
+    top = levels.agg(link(F.col("url"))).select(F.lit("index").alias("url"), "xml")
+    packed = landed.compressed(maps.union(levels).union(top), F.col("url").rlike("[02468]$"))
+    return landed.sitemap_crawl(packed, "index")
 
 
 @query("""select event_type as seed, 'q' || event_id as query, event_type = 'error' as is_breakout, case when event_type <> 'error' then cast(event_id as double) end as rise from events""")

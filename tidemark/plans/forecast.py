@@ -111,11 +111,11 @@ def discovery_ladder(spark, sf_dir):
     return found.select("phrase", "operators", "mentions_12m", "age", F.round(discovery.score(["widget", "ring"]), 6).alias("score"), discovery.judge(F.col("phrase").contains("red")).alias("dropped"))
 
 
-SEEN = "select o_custkey % 150 as domain, o_orderpriority || '/' || o_orderstatus as term, cast(date_trunc('month', o_orderdate) as date) as month from orders"
+SEEN = "select o_custkey as domain, o_orderpriority || '/' || o_orderstatus as term, cast(date_trunc('month', o_orderdate) as date) as month from orders"
 
 
 def seen(spark, sf_dir):
-    return orders(spark, sf_dir).select((F.col("o_custkey") % 150).alias("domain"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("term"), F.trunc("day", "MM").alias("month"))
+    return orders(spark, sf_dir).select(F.col("o_custkey").alias("domain"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("term"), F.trunc("day", "MM").alias("month"))
 
 
 @query(f"""with s as ({SEEN}), d as (select domain, min(month) as start from s group by 1), f as (select domain, term, min(month) as first from s group by 1, 2), o as (select f.*, first <= start + interval 3 month as censored from f join d using (domain)), a as (select date '1996-06-01' as a),
@@ -208,6 +208,15 @@ def tier_states(spark, sf_dir):
     return found.join(first, "series").select("series", state.alias("state"), "onset_t")
 
 
+CELL = """case state when 'FIRED' then '**' || onset_t || '**' when 'NO_ONSET' then 'no onset' when 'ALREADY_BOOMING' then '_abstains: already booming_' when 'OUT_OF_SCOPE' then '_abstains: out of scope_' when 'BELOW_FLOOR' then '_abstains: below floor_' else '_no data_' end"""
+
+
+@query(f"select series, {CELL} as cell from (" + STATE.replace("as v from ax", "* (case when row_number() over (partition by ax.series order by ax.month) - 1 >= 56 and ax.series in ('1-URGENT', '2-HIGH') then 4 else 1 end) as v from ax") + ")")
+def state_cells(spark, sf_dir):
+    """A tier's state as a report's cell shows it."""
+    return tier_states(spark, sf_dir).select("series", stack.cell(F.col("state"), F.col("onset_t")).alias("cell"))
+
+
 #: By tier: first month, level before the boom, multiple of it after; and the months a boom can start in.
 NULL_SHAPES = {"T1": ("2012-01", 5.0, 18.0), "T2": ("2010-01", 6.0, 5.0), "T3": ("2014-01", 3.0, 5.0), "T4": ("2014-01", 4_000.0, 4.0)}
 NULL_END, NULL_BOOMS, NULL_RAMP, NULL_SEED = "2026-06", ("2017-01", "2023-01"), 18, 20_260_713

@@ -31,4 +31,4 @@ def query(sql: str | None = None, days: tuple[str, ...] = (), name: str | None =
 
 def load() -> None:
     """Import every module of queries."""
-    from tidemark.plans import composites, flows, forecast, growth, joins, ranking, series, structure, text  # noqa: F401
+    from tidemark.plans import composites, flows, forecast, growth, helpers, joins, ranking, series, structure, text  # noqa: F401

@@ -12,6 +12,12 @@ def save(df: DataFrame, path: str, *, partition: str | None = None) -> None:
     (writer.partitionBy(partition) if partition else writer).parquet(path)
 
 
+def advance(df: DataFrame, path: str, send) -> None:
+    """Send a report, and only if that succeeded make df the state that the next one is held against."""
+    send()
+    save(df, path)
+
+
 def append_missing(df: DataFrame, path: str, partition: str, have: DataFrame | None) -> DataFrame:
     """Write only the partitions that are not there yet, which then never change; the new rows."""
     fresh = df if have is None else df.join(have.select(partition).distinct(), partition, "left_anti")

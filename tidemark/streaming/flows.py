@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shared import fresh
+from tidemark.shared import fresh, remove
 
 
 def source(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
@@ -25,23 +25,33 @@ def run(flow: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(flow.schema).parquet(out)
 
 
-def upsert(flow: DataFrame, key: list[str], merge) -> DataFrame:
+def upsert(flow: DataFrame, merge, memory: str | None = None, progress: str | None = None) -> DataFrame:
     """The memory that batches are merged into, one after the other: merge(old, new) gives the next state.
 
-    Each batch writes a state of its own and the newest wins, so that a repeated batch changes nothing.
+    Each batch writes a state of its own behind the one before, which a repeated batch reads again, so that it changes nothing;
+    older ones are deleted. With the same folders `memory` and `progress` a later run goes on where this one ended.
     """
     spark = flow.sparkSession
-    base = fresh(spark, "memory")
-    last: dict[str, str] = {}
+    memory, progress = memory or fresh(spark, "memory"), progress or fresh(spark, "memory-progress")
 
     def step(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(last["path"]) if last else None
-        path = f"{base}/batch={number}"
-        merge(old, batch).write.mode("overwrite").parquet(path)
-        last["path"] = path
+        before = [n for n in _committed(spark, memory) if n < number]
+        old = spark.read.parquet(f"{memory}/batch-{before[-1]}") if before else None
+        merge(old, batch).write.mode("overwrite").parquet(f"{memory}/batch-{number}")
+        for n in before[:-1]:
+            remove(spark, f"{memory}/batch-{n}")
 
-    flow.writeStream.foreachBatch(step).option("checkpointLocation", fresh(spark, "memory-state")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last["path"])
+    flow.writeStream.foreachBatch(step).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{memory}/batch-{_committed(spark, memory)[-1]}")
+
+
+def _committed(spark: SparkSession, memory: str) -> list[int]:
+    """Numbers of the batches whose state is whole."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(memory)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    whole = [p.getName() for p in found if p.getName().startswith("batch-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch-")) for n in whole)
 
 
 def tumbling(rows: DataFrame, by: str, width: str = "7 days", late: str = "1 day") -> DataFrame:
@@ -49,9 +59,9 @@ def tumbling(rows: DataFrame, by: str, width: str = "7 days", late: str = "1 day
     return windowed.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
-def monthly(rows: DataFrame, by: str, late: str = "3 days") -> DataFrame:
-    """Calendar months, which a fixed width can't express, as a key; for update or complete mode, or after the watermark by day."""
-    return rows.withWatermark("ts", late).groupBy(F.window("ts", "1 day").alias("w"), F.date_trunc("MM", "ts").alias("month"), by).agg(F.count(F.lit(1)).alias("n")).select("month", by, "n", F.col("w.start").alias("day"))
+def sliding(rows: DataFrame, by: str, width: str, step: str, late: str = "1 day") -> DataFrame:
+    """Overlapping windows."""
+    return rows.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
 def first_seen(rows: DataFrame, key: list[str], late: str = "30 days") -> DataFrame:
