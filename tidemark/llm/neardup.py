@@ -42,8 +42,8 @@ from tidemark.shared import Scratch
 ROWS, MISS = 5, 1e-6
 #: Members of a block, and the shingles they may have together.
 BLOCK, WEIGHT = 512, 1 << 18
-#: Up to so many ids are broadcast, so that only the texts of candidates are shuffled; of more ids, both sides are.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids or decisions are broadcast, so that only the texts of candidates are shuffled; of more, both sides are.
+BROADCAST_ROWS = 1_000_000
 FIELDS = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.LongType()), T.StructField("key2", T.LongType()), T.StructField("sig", T.BinaryType())]
 
 
@@ -278,6 +278,11 @@ def _hashed(texts: pa.Array, n: int) -> list[set]:
     return out
 
 
+def _bounded(rows: DataFrame, count: int) -> DataFrame:
+    """rows, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
 class _Job:
     """The steps of one search over (id, text); its tables lie in one folder, which goes when the result is written."""
 
@@ -327,7 +332,7 @@ class _Job:
         """(node, text), a text of each of the nodes."""
         wanted = self.scratch.keep(nodes.join(self.classes, "node").select("node", "id", F.col("key").alias("key_"), F.col("key2").alias("key2_")))
         ids = wanted.select("id").distinct()
-        body = self.source.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+        body = self.source.join(_bounded(ids, wanted.count()), "id", "left_semi")
         body = scan(body, "text", signatures(self.n, 0), FIELDS[:3], ["id", "text"])
         same = (body["id"] == wanted["id"]) & (body["key"] == wanted["key_"]) & (body["key2"] == wanted["key2_"])
         return body.join(wanted, same).select("node", "text").groupBy("node").agg(F.first("text").alias("text"))
@@ -388,6 +393,7 @@ def drop_near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "t
     times = job.signed.where("id is not null and key is not null").groupBy("id", "key", "key2").agg(F.count(F.lit(1)).alias("n"))
     judged = times.join(heads, ["key", "key2"], "left").select("id", "key", "key2", "n", F.coalesce(F.col("id") == F.col("id_"), F.lit(False)).alias("stays"))
     judged = job.scratch.finish(judged.where("not stays or n > 1").select(*(F.col(c).alias(f"__{c}") for c in ("id", "key", "key2", "stays"))))
+    judged = _bounded(judged, judged.count())
     own = {c: f"__own{k}" for k, c in enumerate(docs.columns)}
     renamed = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(x) for c, x in own.items()))
     keyed = scan(renamed, own[text], signatures(n, 0), FIELDS[:3], list(own.values()))
