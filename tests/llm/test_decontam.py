@@ -54,3 +54,24 @@ def test_awkward_rows(spark, awkward, empty):
     assert kept.columns == awkward.columns and kept.count() == 6
     assert decontam.find_contamination(empty, bench).count() == 0
     assert decontam.find_contamination(awkward, bench.limit(0)).where(F.col("n_hit") > 0).count() == 0
+
+
+def test_patterns_stay_small():
+    items = [(k, " ".join(f"w{(k * 7919 + j * 31) % 5003}" for j in range(300))) for k in range(400)]
+    patterns = decontam.Patterns(items, 10)
+    size = sum(len(t) + 16 for _, t in items)
+    assert patterns.nbytes() < 12 * size
+
+
+def test_other_words_of_the_same_hash(monkeypatch):
+    """With all hashes equal the words alone decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.textkit import Words, words_of
+
+    monkeypatch.setattr(Words, "grams", lambda self, n: np.full(max(0, len(self) - n + 1), 7, np.uint64))
+    items = [("a", "one two three"), ("b", "two three four"), ("c", "one two three"), (None, "three four five")]
+    find = decontam.Patterns(items, 3).scanner()
+    words = next(words_of(pa.array(["zero One two three four five", "one two", ""])))[2]
+    assert sorted((k, size, sorted(map(str, ids))) for k, size, ids in find(words)) == [(1, 3, ["a", "c"]), (2, 3, ["b"]), (3, 3, ["None"])]

@@ -4,7 +4,7 @@ Words are the runs `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z
 `n` words of an item, or all words of a shorter item, is a pattern; a document word inside any occurrence of a
 pattern is hit. A hash match is a candidate only: the words themselves are compared before it counts.
 
-Only blocks of the benchmark of at most `block_bytes` of text are broadcast. A larger benchmark is split by
+Only blocks of the benchmark of at most `block_bytes` of text are broadcast, which take about ten times as much when they are built. A larger benchmark is split by
 item into such blocks and the documents pass through one scan for each, without a shuffle.
 
 Defined results: a null or wordless text has no words, hits or items; a null or wordless item has no patterns; an
@@ -30,43 +30,80 @@ SPANS_ARROW = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 class Patterns:
-    """The windows of some items, by length: sorted hashes, and the words and items of each hash."""
+    """The windows of some items, in flat arrays: by length, sorted hashes, the place of each pattern's words in one buffer, and its items.
 
-    TABLE_BITS = 22
+    Patterns are equal if their words are; the hash only leads to them. Built, they take about 50 bytes a window besides the words themselves.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        found: dict[int, dict[int, dict[bytes, set]]] = {}
-        for i, j, words in words_of(pa.array([t or "" for _, t in items], pa.large_string())):
-            for size in sorted({min(n, int(c)) for c in words.counts() if c}):
-                grams, whole, counts = words.grams(size), words.whole(size), words.counts()
-                for k in np.flatnonzero(whole).tolist():
-                    row = int(words.row[k])
-                    if min(n, counts[row]) == size:
-                        found.setdefault(size, {}).setdefault(int(grams[k]), {}).setdefault(words.text(k, k + size), set()).add(items[i + row][0])
-        self.by_size = {}
-        for size, entries in found.items():
-            hashes = np.array(sorted(entries), np.uint64)
-            table = np.zeros(1 << self.TABLE_BITS, bool)
-            table[hashes & np.uint64(table.size - 1)] = True
-            self.by_size[size] = (np.packbits(table), hashes, [entries[h] for h in hashes.tolist()])
+        self.names = [None if name is None else str(name) for name, _ in items]
+        found: dict[int, list[tuple]] = {}
+        text, end = [], 0
+        for i, _, words in words_of(pa.array([t or "" for _, t in items], pa.large_string())):
+            counts = words.counts()
+            low = [words.text(int(words.first[r]), int(words.first[r + 1])) if counts[r] else b"" for r in range(words.rows)]
+            base = end + np.concatenate(([0], np.cumsum([len(x) for x in low]))).astype(np.int64)
+            text += low
+            end = int(base[-1])
+            # Where each word begins in the buffer of words with one blank between.
+            length = words.ends - words.starts
+            begins = np.concatenate(([0], np.cumsum(length + 1)))[:-1] if len(words) else np.zeros(0, np.int64)
+            begins = begins - begins[np.minimum(words.first[:-1], max(len(words) - 1, 0))][words.row] + base[:-1][words.row] if len(words) else begins
+            for size in sorted({min(n, int(c)) for c in counts if c}):
+                grams, whole = words.grams(size), words.whole(size)
+                at = np.flatnonzero(whole)
+                at = at[np.minimum(n, counts[words.row[at]]) == size]
+                stop = at + size - 1
+                found.setdefault(size, []).append((grams[at], begins[at], begins[stop] + length[stop], i + words.row[at]))
+        self.text = b"".join(text)
+        self.by_size = {size: self._sorted(*(np.concatenate(x) for x in zip(*parts))) for size, parts in found.items()}
+
+    def _sorted(self, grams: np.ndarray, start: np.ndarray, stop: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(hash, start, end, items from, items) of distinct patterns; of equal hashes with other words each is one."""
+        order = np.lexsort((item, grams))
+        grams, start, stop, item = grams[order], start[order], stop[order], item[order]
+        first = np.ones(len(grams), bool)
+        first[1:] = grams[1:] != grams[:-1]
+        heads = np.flatnonzero(first)
+        words = lambda k: self.text[start[k] : stop[k]]
+        mixed = False
+        for a, b in zip(heads.tolist(), np.append(heads[1:], len(grams)).tolist()):
+            if b - a > 1 and any(words(k) != words(a) for k in range(a + 1, b)):
+                again = sorted(range(a, b), key=lambda k: (words(k), item[k]))
+                grams[a:b], start[a:b], stop[a:b], item[a:b] = grams[again], start[again], stop[again], item[again]
+                first[a:b] = [k == a or words(k) != words(k - 1) for k in range(a, b)]
+                mixed = True
+        heads = np.flatnonzero(first) if mixed else heads
+        return grams[heads], start[heads], (stop - start)[heads].astype(np.int32), np.append(heads, len(grams)), item.astype(np.int32)
+
+    def nbytes(self) -> int:
+        """What is broadcast, without the items' names."""
+        return len(self.text) + sum(x.nbytes for arrays in self.by_size.values() for x in arrays)
 
     def scanner(self) -> Callable[[Words], Iterator[tuple[int, int, set]]]:
         """Yields (first word, number of words, items) of every verified occurrence."""
-        tables = {size: (np.unpackbits(bits).view(bool), hashes, entries) for size, (bits, hashes, entries) in self.by_size.items()}
+        sieves = {}
+        for size, (hashes, *_) in self.by_size.items():
+            bits = min(22, max(10, 3 + len(hashes).bit_length()))
+            sieves[size] = np.zeros(1 << bits, bool)
+            sieves[size][hashes & np.uint64(sieves[size].size - 1)] = True
 
         def run(words: Words) -> Iterator[tuple[int, int, set]]:
-            for size, (table, hashes, entries) in tables.items():
-                grams = words.grams(size)
+            for size, (hashes, start, length, bounds, item) in self.by_size.items():
+                grams, sieve = words.grams(size), sieves[size]
                 if not len(grams):
                     continue
-                near = np.flatnonzero(table[grams & np.uint64(table.size - 1)])
-                if not len(near):
-                    continue
-                at = np.minimum(np.searchsorted(hashes, grams[near]), len(hashes) - 1)
-                sure = (hashes[at] == grams[near]) & (words.row[near] == words.row[near + size - 1])
+                near = np.flatnonzero(sieve[grams & np.uint64(sieve.size - 1)])
+                near = near[words.row[near] == words.row[near + size - 1]]
+                at = np.searchsorted(hashes, grams[near])
+                sure = at < len(hashes)
+                sure[sure] &= hashes[at[sure]] == grams[near[sure]]
                 for k, e in zip(near[sure].tolist(), at[sure].tolist()):
-                    if (items := entries[e].get(words.text(k, k + size))) is not None:
-                        yield k, size, items
+                    said = words.text(k, k + size)
+                    while e < len(hashes) and hashes[e] == grams[k]:  # other words of the same hash stand beside
+                        if self.text[start[e] : start[e] + length[e]] == said:
+                            yield k, size, {self.names[x] for x in item[bounds[e] : bounds[e + 1]].tolist()}
+                        e += 1
 
         return run
 
@@ -117,7 +154,7 @@ def _worker(shared, remove: bool) -> Callable:
     return make
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, n: int = 10, clean_text: str | None = None, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, n: int = 10, clean_text: str | None = None, block_bytes: int = 8 << 20) -> DataFrame:
     """keep (by default all columns) of docs with n_words, n_hit, spans (of words, from 0) and items; clean_text names a further column, the text without the spans."""
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
