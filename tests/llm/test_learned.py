@@ -9,6 +9,7 @@ from settings import SF
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, quality, toxicity
+from tidemark.llm.textkit import Words
 
 
 @pytest.fixture(scope="module")
@@ -110,25 +111,30 @@ def test_machine_against_the_plain_sum():
 
 
 def test_machine_learns_a_pair_that_single_words_miss():
+    """Each word stands in as many texts of either label; only both together, or neither, tell. Frequent other words say nothing."""
     rng = np.random.default_rng(2)
     lists, label = [], []
-    for _ in range(600):
-        a, b = rng.integers(0, 2, 2)
-        lists.append(np.array([k for k, on in ((3, a), (5, b)) if on] + [9], np.int32))
-        label.append(int(a == b))  # no single weight tells
-    m = toxicity.fit(lists, np.array(label, float), bits=4, terms=16, rounds=400, min_docs=1)
+    for k in range(1_200):
+        a, b = k & 1, k >> 1 & 1
+        lists.append(np.unique(np.array([w for w, on in ((3, a), (5, b)) if on] + [9, *rng.integers(20, 60, 6)], np.int32)))
+        label.append(int(a == b))
+    label = np.array(label, float)
+    assert {3, 5} <= set(toxicity.paired(lists, label, np.arange(64), 6).tolist())
+    m = toxicity.fit(lists, label, bits=6, terms=4, rounds=400, min_docs=1)
     place = {c: k for k, c in enumerate(m.chosen.tolist())}
-    if {3, 5} <= set(place):
-        x = np.zeros((4, len(place)))
-        for row, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
-            x[row, place[3]], x[row, place[5]] = a, b
-        assert (m.score(x) >= 0.5).tolist() == [True, False, False, True]
+    assert {3, 5} <= set(place)
+    x = np.zeros((4, len(place)))
+    for row, (a, b) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1))):
+        x[row, place[3]], x[row, place[5]] = a, b
+    assert (m.score(x) >= 0.5).tolist() == [True, False, False, True]
 
 
 def test_toxicity_held_out(spark, tables):
     docs, labels = tables
-    scored = toxicity.query(spark, SF.rsplit("/", 1)[0] + "/sf0.01").join(labels, "doc_id").where("held_out")
-    assert scored.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.85
+    scored = toxicity.query(spark, SF.rsplit("/", 1)[0] + "/sf0.1").join(spark.read.parquet(SF.rsplit("/", 1)[0] + "/sf0.1/labels.parquet"), "doc_id").where("held_out and toxic is not null")
+    counts = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert counts[1, 1] / (counts[1, 1] + counts.get((1, 0), 0)) > 0.8
+    assert counts.get((0, 1), 0) / (counts[0, 0] + counts.get((0, 1), 0)) < 0.02
 
 
 def test_toxicity_awkward_rows(spark, awkward, empty):
@@ -154,6 +160,46 @@ def test_thresholds_stay_in_order_and_grades_are_told_apart():
     assert np.corrcoef(s.expected(tails), grade)[0, 1] > 0.95
 
 
+def test_scale_against_a_plain_likelihood():
+    """Tails and grades as written out by hand, and weights and thresholds at which the likelihood's numerical slope is zero."""
+    rng = np.random.default_rng(9)
+    x = np.zeros((150, quality.WIDTH), np.float32)
+    x[:, :3] = rng.random((150, 3))
+    grade = np.digitize(2 * x[:, 0] - x[:, 1] + rng.logistic(0, 0.5, 150), [0.2, 1.0]).astype(float) * 2  # grades 0, 2, 4
+    decay = 2e-3
+    s = quality.fit(x, grade, rounds=4_000, rate=0.02, decay=decay)
+
+    def plain(weight, cuts):
+        total = 0.0
+        for row, g in zip(x[:, :3].astype(float), grade):
+            eta = float(row @ weight)
+            below = [1 / (1 + math.exp(-(c - eta))) for c in cuts]
+            bounds = [0.0, *below, 1.0]
+            total -= math.log(bounds[int(g) // 2 + 1] - bounds[int(g) // 2])
+        return total / len(grade) + decay / 2 * float(weight @ weight)
+
+    point = np.concatenate([s.weight[:3].astype(float), s.cuts])
+    slope = [(plain(*np.split(point + d, [3])) - plain(*np.split(point - d, [3]))) / 2e-5 for d in np.eye(5) * 1e-5]
+    assert np.abs(slope).max() < 2e-3 and plain(*np.split(point, [3])) < plain(np.zeros(3), s.cuts) - 0.05
+    for row in x[:5]:
+        eta = sum(float(a) * float(b) for a, b in zip(row, s.weight))
+        above = [1 / (1 + math.exp(float(c) - eta)) for c in s.cuts]
+        tails = s.tails(row[None, :])
+        assert tails[0] == pytest.approx(above, rel=1e-4)
+        assert s.expected(tails)[0] == pytest.approx(0 * (1 - above[0]) + 2 * (above[0] - above[1]) + 4 * above[1], rel=1e-4)
+
+
+def test_quality_features_against_plain_counts():
+    text = "The the cat, 12 CATS"
+    shape = "".join("A" if c.isupper() else "a" if c.islower() else "0" if c.isdigit() else c for c in text)
+    got = quality.features(Words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])))[0]
+    grams = collections.Counter(shape[k : k + 4] for k in range(len(shape) - 3))
+    assert sorted(np.round(got[: 1 << quality.SHAPE_BITS][got[: 1 << quality.SHAPE_BITS] > 0] ** 2 * sum(grams.values()))) == sorted(grams.values())
+    words = collections.Counter(text.lower().replace(",", "").split())
+    body = got[1 << quality.SHAPE_BITS : -1]
+    assert sorted(np.round(body[body > 0] ** 2 * 5)) == sorted(words.values()) and got[-1] == pytest.approx(math.sqrt(1 / 5))
+
+
 def test_quality_held_out(spark, tables):
     _, labels = tables
     rated = quality.query(spark, SF.rsplit("/", 1)[0] + "/sf0.01").join(labels, "doc_id").where("held_out")

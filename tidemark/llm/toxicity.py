@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its words and of the beginnings (`START` bytes) of longer ones, hashed into 2 ** `bits` buckets. The `terms` buckets that part the labels of a bounded training
-sample best (chi-square of presence, in at least `min_docs` texts) are the inputs x of
+A text is the set of its words and of the beginnings (`START` bytes) of longer ones, hashed into 2 ** `bits` buckets. The inputs x are the `terms` buckets that part the labels of a bounded training
+sample best (chi-square of presence, in at least `min_docs` texts), and those of the `pool` most frequent others that do so in a pair, by what presence of both tells beyond
+that of each, if chance would hardly do it among so many pairs:
 
     score = sigmoid(b + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)),
 
@@ -14,6 +15,7 @@ the smoothed share of label 1; repeated rows are each answered; an empty table g
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,7 +69,32 @@ def _buckets(bits: int) -> Callable:
     return make
 
 
-def fit(lists: list[np.ndarray], label: np.ndarray, *, bits: int = 18, terms: int = 512, factors: int = 4, min_docs: int = 3, rounds: int = 120, rate: float = 0.1, decay: float = 5e-4, thin: float = 0.8, seed: int = 7) -> Machine:
+def paired(lists: list[np.ndarray], label: np.ndarray, buckets: np.ndarray, bits: int, chance: float = 0.01) -> np.ndarray:
+    """Those of the buckets that are in a pair whose joint presence tells of the label what the two alone do not.
+
+    Of texts with both, the share of label 1 is held against what a model without their interaction gives: the log-odds of each alone, added.
+    A pair counts if its chi-square is beyond what `chance` leaves for the best of all pairs.
+    """
+    place = np.full(1 << bits, -1)
+    place[buckets] = np.arange(len(buckets))
+    flat, doc = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    at = place[flat]
+    x = np.zeros((len(lists), len(buckets)), np.float32)
+    x[doc[at >= 0], at[at >= 0]] = 1
+    n, ones = len(label), float(label.sum())
+    seen, hits = x.sum(0, dtype=np.float64), label.astype(np.float32) @ x
+    both, joint = (x.T @ x).astype(np.float64), ((x * label[:, None].astype(np.float32)).T @ x).astype(np.float64)
+    cells = {(1, 1): (both, joint), (1, 0): (seen[:, None] - both, hits[:, None] - joint), (0, 1): (seen[None, :] - both, hits[None, :] - joint), (0, 0): (n - seen[:, None] - seen[None, :] + both, ones - hits[:, None] - hits[None, :] + joint)}
+    odds = {k: np.log((h + 0.5) / (np.maximum(m - h, 0) + 0.5)) for k, (m, h) in cells.items()}
+    spread = sum(1 / (h + 0.5) + 1 / (np.maximum(m - h, 0) + 0.5) for m, h in cells.values())
+    beyond = (odds[1, 1] - odds[1, 0] - odds[0, 1] + odds[0, 0]) ** 2 / spread
+    np.fill_diagonal(beyond, 0)
+    pairs = max(1, len(buckets) * (len(buckets) - 1) // 2)
+    least = 2 * math.log(pairs / chance)  # the tail of a chi-square of one degree is below exp(-x / 2)
+    return buckets[beyond.max(1, initial=0) > least]
+
+
+def fit(lists: list[np.ndarray], label: np.ndarray, *, bits: int = 18, terms: int = 512, pool: int = 1_024, factors: int = 4, min_docs: int = 3, rounds: int = 120, rate: float = 0.1, decay: float = 5e-4, thin: float = 0.8, seed: int = 7) -> Machine:
     """Chi-square choice of terms, then full-batch Adam on the logistic loss.
 
     In each round a text of label 1 shows that share of its terms, drawn at random, so that few of them suffice.
@@ -84,6 +111,9 @@ def fit(lists: list[np.ndarray], label: np.ndarray, *, bits: int = 18, terms: in
     gain[(seen < min_docs) | (seen == n)] = 0
     chosen = np.sort(np.argsort(-gain, kind="stable")[:terms])
     chosen = chosen[gain[chosen] > 0]
+    often = np.where((seen >= min_docs) & (seen < n), seen, 0)
+    often = np.sort(np.argsort(-often, kind="stable")[: min(pool, int((often > 0).sum()))])
+    chosen = np.union1d(chosen, paired(lists, label, often, bits)) if len(often) > 1 else chosen
     if not len(chosen):
         return none
     place = np.full(1 << bits, -1)
