@@ -55,6 +55,24 @@ def test_files_of_other_writers(spark, tmp_path):
         assert all(r["digest_ok"] is (True if payload == "bytes" else None) for r in rows)
 
 
+def test_digests_are_pushed_whatever_their_algorithm_s_name(spark, archive):
+    from pyspark.sql.datasource import EqualTo
+
+    wanted = warc.digest(b"same")
+    reader = warc.WarcReader({"path": archive, "payload": "none"})
+    assert list(reader.pushFilters([EqualTo(("payload_digest",), wanted)])) == []
+    rows = [x for p in reader.partitions() for b in reader.read(p) for x in b.to_pylist()]
+    assert {x["payload_digest"] for x in rows} == {wanted} and len(rows) == 4
+    assert spark.read.format("warc").load(archive).where(f"payload_digest = '{wanted}'").count() == 4
+
+
+def test_further_columns_with_clashing_names(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a", "x", 9, b"z"), (2, "u", "a", None, None, None)], "page_id long, url string, html string, sha string, payload_length int, payload binary")
+    warc.archive(pages, str(tmp_path / "c"))
+    rows = {r["record_id"]: r for r in spark.read.format("warc").load(str(tmp_path / "c")).collect()}
+    assert bytes(rows["<urn:record:1>"]["payload"]) == b"a" and rows["<urn:record:2>"]["refers_to"] == "<urn:record:1>"
+
+
 def test_empty_table(spark, tmp_path):
     warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert spark.read.format("warc").load(str(tmp_path / "none")).count() == 0

@@ -6,8 +6,8 @@ pairs in a hash table, merges the leftmost pair of the smallest rank, and closes
 merges leave the matrix. Pieces of more than `MATRIX` bytes, of which a matrix would take time by the square of their length, go
 through a heap of pairs in the same order of merges.
 
-Decoding looks up the bytes of each id. Defined results: a null or empty text has no ids; repeated rows are each answered; an
-empty table gives an empty result.
+Decoding looks up the bytes of each id. Defined results: a null or empty text has no ids; very long texts are taken one at a time; repeated rows are each answered; an
+empty table gives an empty result; other columns are carried along, and those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ The frozen trees are flattened into code lengths by (context, byte, language): a
 those of the bytes that some language saw in the context, and the escapes of each context for the rest. Every counted context
 stays, and memory grows with what was seen only. `max_bytes` bounds the expected bytes of training text of one language.
 
-Defined results: a text that is null or has no letter is `und` with score 0, as is every text when nothing can be learned;
-equal code lengths go to the language first in order; an empty table gives an empty result.
+Defined results: a text that is null or has no letter is `und` with score 0, as is every text when nothing can be learned; rows with a null
+language or text teach nothing; equal code lengths go to the language first in order; repeated rows are each answered; an empty table
+gives an empty result; other columns are carried along, and those named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ tasks leave nothing behind.
 a response, and others are revisits of it. Payloads are equal if their SHA-1 digest and length are.
 
 Defined results: a null payload is an empty one; among equal payloads a null id sorts last, and rows that share the smallest id are all
-responses; repeated rows make as many records; an empty table makes an empty folder that reads as no rows.
+responses; repeated rows make as many records; an empty table makes an empty folder that reads as no rows; other columns of the pages,
+whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -238,6 +239,11 @@ def headers_of(head: bytes) -> dict[str, str]:
     return out
 
 
+def _bare(digest_: str) -> str:
+    """A digest without the name of its algorithm."""
+    return digest_.split(":", 1)[-1].upper()
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.want = options["path"], options.get("payload", "bytes") != "none"
@@ -246,7 +252,7 @@ class WarcReader(DataSourceReader):
     def pushFilters(self, filters):
         for f in filters:
             column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
-            if column in HEADER and isinstance(f, (EqualTo, In, StringStartsWith)) and column != "payload_digest":
+            if column in HEADER and isinstance(f, (EqualTo, In, StringStartsWith)):
                 values = tuple(f.value) if isinstance(f, In) else (f.value,)
                 self.tests.append((HEADER[column], "prefix" if isinstance(f, StringStartsWith) else "in", values))
             else:
@@ -268,6 +274,8 @@ class WarcReader(DataSourceReader):
     def _wanted(self, headers: dict[str, str]) -> bool:
         for name, kind, values in self.tests:
             value = headers.get(name)
+            if value is not None and name == "warc-payload-digest":
+                value = _bare(value)
             if value is None or not (value.startswith(values[0]) if kind == "prefix" else value in values):
                 return False
         return True
@@ -313,7 +321,7 @@ class WarcReader(DataSourceReader):
                 if name.strip().lower() == b"content-length" and value.strip().isdigit():
                     size = int(value)
         named = headers.get("warc-payload-digest")
-        bare = named.split(":", 1)[-1].upper() if named else None
+        bare = _bare(named) if named else None
         full = self.want and headers.get("warc-type") != "revisit"
         return {c: headers.get(h) for c, h in HEADER.items()} | {
             "content_length": length, "payload_digest": bare, "payload_length": size, "digest_ok": bare == digest(payload) if full and bare and (named.lower().startswith("sha1:") or ":" not in named) else None,
