@@ -9,7 +9,7 @@ from tidemark import constants as C
 from tidemark.functions import dates, stats
 from tidemark.functions import text as X
 from tidemark.io import events, orders, table
-from tidemark.operators import panel, sweeps, waits
+from tidemark.operators import components, panel, sweeps, waits
 from tidemark.operators import structure as M
 from tidemark.plans.forecast import TIER, tier_rows
 from tidemark.plans.growth import G12, SIGNAL, signal_rows
@@ -388,3 +388,16 @@ def dashboard_structure(spark, sf_dir):
     """The structure table: the niches with most independents."""
     rows = M.concentration(units(spark, sf_dir), indie_sites=600)
     return rows.orderBy(F.desc("indie"), "niche").limit(20).select("niche", "locations", "providers", "hhi", "top5", M.verdict(F.col("indie"), F.col("hhi"), F.col("top5")).alias("verdict"))
+
+
+DIRECTED = """with recursive m as (select distinct l_suppkey as node, l_partkey || '|' || year(l_shipdate) as key from lineitem), g as (select key, count(*) as n, min(node) as first from m group by 1), e as (select distinct first as u, node as v from m join g using (key) where n between 2 and 25 and node <> first), b as (select u, v from e union select v, u from e),
+r(node, c) as (select node, node from (select distinct u as node from b) union select r.node, b.v from r join b on b.u = r.c)"""
+
+
+@query(f"{DIRECTED} select c as component, count(*) as n from (select node, min(c) as c from r group by 1) group by 1")
+def director_groups(spark, sf_dir):
+    """Owners that share a director; one who sits in more than 25 is a service, and links nobody."""
+    lines = table(spark, sf_dir, "lineitem")
+    members = lines.select(F.col("l_suppkey").alias("node"), F.concat_ws("|", F.col("l_partkey").cast("string"), F.year("l_shipdate").cast("string")).alias("key"))
+    edges, _ = components.shared_key_edges(members, "node", "key", C.MAX_DIRECTOR_GROUP)
+    return components.components(edges).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
