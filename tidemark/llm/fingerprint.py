@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
+SAMPLES = 64
 SCALE = 1 << 23
 
 
@@ -37,7 +37,10 @@ def _constant(k: int) -> int:
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """The number of a term (a 64-bit hash) with that logarithm of its weight under function k."""
+    """The number of a term (a 64-bit hash) with that logarithm of its weight under function k.
+
+    ln a is above -100, as ln c is at least -23, r at most 31 and ln w below 44, and at most 4.
+    """
     one, two = (F.xxhash64(term.bitwiseXOR(F.lit(_constant(2 * k + j)))) for j in (0, 1))
     unit = lambda h, shift, bits: (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(0.5**bits)
     r = -F.ln(unit(one, 0, 21) * unit(one, 21, 21))
@@ -45,15 +48,41 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     log_c = F.ln(-F.ln(unit(two, 0, 32) * unit(two, 32, 32)))
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b + F.lit(1.0))
-    place = F.floor((F.greatest(F.least(log_a, F.lit(100.0)), F.lit(-100.0)) + F.lit(128.0)) * F.lit(float(SCALE)))
+    place = F.floor((log_a + F.lit(128.0)) * F.lit(float(SCALE)))
     return F.shiftleft(place, 31).bitwiseOR(F.xxhash64(term, t).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
+def _words(text: str) -> Column:
+    return F.explode(F.split(F.lower(text), r"[\x09-\x0D ]+")).alias("__term")
+
+
+def _least(counted: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    """keys with s0, s1, ...: the least number of a key's terms (__term, a hash, with __w, the logarithm of its count) under each function."""
+    return counted.groupBy(*keys).agg(*(F.min(sample(F.col("__term"), F.col("__w"), k)).alias(f"s{k}") for k in range(samples)))
+
+
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """keys with s0, s1, ... of every row that has terms. If texts are dealt by a subset of keys, nothing is shuffled."""
-    terms = texts.select(*keys, F.explode(F.split(F.lower(text), r"[\x09-\x0D ]+")).alias("__term")).where("__term <> ''")
+    terms = texts.select(*keys, _words(text)).where("__term <> ''")
     counted = terms.groupBy(*keys, F.xxhash64("__term").alias("__term")).agg(F.ln(F.count(F.lit(1)).cast("double")).alias("__w"))
-    return counted.groupBy(*keys).agg(*(F.min(sample(F.col("__term"), F.col("__w"), k)).alias(f"s{k}") for k in range(samples)))
+    return _least(counted, keys, samples)
+
+
+def paired_fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys with own and other, the arrays of samples of two texts of each key (which: 0 and 1); null without terms.
+
+    The samples of the terms that both have equally often are drawn once: the least of a text is the lesser one of those and of what it has alone.
+    """
+    terms = texts.select(*keys, "which", _words("text")).where("__term <> ''")
+    times = (F.count_if(F.col("which") == w).alias(c) for w, c in ((0, "__own"), (1, "__other")))
+    counted = terms.groupBy(*keys, F.xxhash64("__term").alias("__term")).agg(*times)
+    part = lambda w, n: F.struct(F.lit(w).alias("part"), F.col(n).alias("n"))
+    parts = F.when(F.col("__own") == F.col("__other"), F.array(part(2, "__own"))).otherwise(F.array(part(0, "__own"), part(1, "__other")))
+    split = counted.select(*keys, "__term", F.explode(parts).alias("x")).where("x.n > 0").select(*keys, "__term", F.col("x.part").alias("part"), F.ln(F.col("x.n").cast("double")).alias("__w"))
+    drawn = _least(split, [*keys, "part"], samples).select(*keys, "part", F.array(*(f"s{k}" for k in range(samples))).alias("samples"))
+    each = drawn.groupBy(*keys).agg(*(F.max(F.when(F.col("part") == w, F.col("samples"))).alias(c) for w, c in ((0, "own"), (1, "other"), (2, "both"))))
+    lesser = lambda c: F.coalesce(F.zip_with(c, "both", lambda a, b: F.least(a, b)), F.col(c), F.col("both")).alias(c)
+    return each.select(*keys, lesser("own"), lesser("other"))
 
 
 def text_of(samples: Column) -> Column:
@@ -128,9 +157,7 @@ def compare_with_edited(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring(F.coalesce("next", "text"), F.lit(1), half)))
     variants = F.array(*(F.struct(F.lit(w).alias("which"), F.col(c).alias("text")) for w, c in ((0, "text"), (1, "edited"))))
     pairs = rows.select("bucket", "place", F.explode(variants).alias("x")).select("bucket", "place", "x.which", "x.text")
-    drawn = fingerprints(pairs, ["bucket", "place", "which"], samples=samples)
-    drawn = drawn.select("bucket", "place", "which", F.array(*(f"s{k}" for k in range(samples))).alias("samples"))
-    each = drawn.groupBy("bucket", "place").agg(*(F.max(F.when(F.col("which") == w, F.col("samples"))).alias(c) for w, c in ((0, "own"), (1, "other"))))
+    each = paired_fingerprints(pairs, ["bucket", "place"], samples)
     facts = rows.select("bucket", "place", "ghost", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     line = Window.partitionBy("bucket").orderBy("place")
     both = facts.join(each, ["bucket", "place"], "left").withColumn("after", F.lead("own").over(line)).where("not ghost")
