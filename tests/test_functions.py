@@ -11,7 +11,7 @@ from settings import SF
 
 from tidemark.functions import dates, stats
 from tidemark.functions import text as X
-from tidemark.operators import chain, components, joins, panel, stack, structure
+from tidemark.operators import chain, components, joins, panel, ranking, stack, structure
 from tidemark.operators import series as S
 from tidemark.plans import composites, forecast, registry  # noqa: F401
 
@@ -160,6 +160,30 @@ def test_chain_shows_tampering(spark):
     assert [r["ok"] for r in chain.verify(edited, "k").orderBy("k").collect()] == [True, False, True]
 
 
+def test_places_are_those_of_one_sort(spark):
+    draw = random.Random(5)
+    rows = [(i, None if i % 11 == 0 else float(draw.choice([0, 0, 0, draw.randint(-50, 50)])), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, v double, half int").repartition(5)
+    key = lambda r: (r[1] is not None, r[1] or 0.0, r[0])
+    got = {r["id"]: r["place"] for r in ranking.places(df, "v", ["id"]).collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=key), 1)}
+    got = {r["id"]: r["place"] for r in ranking.places(df, "v", ["id"], tier=F.col("half")).collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[2], *key(r))), 1)}
+    assert ranking.places(df.limit(0), "v", ["id"]).count() == 0
+
+
+def test_runs_of_words(spark):
+    assert sorted(one(spark, X.runs(F.split(F.lit("a b a"), " ")))) == ["a", "a b", "a b a", "b", "b a"]
+
+
+def test_median_range_is_the_widest_interval(spark):
+    for n in range(1, 12):
+        values = [float(v * v) for v in range(n)]
+        want = next(((values[k], values[-1 - k], round(1 - 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n, 4)) for k in range(n // 2) if 1 - 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n >= 0.95), None)
+        got = one(spark, stats.median_ci(F.array(*map(F.lit, values))))
+        assert (got and tuple(got)) == want
+
+
 def test_asof_and_nearest(spark):
     left = spark.createDataFrame([("a", "2024-01-10"), ("b", "2024-01-10")], "k string, d string").withColumn("d", F.to_date("d"))
     right = spark.createDataFrame([("a", "2024-01-08", 1), ("a", "2024-01-12", 2), ("a", "2024-03-12", 3)], "k string, d string, v int").withColumn("d", F.to_date("d"))

@@ -109,13 +109,15 @@ def fisher_one_sided(a: Column | str, b: Column | str, c: Column | str, d: Colum
     return F.aggregate(cells, F.lit(0.0), lambda acc, i: acc + F.exp(fixed - log_factorial(i) - log_factorial(row1 - i) - log_factorial(col1 - i) - log_factorial(n - row1 - col1 + i)))
 
 
+def median_range(n: Column | str, low: Column | str, high: Column | str, conf: float = 0.95) -> Column:
+    """(low, high, coverage) of the median of n values between low and high; null if even this widest interval does not reach conf."""
+    cover = 1 - 2 * F.pow(F.lit(0.5), col(n))
+    return F.when((col(n) >= 2) & (cover >= conf), F.struct(col(low).alias("low"), col(high).alias("high"), F.round(cover, 4).alias("coverage")))
+
+
 def median_ci(values: Column, conf: float = 0.95) -> Column:
-    """(low, high, coverage) of the median of a sorted array from order statistics; null if no interval reaches conf."""
-    n = F.size(values)
-    cover = lambda l: 1 - 2 * F.aggregate(F.sequence(F.lit(0), l), F.lit(0.0), lambda acc, i: acc + choose(n, i) * F.pow(F.lit(0.5), n))
-    ranks = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(n / 2).cast("int") - 1, F.lit(0))), lambda l: cover(l) >= conf)
-    first = F.get(ranks, F.lit(0))
-    return F.when((n >= 2) & first.isNotNull(), F.struct(F.get(values, first).alias("low"), F.get(values, n - 1 - first).alias("high"), F.round(cover(first), 4).alias("coverage")))
+    """median_range of a sorted array: of the intervals between order statistics that reach conf the widest is taken, which needs the ends only."""
+    return median_range(F.size(values), F.get(values, F.lit(0)), F.get(values, F.size(values) - 1), conf)
 
 
 def sweep_p(n: Column | str) -> Column:

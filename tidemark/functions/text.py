@@ -19,6 +19,12 @@ def windows(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.slice(words, i + 1, n))
 
 
+def runs(words: Column) -> Column:
+    """Every distinct run of neighbouring words, of any length, joined by blanks."""
+    each = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda n: F.array_join(F.slice(words, i, n), " ")))
+    return F.array_distinct(F.flatten(each))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words joined by blanks: the words zipped with themselves, shifted, in time in proportion to them."""
     out = words

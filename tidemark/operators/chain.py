@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import places
+
 GENESIS = "0" * 64
 
 
@@ -26,6 +28,9 @@ def append(bodies: DataFrame, order: str, body: str, last: str = GENESIS) -> Dat
 
 
 def verify(log: DataFrame, order: str) -> DataFrame:
-    """Adds ok: whether an entry's hash is that of its body and the one before it."""
-    before = F.coalesce(F.lag("hash").over(Window.orderBy(order)), F.lit(GENESIS))
-    return log.withColumn("before", before).withColumn("ok", (F.col("prev_hash") == F.col("before")) & (F.col("hash") == F.sha2(F.concat("prev_hash", "body"), 256))).drop("before")
+    """Adds ok: whether an entry's hash is that of its body and the one before it. Entries meet the one before by a join on places."""
+    placed = places(log, order, [], name="__place")
+    last = placed.select((F.col("__place") + 1).alias("__place"), F.col("hash").alias("__before"))
+    before = F.coalesce("__before", F.lit(GENESIS))
+    ok = (F.col("prev_hash") == before) & (F.col("hash") == F.sha2(F.concat("prev_hash", "body"), 256))
+    return placed.join(last, "__place", "left").select(*log.columns, ok.alias("ok"))

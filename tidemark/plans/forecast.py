@@ -151,8 +151,8 @@ def sweep_power(spark, sf_dir):
 @query("""with v as (select user_id, count(*) as n, min(value) as low, max(value) as high from events where event_type = 'purchase' group by 1) select user_id, case when n >= 6 then low end as low, case when n >= 6 then high end as high, case when n >= 6 then round(1 - 2 * power(cast(0.5 as double), n), 4) end as coverage from v""")
 def median_interval(spark, sf_dir):
     """The distribution-free interval of each user's median purchase: the widest order statistics; null where even those don't cover it."""
-    xs = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("xs"))
-    return xs.withColumn("ci", stats.median_ci(F.col("xs"))).select("user_id", "ci.low", "ci.high", "ci.coverage")
+    ends = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.withColumn("ci", stats.median_range("n", "low", "high")).select("user_id", "ci.low", "ci.high", "ci.coverage")
 
 
 @functools.lru_cache(16)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
+from tidemark.functions import text as X
 from tidemark.io import events, orders, table
 from tidemark.operators import components, joins
 from tidemark.plans.registry import query
@@ -138,11 +139,13 @@ def same_family(spark, sf_dir):
 @query(f"""with p as (select phrase, op from ({PHRASES})), s as (select phrase, list_sort(list(op)) as ops from p group by 1)
 select a.phrase as short, b.phrase as long, cast(len(a.ops) as int) as adopters from s a join s b on a.ops = b.ops and a.phrase <> b.phrase and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')""")
 def subsumed_terms(spark, sf_dir):
-    """Terms that a longer one with the same adopters explains, by a join on the adopter set."""
-    sets = phrase_operators(spark, sf_dir).groupBy("phrase").agg(F.array_sort(F.collect_set("op")).alias("ops"))
-    one, two = sets.select(F.col("phrase").alias("short"), "ops"), sets.select(F.col("phrase").alias("long"), "ops")
-    inside = F.concat(F.lit(" "), F.col("long"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("short"), F.lit(" ")))
-    return one.join(two, "ops").where((F.col("short") != F.col("long")) & inside).select("short", "long", F.size("ops").alias("adopters"))
+    """Terms that a longer one with the same adopters explains: runs of the longer one's words that as many use, and then the same ones."""
+    uses = phrase_operators(spark, sf_dir)
+    sizes = uses.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
+    pairs = sizes.select(F.col("phrase").alias("long"), "n", F.explode(X.runs(F.split("phrase", " "))).alias("short")).where("short <> long")
+    even = pairs.join(sizes.select(F.col("phrase").alias("short"), "n"), ["short", "n"])
+    both = even.join(uses.select(F.col("phrase").alias("long"), "op"), "long").join(uses.select(F.col("phrase").alias("short"), "op"), ["short", "op"])
+    return both.groupBy("short", "long", "n").agg(F.count(F.lit(1)).alias("common")).where("common = n").select("short", "long", F.col("n").cast("int").alias("adopters"))
 
 
 @query("""with r as (select p_type as phrase, 'observed' as evidence, count(distinct p_brand) as operators, count(*) as mentions from part where p_size <= 25 group by 1 union all select p_type, 'assumed', count(distinct p_partkey), count(*) from part where p_size > 25 group by 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import stats
 from tidemark.io import events, orders, table
+from tidemark.operators.ranking import places
 from tidemark.plans.growth import G12, SIGNAL, signal_rows
 from tidemark.plans.registry import query
 
@@ -21,7 +22,8 @@ def ranked_rows(spark, sf_dir):
 def pinned_total(spark, sf_dir):
     counts = orders(spark, sf_dir).groupBy(F.col("o_orderpriority").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     both = counts.withColumn("pin", F.lit(0)).unionByName(counts.agg(F.sum("n").alias("n")).select(F.lit("TOTAL").alias("k"), "n", F.lit(1).alias("pin")))
-    return both.select("k", "n", F.row_number().over(Window.orderBy(F.desc("pin"), F.desc("n"), "k")).alias("place"))
+    # the total is no less than any count and ties with one only if that is alone, where pin decides
+    return places(both.withColumn("lead", -F.col("n")), "lead", [F.desc("pin"), "k"]).select("k", "n", F.col("place").cast("int").alias("place"))
 
 
 @query("""with n as (select p_type, l_suppkey, count(*) as n, row_number() over (partition by p_type order by count(*) desc, l_suppkey) as rn from lineitem join part on l_partkey = p_partkey group by 1, 2) select p_type, l_suppkey, n, cast(rn as int) as rn from n where rn <= 5""")
@@ -81,7 +83,8 @@ def seed_rotation(spark, sf_dir):
 def fetch_priority(spark, sf_dir):
     """The order of work: gaps first, then by worth."""
     work = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.count(F.lit(1)).alias("have"), F.max("p_retailprice").alias("worth"))
-    return work.select("p_brand", "p_type", F.row_number().over(Window.orderBy((F.col("have") < 12).desc(), F.desc("worth"), "p_brand", "p_type")).alias("place"))
+    placed = places(work.withColumn("lead", -F.col("worth")), "lead", ["p_brand", "p_type"], tier=F.when(F.col("have") < 12, 0).otherwise(1))
+    return placed.select("p_brand", "p_type", F.col("place").cast("int").alias("place"))
 
 
 @query("""with n as (select cast(year(o_orderdate) as int) as y, o_orderpriority as k, count(*) as n from orders where year(o_orderdate) in (1999, 2000) group by 1, 2), r as (select *, row_number() over (partition by y order by n desc, k) as rn from n)
