@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import dates, stats
 from tidemark.io import events, orders, table
-from tidemark.operators import discovery, panel, stack
+from tidemark.operators import discovery, forecasts, panel, stack
 from tidemark.operators import series as S
 from tidemark.plans.growth import G12, SIGNAL, signal_rows
 from tidemark.plans.registry import query
@@ -274,6 +274,35 @@ def forecast_grades(spark, sf_dir):
     return near.withColumn("o", outcome).groupBy("role").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("o") == "hit").alias("hits"), F.count_if(F.col("o") == "ungradeable").alias("ungradeable"))
 
 
+CALLS = """c as (select o_orderkey as call, o_custkey as k, cast(o_orderdate as date) as at, cast(o_orderdate as date) + 365 as matures, cast(least(4, floor(o_totalprice / 100000)) as int) as base from orders where o_orderstatus = 'O' and o_orderdate < timestamp '1999-01-01'),
+s as (select o_custkey as k, cast(o_orderdate as date) as day, max(cast(least(4, floor(o_totalprice / 100000)) as int)) as fired from orders where o_orderstatus <> 'O' group by 1, 2),
+w as (select c.call, s.day from c join s on s.k = c.k and s.day > c.at and s.day <= c.matures and s.fired > c.base where c.base < 4), f as (select call, min(day) as first from w group by 1),
+x as (select w.call, f.first, min(w.day) filter (where w.day >= f.first + 7) as second from w join f using (call) group by 1, 2)"""
+
+
+def calls_and_snapshots(spark, sf_dir):
+    """Open orders as calls, the others of a customer as snapshots, the hundred thousands of the price as tiers that fire."""
+    rows = orders(spark, sf_dir).withColumn("tiers", F.least(F.lit(4), F.floor(F.col("o_totalprice") / 100_000)).cast("int"))
+    calls = rows.where("o_orderstatus = 'O' and day < '1999-01-01'").select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("k"), F.col("day").alias("at"), F.date_add("day", C.HORIZON_DAYS).alias("matures"), F.col("tiers").alias("base"))
+    return calls, rows.where("o_orderstatus <> 'O'").groupBy(F.col("o_custkey").alias("k"), "day").agg(F.max("tiers").alias("fired"))
+
+
+@query(f"""with {CALLS} select call, 1 as nth, cast(first as varchar) as day from x union all select call, 2, cast(second as varchar) from x where second is not null""")
+def call_watches(spark, sf_dir):
+    """The record of each call's first sighting and of its confirmation at least a week later."""
+    return forecasts.watches(forecasts.sightings(*calls_and_snapshots(spark, sf_dir), ["k"])).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"""with {CALLS}, n as (select c.call, s.day, s.fired, row_number() over (partition by c.call order by abs(s.day - c.matures), s.day) as rn from c join s on c.k = s.k and abs(s.day - c.matures) <= 45),
+e as (select c.call, min(s.day) as day from c join n on n.call = c.call and rn = 1 join s on s.k = c.k and s.day > c.at and s.day <= n.day and s.fired > c.base group by 1),
+g as (select c.*, n.day as snapshot, x.first, e.day as shown, case when base >= 4 or (n.day is null and x.second is null) then 'ungradeable' when x.second is not null or n.fired > base then 'hit' else 'miss' end as outcome from c left join n on n.call = c.call and rn = 1 left join x on x.call = c.call left join e on e.call = c.call)
+select call, k, cast("at" as varchar) as called, base, cast(snapshot as varchar) as snapshot, outcome, cast(case when outcome = 'hit' then coalesce(first, shown) end as varchar) as evidence, cast(case when outcome = 'hit' then coalesce(first, shown) - "at" end as int) as lead_days from g""")
+def call_grades(spark, sf_dir):
+    """Every call's outcome, the snapshot it is graded by, and how long its first evidence took."""
+    out = forecasts.grade(*calls_and_snapshots(spark, sf_dir), ["k"])
+    return out.select("call", "k", F.col("at").cast("string").alias("called"), "base", F.col("snapshot").cast("string").alias("snapshot"), "outcome", F.col("evidence").cast("string").alias("evidence"), "lead_days")
+
+
 @query("""with q as (select event_type || '/' || user_id as query, event_type as seed, count(*) as sightings, min(ts) as first_ts, max(ts) as last_ts, max(value) as top from events group by 1, 2), l as (select seed, max(last_ts) - interval 3 day as polled from q group by 1)
 select query, seed, sightings, epoch_us(first_ts) as first_us, top, last_ts >= polled as current from q join l using (seed) where regexp_matches(query, '[1-9]')""")
 def rising_queries(spark, sf_dir):
