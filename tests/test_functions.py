@@ -11,7 +11,7 @@ from settings import SF
 
 from tidemark.functions import dates, stats
 from tidemark.functions import text as X
-from tidemark.operators import chain, components, joins, panel, ranking, stack, structure
+from tidemark.operators import chain, components, discovery, forecasts, joins, panel, ranking, stack, structure
 from tidemark.operators import series as S
 from tidemark.plans import composites, forecast, registry  # noqa: F401
 
@@ -172,6 +172,27 @@ def test_places_are_those_of_one_sort(spark):
     assert ranking.places(df.limit(0), "v", ["id"]).count() == 0
 
 
+def test_families_are_one_discovery(spark):
+    rows = [("gut", 10, 5.0), ("gut test", 9, 4.0), ("gut test kit", 3, 1.0), ("peel", 4, 2.0), ("test", 2, 9.0)]
+    phrases = spark.createDataFrame(rows, "phrase string, operators long, score double")
+    links = spark.createDataFrame([("gut", "gut test"), ("gut test", "gut test kit")], "u string, v string")
+    got = {r["phrase"]: (r["representative"], r["family_score"]) for r in discovery.collapse(phrases, links).collect()}
+    assert got == {"gut": ("gut test", 5.0), "gut test": ("gut test", 5.0), "gut test kit": ("gut test", 5.0), "peel": ("peel", 2.0), "test": ("test", 9.0)}
+    alone = discovery.collapse(phrases, links.limit(0)).collect()
+    assert all(r["phrase"] == r["representative"] for r in alone) and len(alone) == 5
+
+
+def test_grades_of_calls(spark):
+    day = lambda c: F.to_date(c).alias(c)
+    calls = spark.createDataFrame([(k, k, "2020-01-01", "2020-12-31", 4 if k == "full" else 1) for k in ("full", "dark", "hit", "late", "miss", "sure", "soon")], "call string, k string, at string, matures string, base int").select("call", "k", day("at"), day("matures"), "base")
+    shots = [("full", "2020-12-30", 4), ("dark", "2020-05-01", 2), ("hit", "2020-06-01", 3), ("hit", "2020-12-20", 2), ("late", "2021-01-10", 2), ("miss", "2020-07-01", 2), ("miss", "2020-12-31", 1), ("sure", "2020-03-01", 2), ("sure", "2020-03-08", 2), ("soon", "2020-03-01", 2), ("soon", "2020-03-07", 2)]
+    shots = spark.createDataFrame(shots, "k string, day string, fired int").select("k", day("day"), "fired")
+    got = {r["call"]: (r["outcome"], r["lead_days"]) for r in forecasts.grade(calls, shots, ["k"]).collect()}
+    assert got == {"full": ("ungradeable", None), "dark": ("ungradeable", None), "hit": ("hit", 152), "late": ("hit", 375), "miss": ("miss", None), "sure": ("hit", 60), "soon": ("ungradeable", None)}
+    marks = forecasts.watches(forecasts.sightings(calls, shots, ["k"])).where("call = 'sure'")
+    assert sorted((r["nth"], str(r["day"])) for r in marks.collect()) == [(1, "2020-03-01"), (2, "2020-03-08")]
+
+
 def test_runs_of_words(spark):
     assert sorted(one(spark, X.runs(F.split(F.lit("a b a"), " ")))) == ["a", "a b", "a b a", "b", "b a"]
 

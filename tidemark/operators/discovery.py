@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions import stats
+from tidemark.operators import components
 
 BUCKETS = ("p1", "p2", "p3", "prior12", "pre24")
 
@@ -62,3 +63,21 @@ def judge(taken: Column, min_operators: int = C.MIN_OPERATORS, min_regions: int
         .when((F.col("regions") > 0) & (F.col("regions") < min_regions), "one place")
         .when(~F.coalesce(rising, F.lit(False)), "not rising")
     )
+
+
+def collapse(phrases: DataFrame, links: DataFrame, usage: float = 0.8) -> DataFrame:
+    """(phrase, representative, family_score) of phrases (phrase, operators, score): those that links (u, v) connect are one discovery.
+
+    A family is a connected component and as strong as its best member, which stands for it unless longer members contain it and at least
+    that share of its operators use them: then the longest, as the extra words are part of the name. A phrase without links is its own family.
+    """
+    parts = components.components(links).select(F.col("node").alias("phrase"), "component")
+    members = phrases.join(parts, "phrase", "left").withColumn("family", F.coalesce("component", "phrase")).withColumn("words", F.size(F.split("phrase", " ")))
+    best = members.groupBy("family").agg(F.min(F.struct((-F.col("score")).alias("minus"), "phrase", "operators", "words")).alias("best"))
+    both = members.join(best, "family")
+    inside = F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("best.phrase"), F.lit(" ")))
+    part_of_name = inside & (F.col("words") > F.col("best.words")) & (F.col("operators") >= usage * F.col("best.operators"))
+    place = F.struct((-F.col("words")).alias("w"), (-F.col("score")).alias("s"), "phrase")
+    heads = both.groupBy("family").agg(F.first("best").alias("best"), F.min(F.when(part_of_name, place)).alias("longer"))
+    heads = heads.select("family", F.coalesce("longer.phrase", "best.phrase").alias("representative"), (-F.col("best.minus")).alias("family_score"))
+    return members.join(heads, "family").select("phrase", "representative", "family_score")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import constants as C
 from tidemark.functions import text as X
 from tidemark.io import events, orders, table
-from tidemark.operators import components, joins
+from tidemark.operators import components, discovery, joins
 from tidemark.plans.registry import query
 
 
@@ -136,6 +136,26 @@ def same_family(spark, sf_dir):
     return common.join(named("short"), "short").join(named("long"), "long").select("short", "long", "common", (F.col("common") >= 0.5 * F.least("n_short", "n_long")).alias("same_family"))
 
 
+@query(f"""with recursive p as ({PHRASES}), s as (select phrase, count(*) as n, len(string_split(phrase, ' ')) as words from p group by 1),
+o as (select a.phrase as short, b.phrase as long, count(*) as common from p a join p b on a.op = b.op and a.phrase <> b.phrase and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ') group by 1, 2),
+f as (select short, long from o join s x on x.phrase = short join s y on y.phrase = long where common >= 0.95 * least(x.n, y.n) and common >= 0.5 * greatest(x.n, y.n)), l as (select short as a, long as b from f union select long, short from f),
+r(phrase, root) as (select phrase, phrase from s union select l.b, r.root from r join l on l.a = r.phrase), m as (select phrase, min(root) as fam from r group by 1), k as (select m.fam, s.* from m join s using (phrase)),
+best as (select *, row_number() over (partition by fam order by n desc, phrase) as rn from k),
+longer as (select k.fam, k.phrase, row_number() over (partition by k.fam order by k.words desc, k.n desc, k.phrase) as rn from k join best b on b.fam = k.fam and b.rn = 1 where k.words > b.words and contains(' ' || k.phrase || ' ', ' ' || b.phrase || ' ') and k.n >= 0.8 * b.n)
+select k.phrase, coalesce(g.phrase, b.phrase) as representative, b.n as family_score from k join best b on b.fam = k.fam and b.rn = 1 left join longer g on g.fam = k.fam and g.rn = 1""")
+def phrase_families(spark, sf_dir):
+    """Phrases that contain one another and have nearly the same operators are one discovery, under the name that most of them use."""
+    uses = phrase_operators(spark, sf_dir)
+    sizes = uses.groupBy("phrase").agg(F.count(F.lit(1)).alias("operators"))
+    pairs = sizes.select(F.col("phrase").alias("long"), F.col("operators").alias("n_long"), F.explode(X.runs(F.split("phrase", " "))).alias("short")).where("short <> long")
+    pairs = pairs.join(sizes.select(F.col("phrase").alias("short"), F.col("operators").alias("n_short")), "short")
+    both = pairs.join(uses.select(F.col("phrase").alias("long"), "op"), "long").join(uses.select(F.col("phrase").alias("short"), "op"), ["short", "op"])
+    common = both.groupBy("short", "long", "n_short", "n_long").agg(F.count(F.lit(1)).alias("common"))
+    alike = (F.col("common") >= 0.95 * F.least("n_short", "n_long")) & (F.col("common") >= 0.5 * F.greatest("n_short", "n_long"))
+    links = common.where(alike).select(F.col("short").alias("u"), F.col("long").alias("v"))
+    return discovery.collapse(sizes.withColumn("score", F.col("operators")), links)
+
+
 @query(f"""with p as (select phrase, op from ({PHRASES})), s as (select phrase, list_sort(list(op)) as ops from p group by 1)
 select a.phrase as short, b.phrase as long, cast(len(a.ops) as int) as adopters from s a join s b on a.ops = b.ops and a.phrase <> b.phrase and contains(' ' || b.phrase || ' ', ' ' || a.phrase || ' ')""")
 def subsumed_terms(spark, sf_dir):
