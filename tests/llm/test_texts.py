@@ -37,7 +37,7 @@ def test_fingerprints_estimate_the_weighted_index(spark):
         assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         misses.append((got[i]["near_edited"] - jaccard(text, edited), got[i]["near_next"] - jaccard(text, after)))
     misses = np.array(misses)
-    assert np.abs(misses.mean(0)).max() < 0.03 and misses.std(0).max() < 0.12
+    assert np.abs(misses.mean(0)).max() < 0.03 and misses.std(0).max() < 0.08
 
 
 def test_samples_against_plain_draws(spark):
@@ -70,6 +70,19 @@ def test_samples_against_plain_draws(spark):
         assert got[i] == "".join(digits)
 
 
+def test_samples_drawn_together_are_those_drawn_apart(spark):
+    """Terms of one text only, of both equally often, of both unequally, and texts without terms."""
+    texts = [(1, "a b b c c d", "a b c c e"), (2, "x y", ""), (3, "", "x y"), (4, "", " "), (5, "p q q", "q p q"), (6, "Longer words Repeat repeat", "longer words repeat")]
+    rows = [(k, which, text) for k, *both in texts for which, text in enumerate(both)]
+    docs = spark.createDataFrame(rows, "k int, which int, text string")
+    names = [f"s{k}" for k in range(fingerprint.SAMPLES)]
+    apart = {(r["k"], r["which"]): [r[c] for c in names] for r in fingerprint.fingerprints(docs, ["k", "which"]).collect()}
+    together = {r["k"]: (r["own"], r["other"]) for r in fingerprint.paired_fingerprints(docs, ["k"]).collect()}
+    for k, *_ in texts:
+        assert together.get(k, (None, None)) == (apart.get((k, 0)), apart.get((k, 1)))
+    assert together[5][0] == together[5][1] and 4 not in together
+
+
 def test_fingerprints_of_awkward_rows(spark, awkward, empty):
     rows = fingerprint.compare_with_edited(awkward).collect()
     assert len(rows) == 9
