@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from settings import SF
 
 from tidemark.sources import landed, ods, pdf
 
@@ -42,6 +43,39 @@ def test_memory_goes_on_where_a_run_ended(spark, tmp_path):
     assert flows._committed(spark, folders[0]) == [2, 3]
 
 
+@pytest.fixture
+def small_pieces(spark):
+    """Groups reach Python in pieces of three rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_confirmations_in_pieces_give_the_rows_of_the_sql(spark, duck, same, small_pieces):
+    from tidemark.plans import registry
+
+    registry.load()
+    same(registry.QUERIES["stream_confirmations"](spark, SF), duck, registry.ORACLE_SQL["stream_confirmations"])
+
+
+def test_confirmations_with_sightings_out_of_order(spark, tmp_path, small_pieces):
+    from tidemark.streaming import flows
+
+    day = lambda n: f"2024-01-{n:02d} 00:00:00"
+    batches = [
+        [("a", day(n)) for n in (30, 9, 20, 12, 8, 25, 2, 15, 10, 1)] + [("b", day(9)), ("b", day(11)), ("c", day(3)), ("c", day(3)), ("d", None), ("d", day(1)), (None, day(1)), (None, day(20))],
+        [("a", day(7)), ("b", day(3)), ("c", day(9)), ("d", day(8))],
+        [("b", day(1)), ("c", day(10)), ("e", day(1))],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "k string, t string").select("k", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = flows.run(flows.confirmations(flows.source(spark, f"{tmp_path}/in", "k string, ts timestamp", max_files=1), "k"))
+    days = {r["k"]: (r["first_us"] // 86_400_000_000 - 19_722, r["confirmed_us"] // 86_400_000_000 - 19_722) for r in got.collect()}
+    assert got.count() == 4 and days == {"a": (1, 8), "b": (3, 11), "c": (3, 10), "d": (1, 8)}
+
+
 def test_report_state_advances_after_success_only(spark, tmp_path):
     from tidemark.sources import sinks
 

@@ -75,22 +75,41 @@ def bursts(rows: DataFrame, by: str, gap: str = "2 hours", late: str = "1 day")
 
 
 def confirmations(rows: DataFrame, key: str, gap_days: int = 7, late: str = "1 day") -> DataFrame:
-    """Keys seen twice at least gap_days apart, once each, with keyed state."""
+    """Keys seen twice at least gap_days apart, once each, with keyed state: the first time, and the first one far enough from it.
+
+    The rows of a key come in any order and in several pieces, and a sighting may be older than all before. So the answer waits for the
+    last piece of the batch, and times that an older first one could turn into the answer are kept until then. Rows without key or time count nowhere.
+    """
     from collections.abc import Iterator
 
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     kind = rows.schema[key].dataType.simpleString()
+    gap = gap_days * 86_400_000_000
+
+    def held(parts: list) -> np.ndarray:
+        """Distinct times up to the first that is far enough; no later one can be the answer, as the first only gets older."""
+        times = np.unique(np.concatenate(parts))
+        return times[: np.searchsorted(times, times[0] + gap) + 1] if len(times) else times
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, done = state.get if state.exists else (None, False)
+        kept, done = state.get if state.exists else (b"", False)
+        parts, loose = [np.frombuffer(bytes(kept), "int64")], 0
         for pdf in batches:
-            for at in sorted(pdf["ts"].astype("int64") // 1_000):
-                first = at if first is None else min(first, at)
-                if not done and at - first >= gap_days * 86_400_000_000:
-                    done = True
-                    yield pd.DataFrame({key: [k[0]], "first_us": [first], "confirmed_us": [at]})
-        state.update((first, done))
-
-    return rows.select(key, F.col("ts").cast("timestamp_ntz").alias("ts")).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_us long, confirmed_us long", "first long, done boolean", "append", GroupStateTimeout.NoTimeout)
+            if done:
+                continue
+            parts.append(pdf["ts"].to_numpy("datetime64[us]").astype("int64"))
+            loose += len(pdf)
+            if loose > max(len(parts[0]), 10_000):
+                parts, loose = [held(parts)], 0
+        if not done:
+            times = held(parts)
+            done = bool(times[-1] - times[0] >= gap)
+            if done:
+                yield pd.DataFrame({key: [k[0]], "first_us": [times[0]], "confirmed_us": [times[-1]]})
+            state.update((b"" if done else times.tobytes(), done))
+
+    seen = rows.select(key, F.col("ts").cast("timestamp_ntz").alias("ts")).where(F.col(key).isNotNull() & F.col("ts").isNotNull())
+    return seen.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, first_us long, confirmed_us long", "kept binary, done boolean", "append", GroupStateTimeout.NoTimeout)
