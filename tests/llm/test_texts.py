@@ -106,6 +106,22 @@ def test_the_next_document_is_found_across_ranges(spark, ranges):
     assert got == want
 
 
+def test_the_plan_does_not_grow_with_the_number_of_ranges(spark):
+    """Each range once was an expression, and with many of them the driver needed too much memory."""
+    docs = spark.range(5_000).selectExpr("id as doc_id", "concat('t', id) as text")
+    few, many = (fingerprint.with_neighbour(docs, ranges=n)._jdf.queryExecution().analyzed().toString() for n in (8, 1_600))
+    assert few.count("CASE WHEN") == many.count("CASE WHEN") and few.count("map(") == many.count("map(")
+    assert many.count("cast(") < few.count("cast(") + 20
+
+
+def test_rows_without_ids_follow_one_another(spark):
+    """After the last comes the first, also where no row has an id."""
+    docs = spark.createDataFrame([(None, "b"), (None, "a"), (None, "c")], "doc_id long, text string")
+    got = {r["text"]: r["next"] for r in fingerprint.with_neighbour(docs).where("not ghost").collect()}
+    assert got == {"a": "b", "b": "c", "c": "a"}
+    assert fingerprint.compare_with_edited(docs.where("text = 'a'")).first()["near_next"] == 1.0
+
+
 def test_licenses_in_awkward_rows(spark, awkward, empty):
     rows = licenses.find_licenses(awkward).collect()
     assert len(rows) == 9 and all(r["n_base"] == 0 and r["base_labels"] == "" for r in rows)

@@ -101,12 +101,17 @@ def likeness(one: Column, two: Column) -> Column:
 CUTS = 2048
 
 
-def _search(value: Column, cuts: list[int], first: int = 0) -> Column:
-    """How many of the sorted cuts are at most the value, by nested halves."""
+def _numbers(values: list[int]) -> Column:
+    """An array of whole numbers as one literal, however many there are; the plan does not grow by an expression for each."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _search(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most the value, by halving steps."""
     if not cuts:
-        return F.lit(first)
-    middle = len(cuts) // 2
-    return F.when(value < F.lit(cuts[middle]), _search(value, cuts[:middle], first)).otherwise(_search(value, cuts[middle + 1 :], first + middle + 1))
+        return F.lit(0)
+    steps, known = [1 << k for k in reversed(range(len(cuts).bit_length()))], _numbers(cuts)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) <= value, at + step).otherwise(at))
 
 
 def _range_of(rows: DataFrame, ranges: int) -> Column:
@@ -117,7 +122,7 @@ def _range_of(rows: DataFrame, ranges: int) -> Column:
     stretch = _search(F.col("id"), cuts)
     divide = -(-ranges // CUTS)
     if divide > 1 and cuts:
-        ends = F.array(*map(F.lit, [found["low"], *cuts, found["high"] + 1]))
+        ends = _numbers([found["low"], *cuts, found["high"] + 1])
         low, high = F.element_at(ends, stretch + 1).cast("double"), F.element_at(ends, stretch + 2).cast("double")
         stretch = stretch * divide + F.least(F.floor((F.col("id") - low) / (high - low) * divide), F.lit(divide - 1)).cast("int")
     return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(stretch).cast("int")
@@ -135,12 +140,11 @@ def with_neighbour(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     placed = rows.withColumn("bucket", _range_of(rows, ranges or 8 * parts))
     heads = {r["bucket"]: r["top"] for r in placed.groupBy("bucket").agg(F.max("id").alias("top")).collect()}
     order = sorted(heads, reverse=True)
-    above = {heads[b]: order[i - 1] for i, b in enumerate(order)}
-    known = sorted((i, b) for i, b in above.items() if i is not None)
-    is_head = F.col("id").isin([i for i, _ in known]) if known else F.lit(False)
-    target = F.element_at(F.create_map(*(F.lit(x) for pair in known for x in pair)), F.col("id")) if known else F.lit(None).cast("int")
-    if None in above:
-        is_head, target = F.coalesce(is_head, F.lit(True)), F.coalesce(target, F.lit(above[None]))
+    tops, targets = ([0] * (max(order, default=-1) + 2) for _ in range(2))
+    for i, b in enumerate(order):
+        tops[b + 1], targets[b + 1] = heads[b] or 0, order[i - 1]
+    is_head = F.col("id").isNull() | (F.col("id") == F.get(_numbers(tops), F.col("bucket") + 1))
+    target = F.get(_numbers(targets), F.col("bucket") + 1)
     own, ghost = (F.struct(b.cast("int").alias("bucket"), F.lit(g).alias("ghost")) for b, g in ((F.col("bucket"), False), (target, True)))
     dealt = placed.select("id", "text", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))).alias("x")).select("x.bucket", "x.ghost", "id", "text").where("bucket is not null").repartition(parts, "bucket")
     line = Window.partitionBy("bucket").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
