@@ -122,6 +122,14 @@ def test_rows_without_ids_follow_one_another(spark):
     assert fingerprint.compare_with_edited(docs.where("text = 'a'")).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("first", [10**18, -(2**63), 2**63 - 2_500])
+def test_very_large_ids_in_many_ranges(spark, first):
+    """Neighbouring ids that are the same as doubles, and the largest and smallest ones."""
+    docs = spark.range(2_500).selectExpr(f"{first}L + id as doc_id" if first > -(2**63) else "id - 9223372036854775807L - 1L as doc_id", "concat('t', id) as text")
+    got = {r["text"]: r["next"] for r in fingerprint.with_neighbour(docs, ranges=5_000).where("not ghost").collect()}
+    assert got == {f"t{k}": f"t{(k - 1) % 2_500}" for k in range(2_500)}
+
+
 def test_licenses_in_awkward_rows(spark, awkward, empty):
     rows = licenses.find_licenses(awkward).collect()
     assert len(rows) == 9 and all(r["n_base"] == 0 and r["base_labels"] == "" for r in rows)

@@ -122,9 +122,10 @@ def _range_of(rows: DataFrame, ranges: int) -> Column:
     stretch = _search(F.col("id"), cuts)
     divide = -(-ranges // CUTS)
     if divide > 1 and cuts:
-        ends = _numbers([found["low"], *cuts, found["high"] + 1])
+        ends = _numbers([found["low"], *cuts, found["high"]])
         low, high = F.element_at(ends, stretch + 1).cast("double"), F.element_at(ends, stretch + 2).cast("double")
-        stretch = stretch * divide + F.least(F.floor((F.col("id") - low) / (high - low) * divide), F.lit(divide - 1)).cast("int")
+        share = F.coalesce(F.try_divide(F.col("id") - low, high - low), F.lit(0.0))  # ids that are one double, or the largest alone, stay together
+        stretch = stretch * divide + F.least(F.floor(share * divide), F.lit(divide - 1)).cast("int")
     return F.when(F.col("id").isNull(), F.lit(-1)).otherwise(stretch).cast("int")
 
 
